@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import encode
+from textloom.llm import encode, spans
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,8 +16,20 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_spans(table(spark, sf_dir, "documents"))
+
+
+def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.shared_share(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {"p6_ids": p6_ids}
+    return {
+        "p6_ids": p6_ids,
+        "p8_found": p8_found,
+        "p8_share": p8_share,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
