@@ -6,12 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import encode, spans
+from textloom.llm import encode, neardup, spans
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.pairs(table(spark, sf_dir, "documents"), size=3, threshold=0.6, min_words=20)
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
@@ -26,6 +34,8 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p1_found": p1_found,
+        "p1_groups": p1_groups,
         "p6_ids": p6_ids,
         "p8_found": p8_found,
         "p8_share": p8_share,
