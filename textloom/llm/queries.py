@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import encode, neardup, spans
+from textloom.llm import encode, neardup, spans, termfreq
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,14 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termfreq.found(table(spark, sf_dir, "lemmas"), table(spark, sf_dir, "document_lemmas"))
+
+
+def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return termfreq.all_terms(table(spark, sf_dir, "lemmas"), table(spark, sf_dir, "document_lemmas"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
@@ -36,11 +44,34 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_groups": p1_groups,
+        "p4_found": p4_found,
+        "p4_terms": p4_terms,
         "p6_ids": p6_ids,
         "p8_found": p8_found,
         "p8_share": p8_share,
     }
 
 
+_P4_TERMS = r"""
+WITH terms AS (
+    SELECT id, nfc_normalize(lower(regexp_replace(term, '^\s+|\s+$', '', 'g'))) AS term FROM lemmas WHERE term IS NOT NULL
+), posts AS (
+    SELECT DISTINCT id, document_id, lemma_id, tf FROM document_lemmas WHERE tf > 0
+), counted AS (
+    SELECT p.id, p.document_id, p.tf, t.term FROM posts p JOIN (SELECT DISTINCT id, term FROM terms) t ON t.id = p.lemma_id
+), sums AS (
+    SELECT term, CAST(sum(tf) AS BIGINT) AS occurrences, count(DISTINCT document_id) AS documents FROM counted GROUP BY term
+), n AS (SELECT count(DISTINCT document_id) AS n FROM counted)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "p4_found": _P4_TERMS + """
+SELECT term, 'rare' AS mark FROM sums WHERE occurrences <= 2
+UNION ALL SELECT term, 'common' FROM sums, n WHERE documents * 10 > n.n""",
+        "p4_terms": _P4_TERMS + """
+SELECT e.term, coalesce(occurrences, 0) AS occurrences, coalesce(documents, 0) AS documents,
+    coalesce(occurrences <= 2, false) AS rare, coalesce(documents * 10 > n.n, false) AS common
+FROM (SELECT DISTINCT term FROM terms) e LEFT JOIN sums ON sums.term = e.term, n""",
+    }
