@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import encode, neardup, spans, termfreq
+from textloom.llm import encode, mixing, neardup, spans, termfreq
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -32,6 +32,14 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
 
+def p7_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_spans(table(spark, sf_dir, "documents"))
 
@@ -47,6 +55,8 @@ def queries() -> dict[str, Query]:
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p6_ids": p6_ids,
+        "p7_mix": p7_mix,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_share": p8_share,
     }
