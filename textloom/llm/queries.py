@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import encode, mixing, neardup, spans, termfreq
+from textloom.llm import encode, mixing, neardup, sentences, spans, termfreq
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentences.sentences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "translation_runs"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termfreq.found(table(spark, sf_dir, "lemmas"), table(spark, sf_dir, "document_lemmas"))
 
@@ -52,6 +56,7 @@ def queries() -> dict[str, Query]:
     return {
         "p1_found": p1_found,
         "p1_groups": p1_groups,
+        "p2_found": p2_found,
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p6_ids": p6_ids,
@@ -77,6 +82,7 @@ WITH terms AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": p2_found,
         "p4_found": _P4_TERMS + """
 SELECT term, 'rare' AS mark FROM sums WHERE occurrences <= 2
 UNION ALL SELECT term, 'common' FROM sums, n WHERE documents * 10 > n.n""",
