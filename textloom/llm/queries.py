@@ -82,7 +82,6 @@ WITH terms AS (
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "p2_found": p2_found,
         "p4_found": _P4_TERMS + """
 SELECT term, 'rare' AS mark FROM sums WHERE occurrences <= 2
 UNION ALL SELECT term, 'common' FROM sums, n WHERE documents * 10 > n.n""",
