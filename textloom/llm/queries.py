@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import encode, mixing, neardup, sentences, spans, termfreq
+from textloom.llm import encode, languages, mixing, neardup, sentences, spans, termfreq
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,6 +24,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentences.sentences(table(spark, sf_dir, "documents"), table(spark, sf_dir, "translation_runs"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(table(spark, sf_dir, "documents")).where("is_case").select("doc_id", "seg_no", "lang")
+
+
+def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return languages.languages(table(spark, sf_dir, "documents"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termfreq.found(table(spark, sf_dir, "lemmas"), table(spark, sf_dir, "document_lemmas"))
 
@@ -57,6 +65,8 @@ def queries() -> dict[str, Query]:
         "p1_found": p1_found,
         "p1_groups": p1_groups,
         "p2_found": p2_found,
+        "p3_found": p3_found,
+        "p3_languages": p3_languages,
         "p4_found": p4_found,
         "p4_terms": p4_terms,
         "p6_ids": p6_ids,
