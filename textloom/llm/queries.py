@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import encode, languages, mixing, neardup, sentences, spans, termfreq
+from textloom.llm import encode, languages, mixing, neardup, sentences, spans, subjects, termfreq
 from textloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,6 +40,16 @@ def p4_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return termfreq.all_terms(table(spark, sf_dir, "lemmas"), table(spark, sf_dir, "document_lemmas"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    rules = subjects.train(documents, table(spark, sf_dir, "labels"), table(spark, sf_dir, "subjects"))
+    return subjects.document_subjects(documents, rules).select("doc_id", "subject")
+
+
+def p5_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.composition(p5_found(spark, sf_dir), table(spark, sf_dir, "documents"))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode.encode(table(spark, sf_dir, "documents"))
 
@@ -69,6 +79,8 @@ def queries() -> dict[str, Query]:
         "p3_languages": p3_languages,
         "p4_found": p4_found,
         "p4_terms": p4_terms,
+        "p5_found": p5_found,
+        "p5_composition": p5_composition,
         "p6_ids": p6_ids,
         "p7_mix": p7_mix,
         "p7_shares": p7_shares,
