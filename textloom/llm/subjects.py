@@ -114,7 +114,7 @@ class Rules:
 
     def evidence(self, items: set[str]) -> tuple[int, float]:
         """The subject with the most evidence and its amount: log odds of the matching rules, added up."""
-        told = sorted((i for i in items if i in self.item_confidence), key=lambda i: (-self.item_confidence[i], i))[:ITEMS]
+        told = _told(items, self.item_confidence)
         total = [0.0] * len(self.subjects)
         for size in range(1, min(RULE_ITEMS, len(told)) + 1):
             for some in combinations(told, size):
@@ -129,88 +129,100 @@ class Rules:
         return self.chance[int(np.searchsorted(self.edges, amount, side="right"))]
 
 
-def _item_statistics(sentences: list[tuple[int, set[str], list[int]]], n_subjects: int) -> dict[str, np.ndarray]:
-    """Documents of each subject an item stands in, and of all."""
-    of_doc: dict[int, tuple[set[str], list[int]]] = {}
-    for doc, items, classes in sentences:
-        of_doc.setdefault(doc, (set(), classes))[0].update(items)
-    counts: dict[str, np.ndarray] = {}
-    for items, classes in of_doc.values():
-        for item in items:
-            row = counts.setdefault(item, np.zeros(n_subjects + 1))
-            row[classes] += 1
-            row[-1] += 1
-    return counts
-
-
-def _first_labels(sentences: list[tuple[int, set[str], list[int]]], counts: dict[str, np.ndarray], n_subjects: int) -> tuple[dict[str, float], list[int]]:
-    """(confidence of the items that count, subject each sentence is taken to deal with, -1 for none)."""
-    n = len({doc for doc, _, _ in sentences})
-    least = max(MIN_DOCUMENTS, n * MIN_DOCUMENT_SHARE)
-    base = sum((c[:-1] for c in counts.values()), np.zeros(n_subjects)) / max(sum(c[-1] for c in counts.values()), 1)
-    share: dict[str, np.ndarray] = {}
-    for item, c in counts.items():
-        if c[-1] >= least:
-            p = (c[:-1] + 2 * base) / (c[-1] + 2)
-            if p.max() >= MIN_CONFIDENCE:
-                share[item] = p
-    confidence = {i: float(p.max()) for i, p in share.items()}
-    labels = []
-    for _, items, _ in sentences:
-        told = sorted((i for i in items if i in share), key=lambda i: (-confidence[i], i))[:ITEMS]
-        total = sum((np.log(np.maximum(share[i], 0.02) / 0.125) for i in told), np.zeros(n_subjects))
-        labels.append(int(total.argmax()) if told and total.max() > 0.8 else -1)
-    return confidence, labels
+def _told(items: Iterable[str], confidence: dict[str, float]) -> list[str]:
+    """The most telling items of a sentence, in a fixed order."""
+    return sorted((i for i in items if i in confidence), key=lambda i: (-confidence[i], i))[:ITEMS]
 
 
-def fit(sample: DataFrame, subjects: list[str]) -> Rules:
-    """Rules from a sample (doc_id, content, classes), classes being numbers of subjects; the sample is small enough for the driver."""
-    spark = sample.sparkSession
-    k = len(subjects)
-    rows = checkpoint(_sentence_items(sample.select("doc_id", "content", "classes"))).collect()
-    sentences = [(r[0], set(r[2]), list(r[3])) for r in rows]
-    counts = _item_statistics(sentences, k)
-    confidence, labels = _first_labels(sentences, counts, k)
-    transactions = []
-    for (_, items, _), label in zip(sentences, labels):
-        told = sorted((i for i in items if i in confidence), key=lambda i: (-confidence[i], i))[:ITEMS]
-        if told:
-            transactions.append(([*told, f"\t{label}"],))
-    if not transactions:
-        return Rules(subjects, {}, {}, [0.0], [0.0, 0.0])
-    least = max(3.0, len(transactions) / 20_000)
-    frame = spark.createDataFrame(transactions, "items array<string>")
-    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, least / len(transactions))).fit(frame).freqItemsets
-    sizes = F.size("items") - F.size(F.filter("items", lambda x: x.startswith("\t")))
-    found = frequent.where(sizes.between(1, RULE_ITEMS)).collect()  # bounded by the sample
-    body: Counter[frozenset[str]] = Counter()
-    heads: dict[frozenset[str], tuple[int, int]] = {}
-    for itemset, freq in found:
-        marks = [i for i in itemset if i.startswith("\t")]
-        left = frozenset(i for i in itemset if not i.startswith("\t"))
-        if not marks:
-            body[left] = freq
-        elif len(marks) == 1 and freq > heads.get(left, (0, 0))[1]:
-            heads[left] = (int(marks[0]), freq)
+def _item_shares(sentences: DataFrame, n_subjects: int) -> dict[str, list[float]]:
+    """Items that count -> share of their documents with each subject, smoothed by the subjects' shares of all documents.
+
+    Counted over documents, on the executors; only items that one subject has enough of come to the driver."""
+    documents = sentences.select("doc_id", "classes").dropDuplicates(["doc_id"])
+    of = [F.sum(F.array_contains("classes", k).cast("int")).alias(f"s{k}") for k in range(n_subjects)]
+    total = documents.agg(F.count("*").alias("n"), *of).first()
+    n = total["n"]
+    if not n:
+        return {}
+    base = [(total[f"s{k}"] or 0) / n for k in range(n_subjects)]
+    each = sentences.select("doc_id", "classes", F.explode("items").alias("item")).dropDuplicates(["doc_id", "item"])
+    counts = each.groupBy("item").agg(F.count("*").alias("n"), *of).where(F.col("n") >= max(MIN_DOCUMENTS, n * MIN_DOCUMENT_SHARE))
+    share = [((F.col(f"s{k}") + 2 * base[k]) / (F.col("n") + 2)).alias(f"s{k}") for k in range(n_subjects)]
+    kept = counts.select("item", *share).where(F.greatest(*[F.col(f"s{k}") for k in range(n_subjects)]) >= MIN_CONFIDENCE)
+    return {r[0]: list(r[1:]) for r in kept.collect()}
+
+
+def _transactions(sentences: DataFrame, share: dict[str, list[float]]) -> DataFrame:
+    """(items): the telling items of each sentence and the subject it is taken to deal with (-1 for none)."""
+    sent = sentences.sparkSession.sparkContext.broadcast(share)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shares = sent.value
+        confidence = {i: max(p) for i, p in shares.items()}
+        for batch in batches:
+            out = []
+            for items in batch.column(0).to_pylist():
+                told = _told(items, confidence)
+                if told:
+                    total = np.sum([np.log(np.maximum(shares[i], 0.02) / 0.125) for i in told], axis=0)
+                    out.append([*told, f"\t{int(total.argmax()) if total.max() > 0.8 else -1}"])
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
+
+    return sentences.select("items").mapInArrow(run, "items array<string>")
+
+
+def _mined(transactions: DataFrame) -> list[tuple[list[str], int, int, int]]:
+    """(items, subject, occurrences with the subject, occurrences) of every frequent set sure enough to be a rule."""
+    n = transactions.count()
+    if not n:
+        return []
+    least = max(3.0, n / 20_000)
+    frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n)).fit(transactions).freqItemsets
+    split = frequent.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("\t"))).alias("left"), F.filter("items", lambda x: x.startswith("\t")).alias("marks"), "freq")
+    split = checkpoint(split.where(F.size("left").between(1, RULE_ITEMS) & (F.size("marks") <= 1)))
+    heads = split.where("size(marks) = 1").select("left", F.substring(F.col("marks")[0], 2, 9).cast("int").alias("subject"), F.col("freq").alias("hits"))
+    bodies = split.where("size(marks) = 0").select("left", F.col("freq").alias("all"))
+    sure = heads.join(bodies, "left").where((F.col("subject") >= 0) & ((F.col("hits") + 0.5) / (F.col("all") + 1) >= RULE_CONFIDENCE))
+    return [(list(r[0]), r[1], r[2], r[3]) for r in sure.select("left", "subject", "hits", "all").collect()]
+
+
+def _pruned(mined: list[tuple[list[str], int, int, int]]) -> dict[frozenset[str], tuple[int, float]]:
+    """Rules with their log odds; a rule no surer than a more general one for the same subject is left out."""
     rules: dict[frozenset[str], tuple[int, float]] = {}
     sure: dict[frozenset[str], float] = {}
-    for left in sorted(heads, key=lambda s: (len(s), sorted(s))):
-        label, freq = heads[left]
-        p = (freq + 0.5) / (body[left] + 1)
-        if label < 0 or p < RULE_CONFIDENCE:
+    for items, subject, hits, everything in sorted(mined, key=lambda m: (len(m[0]), m[0], m[1])):
+        p = (hits + 0.5) / (everything + 1)
+        parts = [frozenset(part) for size in range(1, len(items)) for part in combinations(items, size)]
+        if any(part in rules and rules[part][0] == subject and sure[part] >= p - 1e-9 for part in parts):
             continue
-        if any(sure.get(frozenset(part), 0) >= p - 1e-9 for size in range(1, len(left)) for part in combinations(left, size) if rules.get(frozenset(part), (label,))[0] == label):
-            continue  # a more general rule is as sure
-        sure[left] = p
-        rules[left] = (label, math.log(p / (1 - p)))
-    made = Rules(subjects, confidence, rules, [], [])
-    amounts, hits = [], []
-    for _, items, classes in sentences:
-        best, amount = made.evidence(items)
-        if amount > 0:
-            amounts.append(amount)
-            hits.append(best in classes)
-    made.edges, made.chance = _calibrated(np.array(amounts), np.array(hits))
+        sure[frozenset(items)] = p
+        rules[frozenset(items)] = (subject, math.log(p / (1 - p)))
+    return rules
+
+
+def _amounts(sentences: DataFrame, rules: Rules) -> tuple[np.ndarray, np.ndarray]:
+    """Evidence of each sentence of the sample, and whether the subject is one of its document's."""
+    sent = sentences.sparkSession.sparkContext.broadcast(rules)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        mine = sent.value
+        for batch in batches:
+            told = [mine.evidence(set(items)) for items in batch.column(0).to_pylist()]
+            hits = [best in classes for (best, _), classes in zip(told, batch.column(1).to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array([x for _, x in told], pa.float64()), pa.array(hits, pa.bool_())], names=["amount", "hit"])
+
+    found = sentences.select("items", "classes").mapInArrow(run, "amount double, hit boolean").where("amount > 0").toPandas()
+    return found["amount"].to_numpy(dtype=float), found["hit"].to_numpy(dtype=bool)
+
+
+def fit(sample: DataFrame, subjects: list[str]) -> Rules:
+    """Rules from a sample (doc_id, content, classes), classes being numbers of subjects."""
+    sentences = checkpoint(_sentence_items(sample.select("doc_id", "content", "classes")))
+    share = _item_shares(sentences, len(subjects))
+    mined = _mined(checkpoint(_transactions(sentences, share))) if share else []
+    made = Rules(subjects, {i: max(p) for i, p in share.items()}, _pruned(mined), [1e-9], [0.0, 1.0])
+    if made.rules:
+        made.edges, made.chance = _calibrated(*_amounts(sentences, made))
     return made
 
 
