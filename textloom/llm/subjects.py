@@ -22,6 +22,7 @@ import unicodedata
 from collections import Counter
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -61,6 +62,7 @@ _MARKED = re.compile(r"[À-ɏ̀-ͯЀ-ӿ]")
 _INDIC = re.compile(r"[ऀ-ॿ]+")
 
 
+@lru_cache(maxsize=200_000)
 def _simple(word: str) -> str:
     """Lower case, Latin letters, no accents: the same for the usual, the plain and the romanised way of writing."""
     word = word.lower()
@@ -112,18 +114,27 @@ class Rules:
     edges: list[float]
     chance: list[float]
 
+    def __post_init__(self) -> None:
+        self.single = {next(iter(s)): rule for s, rule in self.rules.items() if len(s) == 1}
+        self.joint = {i for s in self.rules if len(s) > 1 for i in s}
+
     def evidence(self, items: set[str]) -> tuple[int, float]:
         """The subject with the most evidence and its amount: log odds of the matching rules, added up."""
         told = _told(items, self.item_confidence)
         total = [0.0] * len(self.subjects)
-        for size in range(1, min(RULE_ITEMS, len(told)) + 1):
-            for some in combinations(told, size):
+        for item in told:
+            rule = self.single.get(item)
+            if rule:
+                total[rule[0]] += rule[1]
+        joint = [i for i in told if i in self.joint]
+        for size in range(2, min(RULE_ITEMS, len(joint)) + 1):
+            for some in combinations(joint, size):
                 rule = self.rules.get(frozenset(some))
                 if rule:
                     total[rule[0]] += rule[1]
-        order = sorted(range(len(total)), key=lambda k: (-total[k], k))
-        second = total[order[1]] if len(order) > 1 else 0.0
-        return order[0], total[order[0]] - second
+        best = max(total)
+        first = total.index(best)
+        return first, best - max(total[:first] + total[first + 1 :], default=0.0)
 
     def probability(self, amount: float) -> float:
         return self.chance[int(np.searchsorted(self.edges, amount, side="right"))]
