@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +26,9 @@ def _all(text: Column, rx: str) -> Column:
     return F.regexp_extract_all(text, F.lit(rx), F.lit(0))
 
 
-def _array(values: list[str]) -> Column:
-    return F.array(*[F.lit(v) for v in values])
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once a row: inside higher-order functions a captured expression is computed for every element."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def strip(text: Column) -> Column:
@@ -40,8 +43,8 @@ def stem(word: Column) -> Column:
 
 def search_tokens(text: Column) -> Column:
     """Terms of the search index: ASCII words in lower case without stop words and single letters, stemmed. Null gives null."""
-    stop = _array([w for w in words.SEARCH_STOPWORDS if "'" not in w])
-    return F.transform(F.filter(_all(F.lower(text), "[a-zA-Z]+"), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w)), stem)
+    stop = [w for w in words.SEARCH_STOPWORDS if "'" not in w]  # words are cut at apostrophes; isin is a hash lookup
+    return F.transform(F.filter(_all(F.lower(text), "[a-zA-Z]+"), lambda w: (F.length(w) > 1) & ~w.isin(stop)), stem)
 
 
 def clean(text: Column) -> Column:
@@ -66,15 +69,17 @@ def char_ngrams(text: Column, n: int = 5) -> Column:
 
 def char_windows(text: Column, width: int = 120, step: int = 60, least: int = 20) -> Column:
     """Overlapping windows of the clean text that have more than `least` characters without their outer spaces."""
-    body = clean(text)
-    starts = F.when(F.length(body) > 0, F.sequence(F.lit(0), F.length(body) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
-    return F.filter(F.transform(starts, lambda i: F.trim(F.substring(body, i + 1, F.lit(width)))), lambda w: F.length(w) > least)
+    def cut(body: Column) -> Column:
+        starts = F.when(F.length(body) > 0, F.sequence(F.lit(0), F.length(body) - 1, F.lit(step))).otherwise(F.array().cast("array<int>"))
+        return F.filter(F.transform(starts, lambda i: F.trim(F.substring(body, i + 1, F.lit(width)))), lambda w: F.length(w) > least)
+
+    return let(clean(text), cut)
 
 
 def summary_terms(text: Column, language: str) -> Column:
     """Terms of the summariser: Latin words of two letters or more, lower case, without the language's stop words."""
-    stop = _array(words.SUMMARY_STOPWORDS[language])
-    return F.filter(F.transform(_all(text, LATIN_RX), F.lower), lambda w: (F.length(w) > 1) & ~F.array_contains(stop, w))
+    stop = words.SUMMARY_STOPWORDS[language]
+    return F.filter(F.transform(_all(text, LATIN_RX), F.lower), lambda w: (F.length(w) > 1) & ~w.isin(stop))
 
 
 def essay_words(text: Column) -> Column:

@@ -35,8 +35,7 @@ def indicators(documents: DataFrame) -> DataFrame:
 
 def top_words(documents: DataFrame, n: int = 5) -> DataFrame:
     """(doc_id, place, word, count): the most frequent content words of more than three letters, ties by first occurrence."""
-    stop = F.array(*[F.lit(w) for w in words.ESSAY_STOPWORDS])
-    every = documents.select("doc_id", F.posexplode(essay_words(F.col("text"))).alias("pos", "word")).where((F.length("word") > 3) & ~F.array_contains(stop, F.col("word")))
+    every = documents.select("doc_id", F.posexplode(essay_words(F.col("text"))).alias("pos", "word")).where((F.length("word") > 3) & ~F.col("word").isin(words.ESSAY_STOPWORDS))
     counts = every.groupBy("doc_id", "word").agg(F.count("*").alias("count"), F.min("pos").alias("first"))
     order = W.partitionBy("doc_id").orderBy(F.desc("count"), "first")
     return counts.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n).select("doc_id", "place", "word", "count")

@@ -26,7 +26,8 @@ def postings(documents: DataFrame) -> DataFrame:
 
 def document_frequency(posts: DataFrame, n_documents: DataFrame) -> DataFrame:
     """(term, df, idf) with idf = ln(N / df); `n_documents` is one row (n), all documents counted."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
+    # The sum of tf keeps the column alive, so that the shuffle of the postings is the same as their other readers' and is reused.
+    df = posts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("tf")).where("tf > 0")
     return df.join(F.broadcast(n_documents)).select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"))
 
 

@@ -44,19 +44,16 @@ def short_profile(counts: DataFrame, letters: int = SHORT_LETTERS, least: int =
 def log_likelihoods(documents: DataFrame, profile: DataFrame, letters: int | None = None) -> DataFrame:
     """(doc_id, lang, score): the sum of ln p over the words, unknown ones with the profile's min_prob; -inf without words.
 
-    The words of a document are counted first, so a word costs one row however often it stands in the text; the
-    profile has a bounded number of words and is broadcast."""
+    The profile has a bounded number of words and is broadcast; sums are combined per document before the one shuffle."""
     words = documents.select("doc_id", F.explode(clean_tokens(F.col("text"))).alias("word"))
     if letters is not None:
         words = words.where(F.length("word") <= letters)
-    counted = words.groupBy("doc_id", "word").agg(F.count("*").alias("c"))
-    floors = profile.groupBy("lang").agg(F.max("min_prob").alias("floor"))
-    known = F.broadcast(profile.select("lang", "word", F.log("prob").alias("lp")))
-    hits = counted.join(known, "word").groupBy("doc_id", "lang").agg(F.sum(F.col("c") * F.col("lp")).alias("hit"), F.sum("c").alias("n_hit"))
-    sizes = counted.groupBy("doc_id").agg(F.sum("c").alias("n"))
-    each = documents.select("doc_id").join(F.broadcast(floors)).join(sizes, "doc_id", "left").join(hits, ["doc_id", "lang"], "left")
-    missed = (F.col("n") - F.coalesce("n_hit", F.lit(0))) * F.log("floor")
-    return each.select("doc_id", "lang", F.when(F.col("n").isNull(), F.lit(float("-inf"))).otherwise(F.coalesce("hit", F.lit(0.0)) + missed).alias("score"))
+    floors = F.broadcast(profile.groupBy("lang").agg(F.log(F.max("min_prob")).alias("floor")))
+    known = F.broadcast(profile.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.log("prob")))).alias("logs")))
+    each = words.join(known, "word", "left").join(floors)
+    sums = each.groupBy("doc_id", "lang").agg(F.sum(F.coalesce(F.try_element_at("logs", F.col("lang")), F.col("floor"))).alias("s"))
+    every = documents.select("doc_id").join(floors.select("lang"))
+    return every.join(sums, ["doc_id", "lang"], "left").select("doc_id", "lang", F.coalesce("s", F.lit(float("-inf"))).alias("score"))
 
 
 def predicted(scores: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:

@@ -6,10 +6,10 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.functions.text import char_windows, clean
+from textloom.functions.text import char_windows, clean, let
 
 FEATURES, HIDDEN, SEED = 3000, 64, 42
 
@@ -20,10 +20,11 @@ def windows(texts: DataFrame) -> DataFrame:
 
 
 def _grams(texts: DataFrame) -> DataFrame:
-    body = clean(F.col("text"))
-    sizes = F.sequence(F.lit(1), F.least(F.lit(3), F.length(body)))
-    grams = F.when(F.length(body) > 0, F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length(body) - k + 1), lambda i: F.substring(body, i, k)))))
-    return texts.withColumn("grams", F.coalesce(grams, F.array().cast("array<string>")))
+    def grams(body: Column) -> Column:
+        sizes = F.sequence(F.lit(1), F.least(F.lit(3), F.length(body)))
+        return F.when(F.length(body) > 0, F.flatten(F.transform(sizes, lambda k: F.transform(F.sequence(F.lit(1), F.length(body) - k + 1), lambda i: F.substring(body, i, k)))))
+
+    return texts.withColumn("grams", F.coalesce(let(clean(F.col("text")), grams), F.array().cast("array<string>")))
 
 
 def train(texts: DataFrame, features: int = FEATURES, hidden: int = HIDDEN, iterations: int = 60) -> tuple[PipelineModel, list[str]]:

@@ -29,8 +29,10 @@ def search(documents: DataFrame, weighted: DataFrame, queries: DataFrame, limit:
     asked = query_terms(queries)
     asked = F.broadcast(asked) if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
     hits = weighted.join(asked, "term")
-    vocabulary = hits.select("query_id", "term").distinct().groupBy("query_id").agg(F.count("*").alias("known"))
-    found = hits.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("dot"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched"))
+    found = hits.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("dot"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched")).where("n_terms > 0")
+    # Which terms of a query some document has: sets of matched terms, as many as a query has subsets. All columns are read, so both readers share one shuffle.
+    sets = found.groupBy("query_id").agg(F.collect_set("matched").alias("sets"), F.max("dot").alias("d"), F.max("n_terms").alias("t")).where("d is not null and t > 0")
+    vocabulary = sets.select("query_id", F.size(F.array_distinct(F.flatten("sets"))).alias("known"))
     if all_words:
         found = found.where(F.size("matched") >= F.col("n_terms"))
     dates = documents.select("doc_id", "doc_date")
