@@ -65,7 +65,7 @@ _TAG_OF = {w: tag for tag, ws in _CLOSED.items() for w in ws.split()}
 
 
 def suffix_tagger(lexicon: dict[str, str] | None = None) -> Tagger:
-    """A tagger without a model: closed classes, the dictionary's tags, then suffixes; a word after "to" or a modal is a verb."""
+    """A tagger without a model: closed classes, the dictionary's tags, then suffixes; capitals inside a sentence are names."""
     known = lexicon or {}
 
     def tag(sentence: list[str]) -> list[str]:
@@ -73,14 +73,13 @@ def suffix_tagger(lexicon: dict[str, str] | None = None) -> Tagger:
         for i, word in enumerate(sentence):
             low = word.lower()
             found = _TAG_OF.get(low) or known.get(low)
-            if not found and low.endswith("s") and known.get(low[:-1], "") in ("NN", "VB"):
-                found = "NNS" if known[low[:-1]] == "NN" else "VBZ"
+            if not found and low.endswith("s"):
+                base = next((known[b] for b in (low[:-1], low[:-2]) if known.get(b) in ("NN", "VB")), "")
+                found = {"NN": "NNS", "VB": "VBZ"}.get(base)
             if not found and word[:1].isupper() and i:
                 found = "NNP"
             if not found:
                 found = next((t for suffix, t in _SUFFIX_TAGS if low.endswith(suffix) and len(low) > len(suffix) + 2), "NN")
-            if found == "NNS" and out and out[-1] in ("NN", "NNP", "NNS") and i + 1 < len(sentence) and known.get(low[:-1]) == "VB":
-                found = "VBZ"
             out.append(found)
         return out
 
