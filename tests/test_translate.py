@@ -42,9 +42,9 @@ def test_transfer_puts_the_verb_last(lexicon):
 
 
 def test_direct_keeps_gaps_and_marks_unknown_words(lexicon):
-    text, words, translated, _, unknown = run("A neural  network,\nmoonbeam data!", lexicon, "direct")
-    assert text == "Ein neuronales Netzwerk,\n[[moonbeam]] Daten!" and (words, translated) == (5, 4)
-    assert [w for w, _ in unknown] == ["moonbeam"]
+    text, words, translated, _, unknown = run("A neural  network,  moonbeam data!\nLost line\nEnd.", lexicon, "direct")
+    assert text == "Ein neuronales Netzwerk,  [[moonbeam]] Daten!\nLost line\n[[End]]." and (words, translated) == (6, 4)
+    assert [w for w, _ in unknown] == ["moonbeam", "end"]
 
 
 def test_forms(lexicon):
