@@ -38,8 +38,9 @@ from textloom.session import checkpoint
 SAMPLE = 12_000
 #: Items of a transaction, and of a rule.
 ITEMS, RULE_ITEMS = 6, 3
-#: An item counts if it stands in this many documents of the sample (or its share of them), and one subject has this share of them.
-MIN_DOCUMENTS, MIN_DOCUMENT_SHARE, MIN_CONFIDENCE = 3, 1 / 1500, 0.33
+#: An item counts if it stands in this many documents of the sample (or its share of them), and some subject's share p of
+#: them is above its share b of all documents: (p - b) / (1 - b) is at least MIN_GAIN.
+MIN_DOCUMENTS, MIN_DOCUMENT_SHARE, MIN_GAIN = 3, 1 / 1500, 0.235
 RULE_CONFIDENCE = 0.6
 QUARTER = 0.25
 
@@ -109,7 +110,7 @@ def domain_names(subjects: Iterable[tuple[str, ...]]) -> dict[str, str]:
 @dataclass
 class Rules:
     subjects: list[str]
-    item_confidence: dict[str, float]
+    item_gain: dict[str, float]
     rules: dict[frozenset[str], tuple[int, float]]
     edges: list[float]
     chance: list[float]
@@ -120,7 +121,7 @@ class Rules:
 
     def evidence(self, items: set[str]) -> tuple[int, float]:
         """The subject with the most evidence and its amount: log odds of the matching rules, added up."""
-        told = _told(items, self.item_confidence)
+        told = _told(items, self.item_gain)
         total = [0.0] * len(self.subjects)
         for item in told:
             rule = self.single.get(item)
@@ -145,8 +146,8 @@ def _told(items: Iterable[str], confidence: dict[str, float]) -> list[str]:
     return sorted((i for i in items if i in confidence), key=lambda i: (-confidence[i], i))[:ITEMS]
 
 
-def _item_shares(sentences: DataFrame, n_subjects: int) -> dict[str, list[float]]:
-    """Items that count -> share of their documents with each subject, smoothed by the subjects' shares of all documents.
+def _item_shares(sentences: DataFrame, n_subjects: int) -> tuple[dict[str, list[float]], list[float]]:
+    """(items that count -> share of their documents with each subject, shares of all documents); the former smoothed by the latter.
 
     Counted over documents, on the executors; only items that one subject has enough of come to the driver."""
     documents = sentences.select("doc_id", "classes").dropDuplicates(["doc_id"])
@@ -154,28 +155,34 @@ def _item_shares(sentences: DataFrame, n_subjects: int) -> dict[str, list[float]
     total = documents.agg(F.count("*").alias("n"), *of).first()
     n = total["n"]
     if not n:
-        return {}
+        return {}, []
     base = [(total[f"s{k}"] or 0) / n for k in range(n_subjects)]
     each = sentences.select("doc_id", "classes", F.explode("items").alias("item")).dropDuplicates(["doc_id", "item"])
     counts = each.groupBy("item").agg(F.count("*").alias("n"), *of).where(F.col("n") >= max(MIN_DOCUMENTS, n * MIN_DOCUMENT_SHARE))
     share = [((F.col(f"s{k}") + 2 * base[k]) / (F.col("n") + 2)).alias(f"s{k}") for k in range(n_subjects)]
-    kept = counts.select("item", *share).where(F.greatest(*[F.col(f"s{k}") for k in range(n_subjects)]) >= MIN_CONFIDENCE)
-    return {r[0]: list(r[1:]) for r in kept.collect()}
+    gains = [(F.col(f"s{k}") - base[k]) / (1 - min(base[k], 0.99)) for k in range(n_subjects)]
+    kept = counts.select("item", *share).where(F.greatest(*gains, F.lit(-1.0)) >= MIN_GAIN)
+    return {r[0]: list(r[1:]) for r in kept.collect()}, base
 
 
-def _transactions(sentences: DataFrame, share: dict[str, list[float]]) -> DataFrame:
+def _gains(share: dict[str, list[float]], base: list[float]) -> dict[str, float]:
+    return {i: max((p - b) / (1 - min(b, 0.99)) for p, b in zip(ps, base)) for i, ps in share.items()}
+
+
+def _transactions(sentences: DataFrame, share: dict[str, list[float]], base: list[float]) -> DataFrame:
     """(items): the telling items of each sentence and the subject it is taken to deal with (-1 for none)."""
-    sent = sentences.sparkSession.sparkContext.broadcast(share)
+    sent = sentences.sparkSession.sparkContext.broadcast((share, base))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares = sent.value
-        confidence = {i: max(p) for i, p in shares.items()}
+        shares, usual = sent.value
+        confidence = _gains(shares, usual)
+        usual = np.maximum(usual, 0.01)
         for batch in batches:
             out = []
             for items in batch.column(0).to_pylist():
                 told = _told(items, confidence)
                 if told:
-                    total = np.sum([np.log(np.maximum(shares[i], 0.02) / 0.125) for i in told], axis=0)
+                    total = np.sum([np.log(np.maximum(shares[i], 0.02) / usual) for i in told], axis=0)
                     out.append([*told, f"\t{int(total.argmax()) if total.max() > 0.8 else -1}"])
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
 
@@ -229,9 +236,9 @@ def _amounts(sentences: DataFrame, rules: Rules) -> tuple[np.ndarray, np.ndarray
 def fit(sample: DataFrame, subjects: list[str]) -> Rules:
     """Rules from a sample (doc_id, content, classes), classes being numbers of subjects."""
     sentences = checkpoint(_sentence_items(sample.select("doc_id", "content", "classes")))
-    share = _item_shares(sentences, len(subjects))
-    mined = _mined(checkpoint(_transactions(sentences, share))) if share else []
-    made = Rules(subjects, {i: max(p) for i, p in share.items()}, _pruned(mined), [1e-9], [0.0, 1.0])
+    share, base = _item_shares(sentences, len(subjects))
+    mined = _mined(checkpoint(_transactions(sentences, share, base))) if share else []
+    made = Rules(subjects, _gains(share, base), _pruned(mined), [1e-9], [0.0, 1.0])
     if made.rules:
         made.edges, made.chance = _calibrated(*_amounts(sentences, made))
     return made
