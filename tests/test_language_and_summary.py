@@ -52,6 +52,18 @@ def test_summary_weights(spark):
     assert words == ["heart", "health"]
 
 
+def test_methods_and_corpus(spark):
+    corpus = spark.createDataFrame([(1, "Heart health. Heart sleep. More rest."), (2, "Sleep quality.")], "doc_id long, text string")
+    assert summarize.with_text(corpus, "Sleep quality.").count() == 2 and summarize.with_text(corpus, "New.").count() == 3
+    for method in ("sentence", "lsa"):
+        found, words = summarize.summarize(corpus, "en", method, count=2)
+        assert found.where("doc_id = 1").count() == 2 and words.where("doc_id = 1").count() > 0
+    with pytest.raises(ValueError):
+        summarize.summarize(corpus, "de")
+    with pytest.raises(ValueError):
+        summarize.summarize(corpus, "en", "other")
+
+
 def test_latent_scores():
     assert summarize.latent_scores([["a"], ["b"]]).tolist() == [1, 1]
     assert summarize.latent_scores([[], [], []]).tolist() == [0, 0, 0]

@@ -15,6 +15,19 @@ def test_latest_and_upsert(spark):
     assert {(r.k, r.v) for r in records.upsert(rows, new, ["k"]).collect()} == {(1, "a"), (1, "b"), (1, "c"), (2, "x")}
 
 
+def test_insert_and_delete(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
+    after, refused = records.insert_new(rows, spark.createDataFrame([(2, "x"), (3, "c"), (3, "c")], rows.schema), ["k"])
+    assert {tuple(r) for r in after.collect()} == {(1, "a"), (2, "b"), (3, "c")} and [r.k for r in refused.collect()] == [2]
+    assert [r.k for r in records.delete(rows, spark.createDataFrame([(1,)], "k int")).collect()] == [2]
+
+
+def test_shortened(spark):
+    changes = spark.createDataFrame([(f"p{i}", "new") for i in range(5)] + [("q", "changed")], "path string, status string")
+    got = {r.status: (r.shown, r.more) for r in records.shortened(changes, 3).collect()}
+    assert got == {"new": (["p0", "p1", "p2"], 2), "changed": (["q"], 0)}
+
+
 def test_file_changes(spark):
     files = spark.createDataFrame([("a", "1"), ("b", "2"), ("c", "3")], "path string, hash string")
     known = spark.createDataFrame([("a", "1"), ("b", "9")], "path string, hash string")

@@ -18,6 +18,18 @@ def upsert(stored: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     return stored.join(new.select(*keys), keys, "left_anti").unionByName(new)
 
 
+def insert_new(stored: DataFrame, new: DataFrame, keys: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(stored rows and the new ones whose key is free, the new rows refused). Of new rows with one key the first in order counts."""
+    once = new.dropDuplicates(keys)
+    refused = once.join(stored.select(*keys).distinct(), keys, "left_semi")
+    return stored.unionByName(once.join(stored.select(*keys), keys, "left_anti")), refused
+
+
+def delete(stored: DataFrame, keys: DataFrame) -> DataFrame:
+    """The stored rows without those whose key is in `keys`."""
+    return stored.join(keys, keys.columns, "left_anti")
+
+
 def keyword_rows(summaries: DataFrame) -> DataFrame:
     """(summary_id, position, term, weight) from the JSON list `keywords`, positions from 1; null lists have no rows."""
     parsed = F.from_json("keywords", "array<struct<term:string,weight:double>>")

@@ -66,6 +66,23 @@ def keywords(weights: DataFrame, count: int = KEYWORDS) -> DataFrame:
     return weights.where("weight > 0").withColumn("position", F.row_number().over(order)).where(F.col("position") <= count).select("doc_id", "position", "term", F.round("weight", 4).alias("weight"))
 
 
+def with_text(corpus: DataFrame, text: str, doc_id: int = -1) -> DataFrame:
+    """The corpus and, unless one of its texts is just this one, the text under the id `doc_id`."""
+    spark = corpus.sparkSession
+    one = spark.createDataFrame([(doc_id, text)], "doc_id long, text string")
+    return corpus.select(F.col("doc_id").cast("long"), "text").unionByName(one.join(corpus.select("text"), "text", "left_anti").select("doc_id", "text"))
+
+
+def summarize(documents: DataFrame, language: str, method: str = "sentence", count: int = SENTENCES, n_keywords: int = KEYWORDS) -> tuple[DataFrame, DataFrame]:
+    """(sentences, keywords) of every document by the method "sentence" or "lsa"; the number of sentences is kept within 1..20."""
+    if language not in ("en", "es"):
+        raise ValueError(f"no stop words for {language}")
+    if method not in ("sentence", "lsa"):
+        raise ValueError(f"no such method: {method}")
+    scores = sentence_scores(documents, language) if method == "sentence" else lsa_scores(documents, language)
+    return select_sentences(scores, max(1, min(20, count))), keywords(term_weights(documents, language), n_keywords)
+
+
 def lsa_scores(documents: DataFrame, language: str, topics: int = 3) -> DataFrame:
     """(doc_id, index, text, score): the cosine of each sentence with the centroid of all in the space of the first topics.
 

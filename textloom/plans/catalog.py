@@ -268,6 +268,12 @@ def dictionary_page(spark: SparkSession, d: str) -> DataFrame:
     return translate.dictionary_page(_entries(spark, d), "e", page=2, size=20).select("id", "english", "pos_tag", "german", "domain")
 
 
+def dictionary_inserted(spark: SparkSession, d: str) -> DataFrame:
+    entries = _entries(spark, d).select("english", "pos_tag", "domain").distinct()
+    new = entries.where("domain <> 'general'").select("english", "pos_tag", F.lit("general").alias("domain")).distinct()
+    return records.delete(records.insert_new(entries, new, ["english", "pos_tag", "domain"])[0], entries.where("pos_tag = '*'").select("english", "pos_tag"))
+
+
 def translate_direct(spark: SparkSession, d: str) -> DataFrame:
     return translate.translate(_runs(spark, d), translate.overlay(_entries(spark, d), DOMAIN), "direct")
 
@@ -355,7 +361,7 @@ def queries() -> dict[str, Query]:
         vector_search_top50, tokens_en, postings_tf, doc_frequency_idf, tfidf_weights, search_all_words, search_filtered, top_terms_per_doc, suggest,
         snippet_window, snippets, rank_metrics, pr_curve_11pt, rank_metrics_summary, pr_curve_mean, index_after_delete, freq_profile, short_profile,
         langid_scores, langid_freq, langid_short, langid_summary, langid_mlp, char_windows, char_ngrams, sentences_offsets, summary_sentence, keywords, summary_lsa,
-        summary_evaluation, dictionary_overlay, lookup_words, frequency_dictionary, unknown_words, dictionary_seeded, dictionary_page, translate_direct,
+        summary_evaluation, dictionary_overlay, lookup_words, frequency_dictionary, unknown_words, dictionary_seeded, dictionary_inserted, dictionary_page, translate_direct,
         translate_transfer, translation_report, essay_indicators, essay_top_words, speech_chunks, translation_spans, command_log, dictated_essays,
         crawl_changes, crawl_tally, nested_correct_update, upsert_latest, summary_keywords, recent_documents, file_facts, escaped_titles,
     ]

@@ -248,6 +248,8 @@ SELECT word AS english, tag AS pos, german, '{domain}' AS domain FROM look l WHE
 s AS (SELECT english, pos, '{domain}' AS domain, german FROM k WHERE domain = 'general')
 SELECT coalesce(k.english, s.english) AS english, coalesce(k.pos, s.pos) AS pos, coalesce(k.domain, s.domain) AS domain, CASE WHEN coalesce(k.german, '') <> '' THEN k.german ELSE coalesce(s.german, k.german) END AS german
 FROM k FULL JOIN s ON k.english = s.english AND k.pos = s.pos AND k.domain = s.domain""",
+        "dictionary_inserted": """WITH e AS (SELECT DISTINCT english, pos_tag, domain FROM dictionary_entries), a AS (SELECT * FROM e UNION SELECT english, pos_tag, 'general' FROM e WHERE domain <> 'general')
+SELECT a.* FROM a WHERE NOT EXISTS (SELECT 1 FROM e WHERE e.pos_tag = '*' AND e.english = a.english AND e.pos_tag = a.pos_tag)""",
         "dictionary_page": "SELECT DISTINCT id, english, pos_tag, german, domain FROM dictionary_entries WHERE english ILIKE '%e%' OR german ILIKE '%e%' ORDER BY english, pos_tag, id LIMIT 20 OFFSET 20",
         "essay_indicators": f"""WITH {contents}, c AS (SELECT doc_id, len(regexp_extract_all(text, {_rx(fx.ESSAY_WORD_RX)})) AS word_count,
     len(list_filter(string_split_regex(text, '[.!?]+'), lambda p: regexp_matches(p, '{fx.NOT_SPACE}'))) AS sentence_count,
