@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from textloom.llm.hashing import mix
 from textloom.session import checkpoint
 
 #: Rows a task holds before it splits them into files, and the largest file that is aggregated at once.
@@ -62,6 +63,14 @@ def _scratch() -> str:
     return tempfile.mkdtemp(prefix="radix-", dir=local)
 
 
+def _hashes(batch: pa.RecordBatch) -> np.ndarray:
+    """64-bit hashes of (document, term), other bits than the shuffle's."""
+    from pandas.util import hash_array
+
+    documents = batch.column("document_id").fill_null(-1).to_numpy().view(np.uint64)
+    return mix(documents ^ hash_array(batch.column("term").to_numpy(zero_copy_only=False)))
+
+
 class _Radix:
     """Rows of one partition of one level: held in memory, then in files by hash bits."""
 
@@ -86,7 +95,7 @@ class _Radix:
             self.held = []
 
     def _spill(self, batch: pa.RecordBatch) -> None:
-        bits = (batch.column("hash").to_numpy().view(np.uint64) >> np.uint64(self.level * BITS)) & np.uint64((1 << BITS) - 1)
+        bits = (_hashes(batch) >> np.uint64(self.level * BITS)) & np.uint64((1 << BITS) - 1)
         for i in np.unique(bits).tolist():
             part = batch.filter(pa.array(bits == i))
             if self.files[i] is None:
@@ -112,7 +121,7 @@ class _Radix:
 
 
 def _aggregate(rows: DataFrame, limit: int) -> DataFrame:
-    """Partial sums (is_doc, key, occurrences, documents) of rows (hash, id, term, document_id, tf)."""
+    """Partial sums (is_doc, key, occurrences, documents) of rows (id, term, document_id, tf)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import duckdb
@@ -138,8 +147,8 @@ def term_counts(lemmas: DataFrame, postings: DataFrame, limit: int = SPILL_ROWS)
     """((term, occurrences, documents) of every term with counted rows, number of documents with counted rows)."""
     terms = normalised(lemmas).groupBy("id").agg(F.min("term").alias("term")).withColumnRenamed("id", "lemma_id")
     counted = postings.where("tf > 0 and lemma_id is not null").select(F.col("lemma_id").cast("long"), F.col("id").cast("long"), F.col("document_id").cast("long"), F.col("tf").cast("long"))
-    rows = counted.join(terms, "lemma_id").select(F.xxhash64("document_id", F.pmod(F.xxhash64("term"), F.lit(SALT))).alias("hash"), "id", "term", "document_id", "tf")
-    partial = _aggregate(rows.repartition("hash"), limit)
+    rows = counted.join(terms, "lemma_id").select("id", "term", "document_id", "tf")
+    partial = _aggregate(rows.repartition("document_id", F.pmod(F.xxhash64("term"), F.lit(SALT))), limit)
     total = checkpoint(partial.groupBy("is_doc", "key").agg(F.sum("occurrences").alias("occurrences"), F.sum("documents").alias("documents")))
     return total.where("not is_doc").select(F.col("key").alias("term"), "occurrences", "documents"), total.where("is_doc").count()
 
