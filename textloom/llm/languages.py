@@ -42,7 +42,7 @@ ORDERS = (1, 2, 3, 4)
 RIDGE = 1e-3
 PREVIEW = 600
 #: Price of a change of language, in units of log probability, and what a sentence gives at most.
-CHANGE = 3.0
+CHANGE = 4.0
 MOST = 8.0
 #: A sentence whose best score stays below the first has no language, nor has a text whose mean score stays below the second.
 FLOOR, MEAN_FLOOR = 0.15, 0.33
