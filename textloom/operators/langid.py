@@ -20,25 +20,26 @@ def word_counts(training: DataFrame) -> DataFrame:
 
 
 def _probabilities(kept: DataFrame) -> DataFrame:
-    every = W.partitionBy("lang")
-    prob = F.col("n") / F.sum("n").over(every)
-    return kept.select("lang", "word", "n", prob.alias("prob")).withColumn("min_prob", 0.1 * F.min("prob").over(every))
+    """Shares of the kept words' occurrences; totals are one row a language and broadcast."""
+    totals = kept.groupBy("lang").agg(F.sum("n").alias("total"), F.min("n").alias("least"))
+    prob = F.col("n") / F.col("total")
+    return kept.join(F.broadcast(totals), "lang").select("lang", "word", "n", prob.alias("prob"), (0.1 * (F.col("least") / F.col("total"))).alias("min_prob"))
 
 
 def frequent_profile(counts: DataFrame, top: int = TOP_WORDS) -> DataFrame:
     """(lang, word, n, prob, min_prob): the most frequent words, ties by first occurrence; shares of these words' occurrences.
 
-    One row a word and language is left when the window sorts, and a running top-k limits what a task keeps."""
+    The rank is limited before the shuffle, so a task gets `top` words of every partition at most."""
     order = W.partitionBy("lang").orderBy(F.desc("n"), "first")
-    return _probabilities(counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top))
+    return _probabilities(counts.withColumn("r", F.row_number().over(order)).where(F.col("r") <= top).select("lang", "word", "n"))
 
 
 def short_profile(counts: DataFrame, letters: int = SHORT_LETTERS, least: int = SHORT_COUNT) -> DataFrame:
     """(lang, word, n, prob, min_prob) of the words of at most `letters` letters that occur more than `least` times; of all
     short words in a language where none does."""
     short = counts.where(F.length("word") <= letters)
-    passing = short.withColumn("some", F.max(F.col("n") > least).over(W.partitionBy("lang")))
-    return _probabilities(passing.where((F.col("n") > least) | ~F.col("some")))
+    some = F.broadcast(short.groupBy("lang").agg(F.max(F.col("n") > least).alias("some")))
+    return _probabilities(short.join(some, "lang").where((F.col("n") > least) | ~F.col("some")).select("lang", "word", "n"))
 
 
 def log_likelihoods(documents: DataFrame, profile: DataFrame, letters: int | None = None) -> DataFrame:
