@@ -60,7 +60,9 @@ class TrieBpe:
             order = self._merges_from_ranks()
         self.rank = {(a, b): r for r, (a, b, _) in enumerate(order)}
         self.made = {c: (r, a, b) for r, (a, b, c) in enumerate(order)}
-        self.longest = max(map(len, self.ids))
+        self.longest = [1] * 256  # of the tokens that end with each byte
+        for token in self.ids:
+            self.longest[token[-1]] = max(self.longest[token[-1]], len(token))
         self.fits_memo: dict[tuple[int, int], bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
         self.split = regex.compile(PATTERN).findall
@@ -115,7 +117,7 @@ class TrieBpe:
                     shared += 1
             del last[shared + 1 :], start[shared + 1 :]
             for end in range(shared + 1, len(word) + 1):
-                for begin in range(max(0, end - longest), end):
+                for begin in range(max(0, end - longest[word[end - 1]]), end):
                     token = ids.get(word[begin:end])
                     if token is not None and (begin == 0 or fits(last[begin], token)):
                         last.append(token)
