@@ -385,3 +385,18 @@ def test_registered_queries(spark):
     for n, wanted in ((1, "found"), (2, "found"), (3, "found"), (4, "found"), (5, "found"), (6, "ids"), (8, "found")):
         assert f"p{n}_{wanted}" in made
     assert set(queries.oracle_sql()) <= set(made)
+
+
+# --- very long texts
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(9)
+    long = prose(rng, 120_000)
+    rows = [(1, long), (2, long[:400_000] + " cut here " + long[400_000:]), (3, "z" * 700_000), (4, "z" * 600_500), (5, "( “ " * 50_000)]
+    docs = spark.createDataFrame(rows, DOC)
+    got = {tuple(r) for r in spans.shared_spans(docs).collect()}
+    assert (1, 0, len(long)) in got and (3, 0, 700_000) in got and (4, 0, 600_500) in got and {g[0] for g in got} == {1, 2, 3, 4}
+    assert [tuple(r) for r in neardup.pairs(docs).collect()] == [(1, 2)]
+    assert "".join(cut("Ab cd. " * 50_000)).replace(" ", "") == "Abcd." * 50_000
+    assert {r.doc_id: len(r.ids) > 0 for r in encode.encode(docs).collect()} == {i: True for i, _ in rows}
