@@ -7,9 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import search_tokens, stem
+from textloom.session import small
 
 #: Rows of the query table up to which it is broadcast.
 BROADCAST_ROWS = 100_000
+#: Prefixes that are completed in one call: patterns have no join key, so every term is held against each.
+MOST_PREFIXES = 1_000
 #: Digits by which ranks are compared, so that equal sums added in another order stay ties.
 DIGITS = 9
 
@@ -26,8 +29,7 @@ def search(documents: DataFrame, weighted: DataFrame, queries: DataFrame, limit:
     Queries are binary vectors over the vocabulary. With all_words a document must hold every distinct term of the
     query, those outside the vocabulary included, so such a query finds nothing. `since` and `until` bound the date, which is
     compared as a string; an empty bound is open. Ties go to the lower doc_id. Queries without terms find nothing."""
-    asked = query_terms(queries)
-    asked = F.broadcast(asked) if queries.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else asked
+    asked = small(query_terms(queries), BROADCAST_ROWS)
     hits = weighted.join(asked, "term")
     found = hits.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("dot"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched")).where("n_terms > 0")
     # Which terms of a query some document has: sets of matched terms, as many as a query has subsets. All columns are read, so both readers share one shuffle.
@@ -52,7 +54,10 @@ def search(documents: DataFrame, weighted: DataFrame, queries: DataFrame, limit:
 def suggest(vocabulary: DataFrame, documents: DataFrame, prefixes: DataFrame, limit: int = 8, least: int = 2) -> DataFrame:
     """(prefix, place, suggestion): terms that begin with the prefix, then titles that hold it, each in order, at most
     `limit` of each and of both together, equal ones (whatever their case) once. LIKE's signs in a prefix keep their meaning."""
-    asked = F.broadcast(prefixes.where(F.length("prefix") >= least))
+    asked = prefixes.where(F.length("prefix") >= least)
+    if asked.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
+        raise ValueError(f"more than {MOST_PREFIXES} prefixes at once")
+    asked = F.broadcast(asked)
     terms = vocabulary.join(asked, F.expr("term ilike prefix || '%'")).select("prefix", F.lit(0).alias("kind"), F.col("term").alias("suggestion"))
     titles = documents.where("title is not null").select("title").join(asked, F.expr("title ilike '%' || prefix || '%'")).select("prefix", F.lit(1).alias("kind"), F.col("title").alias("suggestion"))
     each = W.partitionBy("prefix", "kind").orderBy("suggestion")

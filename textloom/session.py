@@ -8,6 +8,7 @@ import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def session(master: str = "local[8]", app: str = "textloom", **conf: str) -> SparkSession:
@@ -49,6 +50,11 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small(df: DataFrame, rows: int) -> DataFrame:
+    """`df` with a broadcast hint if it has at most `rows` rows, as it is otherwise; counting stops beyond that."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def ship(spark: SparkSession) -> None:
     """Sends the package to the executors, once a context, so that their Python workers can import it wherever they run."""
     context = spark.sparkContext

@@ -107,7 +107,7 @@ def corpus(spark: SparkSession, manifest: str, folder: str, language: str | None
     listed = spark.read.schema("file string, title string, language string, domain string").json(manifest, multiLine=True)
     listed = listed.where(F.col("language") == language) if language else listed
     texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), F.col("value").alias("text"))
-    return texts.join(F.broadcast(listed), "file").select("file", "title", "language", "domain", "text")
+    return texts.join(listed, "file").select("file", "title", "language", "domain", "text")
 
 
 def profiles(spark: SparkSession, path: str) -> DataFrame:
