@@ -354,6 +354,32 @@ def test_stretches_and_cases(spark, model):
     assert languages.languages(docs.limit(0), model=model).count() == 0
 
 
+FOREIGN = {
+    "es": "Por eso tenemos que esperar hasta el final del mes.",
+    "ru": "По этой причине нам нужно ждать до конца месяца.",
+    "zh": "因此我们必须等到月底。",
+    "ja": "そのため月末まで待たなければならない。",
+    "th": "ดังนั้นเราต้องรอจนถึงสิ้นเดือน",
+    "hi": "इसलिए हमें महीने के अंत तक इंतज़ार करना होगा।",
+}
+
+
+@pytest.mark.parametrize("other", FOREIGN)
+def test_one_sentence_in_another_language_is_a_stretch(model, other):
+    first, last = "The house by the river was sold last year, and nobody knows who lives there now.", "Most of the people who came were from other towns."
+    got = lambda *parts: [languages.LANGUAGES[c] for _, _, c, _ in languages.stretches(model, sentences.Splitter(), ["\n\n".join(parts)])[0]]
+    assert got(first, FOREIGN[other], last) == ["en", other, "en"]
+    assert got(FOREIGN[other], first, last) == [other, "en"]
+    assert got(first, last, FOREIGN[other]) == ["en", other]
+
+
+@pytest.mark.parametrize("other,short", [("zh", "我们必须等到月底。"), ("ja", "月末まで待つ。")])
+def test_short_sentences_without_spaces_at_the_ends(model, other, short):
+    main = "The house by the river was sold last year, and nobody knows who lives there now."
+    got = lambda text: [languages.LANGUAGES[c] for _, _, c, _ in languages.stretches(model, sentences.Splitter(), [text])[0]]
+    assert got(short + "\n\n" + main) == [other, "en"] and got(main + "\n\n" + short) == ["en", other]
+
+
 # --- subjects
 
 

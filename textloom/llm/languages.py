@@ -41,9 +41,12 @@ DIM = 1 << 18
 ORDERS = (1, 2, 3, 4)
 RIDGE = 1e-3
 PREVIEW = 600
-#: Price of a change of language, in units of log probability, and what a sentence gives at most.
-CHANGE = 4.0
+#: Price of a change of language, in units of log probability, and what a sentence gives at most. A sentence between two of
+#: another language pays the price twice, so twice the price stays well below what a sure sentence gives.
+CHANGE = 2.75
 MOST = 8.0
+#: Letters from which a sentence counts in full, and how many letters one of a denser script stands for.
+FULL, IDEOGRAPH, SYLLABLE = 30.0, 5, 3
 #: A sentence whose best score stays below the first has no language, nor has a text whose mean score stays below the second.
 FLOOR, MEAN_FLOOR = 0.15, 0.33
 
@@ -97,6 +100,8 @@ def _plain(text: str) -> str:
 
 
 _SPACE = re.compile(r"[\W\d_]+")
+_IDEOGRAPHS = re.compile(r"[぀-ヿ㐀-鿿]")
+_SYLLABLES = re.compile(r"[ऀ-ॿ฀-๿]")
 _MARKS = re.compile(r"[\s\d_!-/:-@\[-`{-~«»“”„…—–。，、！？（）「」]+")
 
 
@@ -137,6 +142,11 @@ def _sums(table: np.ndarray, hashes: np.ndarray, starts: np.ndarray) -> np.ndarr
     return out
 
 
+def _extent(text: str, letters: int) -> int:
+    """Letters of a text, as many as it would have in an alphabet."""
+    return letters + (IDEOGRAPH - 1) * len(_IDEOGRAPHS.findall(text)) + (SYLLABLE - 1) * len(_SYLLABLES.findall(text))
+
+
 @dataclass
 class Model:
     weights: np.ndarray
@@ -230,7 +240,7 @@ def stretches(model: Model, splitter: Splitter, texts: list[str | None]) -> list
     letters = np.array([sum(map(len, _WORDS.findall(p))) for p in pieces])
     speaks = (best >= FLOOR) & (letters >= 3)
     first = scores.argmax(axis=1)
-    strength = np.minimum(letters / 30.0, 1.0)
+    strength = np.minimum(np.array([_extent(p, n) for p, n in zip(pieces, letters)]) / FULL, 1.0)
     out: list[list[tuple[int, int, int, float]]] = []
     at = 0
     for text, mine in zip(texts, spans):
