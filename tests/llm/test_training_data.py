@@ -316,6 +316,23 @@ def test_unknown_abbreviation_is_learnt_from_the_document():
     assert cut("We saw the cold. Smith came.") == ["We saw the cold.", "Smith came."]
 
 
+def test_names_and_small_words_decide_after_abbreviations():
+    ends = "The doctor gave me vitamin C. The cat slept all day. Nobody saw the cat there."
+    assert cut(ends) == ["The doctor gave me vitamin C.", "The cat slept all day.", "Nobody saw the cat there."]
+    assert cut("Der Rat wählte Plan B. Der Arzt kam später. Niemand sah, wo der Arzt war.")[0] == "Der Rat wählte Plan B."
+    assert cut("These songs have no. The answer surprised everybody. The band likes the songs.")[0] == "These songs have no."
+    for one in ("We met J. Smith there. The Smith family left.", "He read p. Smith there; and then Smith left the house.", "Ask Mr. The there. The house is the best."):
+        assert len(cut(one)) == (1 if ";" in one else 2)
+
+
+def test_collection_decides_where_the_document_is_silent(spark):
+    texts = ["The train left early.", "They saw the river.", "The bus took the road.", "We like the sea.", "Take vitamin C. The rest comes later."]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    evidence = sentences.gather_evidence(docs, "content")
+    assert evidence.small == {"the"}
+    assert len(sentences.Splitter(evidence).split(texts[-1])) == 2 and len(sentences.Splitter().split(texts[-1])) == 1
+
+
 def test_sentence_rows(spark):
     docs = spark.createDataFrame([(1, "Ab cd. Ef gh.", "x"), (2, None, "x"), (3, " ", "x"), (None, "No id.", "x")], "doc_id long, content string, rec_id string")
     runs = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (2, None)], "id long, source_text string")

@@ -2,9 +2,11 @@
 
 Method: document-centred disambiguation. Whether a full stop ends a sentence is decided by what stands unambiguously
 elsewhere: a token that is somewhere followed by a stop and then by a small letter or a comma is an abbreviation, a
-word that begins a block begins sentences. First the document itself is asked, then counts over the whole
+word that begins a block begins sentences, a capital on a word that is otherwise small marks a beginning, a word that has
+its capital inside sentences too is a name. First the document itself is asked, then counts over the whole
 collection, then short lists of common abbreviations; script rules cover the rest: full-width marks and dandas
 end at once, Thai ends at the space between two statements, a stop after Devanagari marks an abbreviation.
+Titles and words that lead on ("Mr.", "e.g.") never end a sentence, whatever follows.
 
 Layout: a blank line ends everything. A single line break is a wrap if the next word would not have fitted into the
 line, else it sets a heading or a line apart. Quotations and brackets inside a sentence do not end it.
@@ -46,6 +48,11 @@ BEFORE = frozenset(
     ris ul sm tabl tys mln gl
     डॉ प्रो पृ सं श्री ดร นพ พญ ศ รศ ผศ""".replace("\n", " ").replace("z. b ", "z.b ").split()
 ) | frozenset(["z. b", "d. h", "u. a", "p. ej", "p. ex", "т. е", "i. e", "e. g", "o. ä", "м", "об", "оп"])
+# Of these, the ones that always lead on to what follows: titles, kinds of streets, words of comparison.
+LEADS_ON = frozenset(
+    """dr dra prof mr mrs ms st sr sra fr hr hrn dipl ing rev gen col capt cf vgl vs viz ca approx e.g i.e z.b d.h u.a p.ej p.ex bzw sog ggf evtl av
+    véase проф д-р см ул пр пл им т.е др. гр акад доц див вул ul sm डॉ प्रो ดร นพ พญ ศ รศ ผศ""".split()
+) | frozenset(["z. b", "d. h", "u. a", "p. ej", "p. ex", "т. е", "i. e", "e. g", "o. ä"])
 LAST = frozenset(["etc", "usw", "inc", "ltd", "co", "al", "p.m", "a.m", "p. m", "a. m", "aprox", "т. д", "т.д", "т. п", "т.п", "др", "пр", "ін", "н. э", "н.э", "н. е", "н.е", "руб", "коп", "std", "min", "sek", "jr", "u. s. w", "і т. д", "грн", "t. d", "t. p"])
 LISTS = frozenset(["etc", "usw", "т. д", "т.д", "т. п", "т.п", "t. d", "t. p", "u. s. w"])
 # Words that report direct speech, and words that go on after dots.
@@ -72,11 +79,13 @@ _ENDS = re.compile(r"[.!?…。！？।॥｡][»”\"'’)\]）］」』】“
 
 @dataclass
 class Evidence:
-    """What the whole collection says: tokens before a stop that went on, tokens before a stop at the end of a block, first words of blocks."""
+    """What the whole collection says: tokens before a stop that went on, tokens before a stop at the end of a block, first words of blocks,
+    words after a short token's stop that have a small letter elsewhere and hardly ever a capital inside sentences."""
 
     going_on: dict[str, int] = field(default_factory=dict)
     final: dict[str, int] = field(default_factory=dict)
     starts: dict[str, int] = field(default_factory=dict)
+    small: set[str] = field(default_factory=set)
 
 
 def _lines(text: str) -> Iterator[list[tuple[int, int]]]:
@@ -176,6 +185,7 @@ class Splitter:
         letters = [c for c in text[:4000] if c.isalpha() and c.lower() != c.upper()]
         self.capitals = len(letters) > 20 and sum(map(str.isupper, letters)) > 0.8 * len(letters)
         self.own = self._own_evidence(text)
+        self.text, self.words = text, None
         out: list[tuple[int, int]] = []
         self.headings: list[bool] = []  # of each span: it stands alone and has no final mark
         for s, e in _segments(text):
@@ -193,6 +203,21 @@ class Splitter:
         """Tokens the document itself shows to be abbreviations."""
         return {w for w, kind in stops(text) if kind == "on"}
 
+    def _begins(self, word: str) -> bool | None:
+        """Whether the capital of a word after an abbreviation comes from the start of a sentence; None if nothing tells."""
+        if self.capitals or not word:
+            return None
+        if self.words is None:
+            first = {m.group(1).lower() for m in _AFTER_END.finditer(self.text)}
+            self.words = small_words(self.text), {w.lower() for w in names(self.text)}, first
+        small, name, first = self.words
+        if (word in small) == (word in name):  # the document doesn't tell
+            if word not in self.evidence.small:
+                return False if word in name else None
+        elif word in name:
+            return False
+        return True if word in first or word in self.evidence.starts else None
+
     def _split_segment(self, seg: str) -> list[tuple[int, int]]:
         quotes = _quotes(seg)
         open_end = not _ENDS.search(seg)
@@ -325,11 +350,12 @@ class Splitter:
             if low in ("al", "inc", "co", "ltd"):
                 return None if word in SPEECH else end
             return end
+        begins = self._begins(word) if _is_upper(c) else None
         if low == "г" or low == "р":
-            return end if seg[start:s].rstrip("гр ").endswith(tuple("0123456789")) and word in self.evidence.starts else None
+            return end if seg[start:s].rstrip("гр ").endswith(tuple("0123456789")) and (begins or begins is None and word in self.evidence.starts) else None
         if low in BEFORE or len(short) == 1 and short.isalpha():
-            return None
-        if self._abbreviation(low) and word not in self.evidence.starts:
+            return end if begins and low not in LEADS_ON and short not in LEADS_ON else None
+        if self._abbreviation(low) and not begins and (begins is False or word not in self.evidence.starts):
             return None
         return end
 
@@ -343,6 +369,9 @@ class Splitter:
 
 
 _STOP = re.compile(r"((?:[^\W\d_]\.\s?)*[^\W\d_]{1,6})\.(?:\s+|(?=[,;)]))(\S)")
+_AFTER_END = re.compile(r"(?:\A|\n\s*\n|[^\W\d_]{7}\.\s+|[!?…]\s+)[\s“„\"«»(¿¡—–-]*([^\W\d_]+(?:['’-][^\W\d_]+)*)")
+_AFTER_SHORT = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,6}\.\s+[“„\"«»(¿¡—–-]*([^\W\d_]+(?:['’-][^\W\d_]+)*)")
+_INSIDE = re.compile(r"(?<=[\w,;] )[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _FIRST = re.compile(r"\W*([^\W\d_]+)")
 _LAST = re.compile(r"((?:[^\W\d_]\.\s?)*[^\W\d_]{1,6})\.\W*\Z")
 
@@ -357,6 +386,16 @@ def stops(text: str) -> Iterator[tuple[str, str]]:
                 yield re.sub(r"\s+", " ", m.group(1).lower()), "on"
 
 
+def small_words(text: str) -> set[str]:
+    """Words that stand in small letters somewhere."""
+    return {w for w in _WORD_AFTER.findall(text) if w.islower()}
+
+
+def names(text: str) -> Iterator[str]:
+    """Words that have a capital inside a sentence."""
+    return (w for w in _INSIDE.findall(text) if _is_upper(w[0]) and not w[1:].isupper() and len(w) > 1)
+
+
 def _count(texts: list[str | None]) -> Counter[tuple[str, str]]:
     counts: Counter[tuple[str, str]] = Counter()
     for text in texts:
@@ -364,6 +403,12 @@ def _count(texts: list[str | None]) -> Counter[tuple[str, str]]:
             continue
         for word, _ in stops(text):
             counts["on", word] += 1
+        for word in small_words(text):
+            counts["small", word] += 1
+        for word in {w.lower() for w in names(text)}:
+            counts["name", word] += 1
+        for word in {w.lower() for w in _AFTER_SHORT.findall(text) if _is_upper(w[0])}:
+            counts["after", word] += 1
         for block in _lines(text):
             body = text[block[0][0] : block[-1][1]]
             first = _FIRST.match(body)
@@ -376,7 +421,8 @@ def _count(texts: list[str | None]) -> Counter[tuple[str, str]]:
 
 
 def gather_evidence(texts: DataFrame, column: str) -> Evidence:
-    """Counts over every text; only tokens with `SHARE` of their kind's occurrences come to the driver, at most 1 / SHARE a kind."""
+    """Counts over every text; only tokens with `SHARE` of their kind's occurrences come to the driver, at most 1 / SHARE a kind, and
+    the words after a short token's stop that at least three texts have in small letters and at most a quarter as many as a name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -386,9 +432,13 @@ def gather_evidence(texts: DataFrame, column: str) -> Evidence:
 
     counted = texts.select(column).mapInArrow(run, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
     rows = checkpoint(counted)
+    number = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
+    words = rows.where(F.col("kind").isin("small", "name", "after")).groupBy("word").agg(*[number(k).alias(k) for k in ("small", "name", "after")])
+    small = words.where("after > 0 and small >= 3 and small > 4 * name").select("word").collect()
+    rows = rows.where(F.col("kind").isin("on", "final", "start"))
     total = rows.groupBy("kind").agg(F.sum("n").alias("total"))
     kept = rows.join(F.broadcast(total), "kind").where((F.col("n") >= SHARE * F.col("total")) & (F.col("n") >= 2)).select("kind", "word", "n").collect()
-    made = Evidence()
+    made = Evidence(small={r[0] for r in small})
     for kind, word, n in kept:
         {"on": made.going_on, "final": made.final, "start": made.starts}[kind][word] = n
     return made
