@@ -32,6 +32,24 @@ def test_perceptron(spark):
     assert got[1].predicted == "en" and got[2].predicted == "ru" and got[3].probability == 0
 
 
+def test_the_perceptron_query_trains_the_full_model(spark, monkeypatch):
+    from textloom.plans import catalog
+
+    docs = spark.createDataFrame([(i, "en" if i % 2 else "ru", "the quick brown fox jumps over" if i % 2 else "быстрая лиса прыгает через собаку") for i in range(700)], "doc_id long, lang string, text string")
+    monkeypatch.setattr(catalog, "_docs", lambda *_: docs)
+    asked, train = [], langid_ml.train
+
+    def small(texts, **sizes):
+        asked.append((texts.count(), sizes))
+        return train(texts.limit(20), features=50, hidden=4, iterations=5)
+
+    monkeypatch.setattr(langid_ml, "train", small)
+    assert catalog.langid_mlp(spark, "").count() == 700
+    catalog.langid_mlp(spark, "", texts=650)
+    assert asked == [(langid_ml.TEXTS, {}), (650, {})]
+    assert (langid_ml.FEATURES, langid_ml.HIDDEN, langid_ml.ITERATIONS) == (3000, 64, 800) and train.__defaults__ == (3000, 64, 800)
+
+
 def test_sentence_offsets(spark):
     text = "First one. Second!\nstill?\n\n\n  Third. ... x"
     docs = spark.createDataFrame([(1, text), (2, None), (3, "...")], "doc_id long, text string")

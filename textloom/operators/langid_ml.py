@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions.text import char_windows, clean, let
 
-FEATURES, HIDDEN, SEED = 3000, 64, 42
+FEATURES, HIDDEN, ITERATIONS, SEED = 3000, 64, 800, 42
+#: Labelled texts a query trains on at most, drawn by a hash of the id: Spark ML multiplies dense rows, so all texts of a large collection are out of reach.
+TEXTS = 600
 
 
 def windows(texts: DataFrame) -> DataFrame:
@@ -27,7 +29,7 @@ def _grams(texts: DataFrame) -> DataFrame:
     return texts.withColumn("grams", F.coalesce(let(clean(F.col("text")), grams), F.array().cast("array<string>")))
 
 
-def train(texts: DataFrame, features: int = FEATURES, hidden: int = HIDDEN, iterations: int = 60) -> tuple[PipelineModel, list[str]]:
+def train(texts: DataFrame, features: int = FEATURES, hidden: int = HIDDEN, iterations: int = ITERATIONS) -> tuple[PipelineModel, list[str]]:
     """(model, languages) from texts (lang, text). Layers are the vocabulary, `hidden` and the languages."""
     rows = _grams(windows(texts))
     prepare = Pipeline(stages=[StringIndexer(inputCol="lang", outputCol="label", stringOrderType="alphabetAsc"), CountVectorizer(inputCol="grams", outputCol="tf", vocabSize=features), IDF(inputCol="tf", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features")]).fit(rows)

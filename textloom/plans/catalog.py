@@ -202,8 +202,8 @@ def langid_summary(spark: SparkSession, d: str) -> DataFrame:
     return langid.accuracy(both, _docs(spark, d).select("doc_id", "true_language")).withColumn("accuracy", F.round("accuracy", 6))
 
 
-def langid_mlp(spark: SparkSession, d: str) -> DataFrame:
-    model, labels = langid_ml.train(_training(spark, d).orderBy(F.xxhash64("doc_id")).limit(150), features=1000, hidden=16, iterations=40)  # a bounded training set
+def langid_mlp(spark: SparkSession, d: str, texts: int = langid_ml.TEXTS) -> DataFrame:
+    model, labels = langid_ml.train(_training(spark, d).orderBy(F.xxhash64("doc_id")).limit(texts))
     return langid_ml.predict(_docs(spark, d), model, labels)
 
 
