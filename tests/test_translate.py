@@ -74,6 +74,22 @@ def test_frames(spark, entries):
     assert ("algorithm", "NN") not in {(r.english, r.pos) for r in added}
 
 
+def test_report_has_the_tags_of_the_tagger(spark, entries, monkeypatch):
+    from textloom.plans import catalog
+
+    text = "The simple algorithm processes data because she can improve it quickly. We saw Paris."
+    runs = spark.createDataFrame([(1, "T", "D", "2026-01-01", 13, 5, text, "x"), (2, None, None, None, 0, 0, None, None)], "id long, title string, domain string, created_at string, word_count int, translated_count int, source_text string, translated_text string")
+    runs = runs.withColumn("created_at", runs.created_at.cast("timestamp"))
+    monkeypatch.setattr(catalog, "table", lambda _, __, name: {"translation_runs": runs, "dictionary_entries": entries}[name])
+    got = {r.id: r.report for r in catalog.translation_report(spark, "").collect()}
+    lines = [x.split("\t") for x in got[1].split("Frequency dictionary:\n")[1].split("\n")]
+    lexicon = tr.Lexicon.of(tr.overlay(entries, "computer_science"))
+    _, _, _, seen, _ = tr.translate_text(text, lexicon, tr.suffix_tagger(lexicon.tags()))
+    assert sorted((x[1], x[3]) for x in lines) == sorted(seen)
+    assert {"DT", "JJ", "VBZ", "IN", "PRP", "MD", "RB", "NNP"} <= {x[3] for x in lines}
+    assert {x[1]: x[2] for x in lines}["processes"] == "verarbeitet" and got[2].endswith("Frequency dictionary:\n")
+
+
 def test_seeding(spark):
     key = "english string, pos string, domain string, german string"
     have = spark.createDataFrame([("a", "*", "general", ""), ("b", "*", "general", "alt")], key)

@@ -82,6 +82,12 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", (F.col("i") * 100_000 + F.col("j")).alias("pos"), F.lower("w").alias("word")).withColumn("tag", suffix_tag(F.col("word")))
 
 
+def _tagged(spark: SparkSession, d: str) -> DataFrame:
+    """The words of the runs with the tags of the operator's tagger."""
+    lexicon = translate.Lexicon.of(translate.overlay(_entries(spark, d), DOMAIN))
+    return translate.tagged_words(_runs(spark, d), translate.suffix_tagger(lexicon.tags()))
+
+
 def tokens_en(spark: SparkSession, d: str) -> DataFrame:
     return index.tokens(_docs(spark, d))
 
@@ -284,7 +290,7 @@ def translate_transfer(spark: SparkSession, d: str) -> DataFrame:
 
 def translation_report(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "translation_runs").dropDuplicates(["id"]).withColumn("method", F.lit("transfer"))
-    return translate.report(runs, frequency_dictionary(spark, d))
+    return translate.report(runs, translate.frequency_dictionary(_tagged(spark, d), translate.overlay(_entries(spark, d), DOMAIN)))
 
 
 def essay_indicators(spark: SparkSession, d: str) -> DataFrame:
