@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+_folders: set[str] = set()
+
 
 def session(master: str = "local[8]", app: str = "textloom", **conf: str) -> SparkSession:
     """A local session for tests and benchmarks; a cluster brings its own."""
@@ -31,23 +36,35 @@ def session(master: str = "local[8]", app: str = "textloom", **conf: str) -> Spa
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`, or one of our own where the session names none."""
+    """The folder all executors share: `spark.checkpoint.dir`, or, on one machine only, one of our own where the session names none."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._conf.get("spark.checkpoint.dir")
     if named:
         return named
-    own = "file://" + os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(own)
-    return own
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes `df` to the shared folder and reads it from there: the lineage ends, and a lost executor costs no recomputation."""
+    """Writes `df` as a table to the shared folder and reads it from there: the lineage ends, a lost executor costs no
+    recomputation, and readers take the columns they need. The tables of an application go when its Python process ends."""
     spark = df.sparkSession
-    folder = shared_dir(spark)
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    folder = f"{shared_dir(spark).rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
+    if folder not in _folders:
+        _folders.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    try:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    except Exception:  # the gateway may be gone already; a local folder is removed without it
+        if folder.startswith("file:"):
+            shutil.rmtree(folder[folder.index("/") :].replace("//", "/", 1), ignore_errors=True)
 
 
 def small(df: DataFrame, rows: int) -> DataFrame:
@@ -62,6 +79,7 @@ def ship(spark: SparkSession) -> None:
         return
     package = Path(__file__).resolve().parent
     folder = tempfile.mkdtemp(prefix="textloom-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     archive = os.path.join(folder, "textloom.zip")
     with zipfile.ZipFile(archive, "w") as out:
         for path in sorted(package.rglob("*.py")):
