@@ -137,24 +137,41 @@ def brute_spans(rows, n):
     return out
 
 
-@pytest.mark.parametrize("hot", [4096, 1])
-@pytest.mark.parametrize("n, gram", [(200, 100), (40, 25)])
-def test_spans_are_those_of_brute_force(spark, family, n, gram, hot):
+@pytest.mark.parametrize("hot, bits", [(4096, 64), (1, 64), (1, 3)])
+@pytest.mark.parametrize("n, gram, hashes", [(200, 80, 2), (40, 25, 1), (60, 25, 4)])
+def test_spans_are_those_of_brute_force(spark, family, n, gram, hashes, hot, bits):
     docs = spark.createDataFrame(family, DOC)
-    got = [tuple(r) for r in spans.shared_spans(docs, n, gram, hot).collect()]
+    got = [tuple(r) for r in spans.shared_spans(docs, n, gram, hot, hashes, bits).collect()]
     assert len(got) == len(set(got)) and set(got) == brute_spans(family, n)
 
 
+def test_compact_windows_are_the_nodes_of_the_tree():
+    values = np.random.default_rng(3).integers(0, 1 << 62, 400, dtype=np.uint64)
+    values[50:60] = values[50]
+    low, node, high = (x.tolist() for x in spans.compact_windows(values, np.array([0, 150]), np.array([150, 250]), 12))
+    packed = ((values & ~spans._PLACE) | np.arange(400, dtype=np.uint64)).tolist()
+    expected = set()
+    for s, e in ((0, 150), (150, 400)):
+        for c in range(s, e):
+            a, b = c, c
+            while a > s and packed[a - 1] > packed[c]:
+                a -= 1
+            while b + 1 < e and packed[b + 1] > packed[c]:
+                b += 1
+            if b - a + 1 >= 12:
+                expected.add((a, c, b))
+    assert set(zip(low, node, high)) == expected and len(node) == len(expected)
+
+
 def test_spans_across_blocks(spark, monkeypatch):
-    monkeypatch.setattr(spans, "BLOCK", 300)
     rng = random.Random(5)
     a, b = (prose(rng, 150) for _ in range(2))
     texts = [a, b + a[100:500] + b[::-1]]
-    rows = [spans.compact_windows(texts, 60, 30)]
-    monkeypatch.setattr(spans, "BLOCK", 1 << 19)
-    whole = spans.compact_windows(texts, 60, 30)
+    whole = spans.segments(texts, 60, 30)
+    monkeypatch.setattr(spans, "BLOCK", 300)
     covered = lambda w: {(r, k, s) for r, f, l, s in zip(*(x.tolist() for x in w)) for k in range(f, l + 1)}  # noqa: E731, E741
-    assert covered(rows[0]) == covered(whole)
+    assert covered(spans.segments(texts, 60, 30)) == covered(whole)
+    assert {r for r, *_ in covered(whole)} == {0, 1} and len(covered(whole)) == sum(len(t) - 59 for t in texts)
 
 
 def test_span_edges(spark):

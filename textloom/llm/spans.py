@@ -1,21 +1,23 @@
 """Problem 8: long exact spans shared between records.
 
-Method: compact windows. The tokens of a text are its character grams (one from each position), and the signature
-of a subsequence is the least hash of its tokens. All subsequences that share a signature form compact windows, the
-nodes of the Cartesian tree over the token hashes; only those wide enough for `min_chars` matter, and a text of n
-characters has about 2n / (min_chars - gram + 1) of them. Two texts that share a stretch of `min_chars` characters
-share its tokens, so under any one hash both have a compact window of the same signature around it: for exact
-stretches a single hash finds every pair, and more hashes would only repeat it. The tree is not built node by node:
-sliding minima give the signature of every stretch of `min_chars` characters, and runs of equal signatures are the
-compact windows.
-
-Signatures that stand in one document only are dropped after a pre-aggregated count. For the others the characters
-of the compact window are compared with those of the other windows of that signature, stretch by stretch, without
-forming pairs: a stretch is shared if the same stretch comes from a second document. Hits are confirmed on the
-characters themselves, so a hash collision cannot give a row.
-
-A signature of more than `HOT` documents (boilerplate) is never gathered in one task: its stretches are counted by
-a pre-aggregated grouping on a 128-bit hash and joined back, which adaptive execution splits.
+Method: compact windows. The tokens of a text are its character grams (one from each position), and the signature of a
+subsequence under a hash function is the least hash of its tokens. All subsequences with the same least token form a
+compact window (l, c, r): they begin at l..c and end at c..r, c being a node of the Cartesian tree over the token hashes
+and l..r what hangs below it. Only nodes that hang over enough tokens for `min_chars` matter, about 2n / (tokens + 1) of a
+text of n characters; they are the top of the tree, so sliding minima pick them and one pass with a stack links them.
+
+This is done for `HASHES` hash functions. The windows of one function are intervals of beginnings that tile the text,
+and the interval join of all functions' windows cuts it into segments whose signatures agree in every function. Two
+texts that share a stretch of `min_chars` characters share its tokens, so their segments around it have equal
+signatures throughout: nothing is missed, and each further function only takes away segments that merely look alike.
+
+Signatures of one document only are dropped after a pre-aggregated count. For the others the characters of the segments
+are compared, stretch by stretch, without forming pairs: a stretch is shared if the same stretch comes from a second
+document. Hits are confirmed on the characters themselves on every path, so a hash collision can neither give nor lose a row.
+
+A signature of more than `HOT` segments (boilerplate) is never gathered in one task: equal segments are grouped by their
+characters, one of each goes on, its stretches meet in a pre-aggregated grouping on a 128-bit hash, neighbouring ones
+are joined to runs, and the characters of each run are compared with those of the run it was matched with.
 
 Defined cases: null and short texts have no rows; a stretch repeated inside one document only is not shared; rows
 with a null id are left out; rows repeated with the same id count as one document. Positions are code points.
@@ -31,14 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.llm.hashing import BLOCK, codes, gram_hashes, sliding_min
+from textloom.llm.hashing import BLOCK, codes, gram_hashes, mix, sliding_min
 from textloom.session import checkpoint
 
 MIN_CHARS = 200
-GRAM = 100
-#: Documents of one signature that one task may hold.
+GRAM, HASHES = 80, 2
+#: Segments of one signature that one task may hold.
 HOT = 4096
 _SECOND_BASE = 0xD6E8FEB86659FD93 | 1
+#: Low bits of a packed token hash that hold its position in the block.
+_PLACE = np.uint64((1 << 20) - 1)
 
 
 def blocks(texts: list[str | None], min_chars: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -70,55 +74,92 @@ def blocks(texts: list[str | None], min_chars: int) -> Iterator[tuple[np.ndarray
         yield flush()
 
 
-def compact_windows(texts: list[str | None], min_chars: int = MIN_CHARS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first, last, signature): the stretches of `min_chars` characters that start at first..last share the signature."""
+def cartesian(nodes: np.ndarray, values: np.ndarray, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+    """(l, r) of each node (position) of the Cartesian tree over first..last: as far as no lesser value stands.
+
+    The nodes must be the top of the tree: whatever bounds one of them is among them."""
+    low, high = [first] * len(nodes), [last] * len(nodes)
+    at, value = nodes.tolist(), values.tolist()
+    open_: list[int] = []
+    for i, v in enumerate(value):
+        while open_ and value[open_[-1]] > v:
+            high[open_.pop()] = at[i] - 1
+        if open_:
+            low[i] = at[open_[-1]] + 1
+        open_.append(i)
+    return np.array(low, dtype=np.int64), np.array(high, dtype=np.int64)
+
+
+def compact_windows(tokens: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(l, c, r) of the compact windows of at least `width` tokens of each part; part k has tokens[starts[k] : starts[k] + lengths[k]]."""
+    packed = (tokens & ~_PLACE) | np.arange(len(tokens), dtype=np.uint64)
+    least = sliding_min(packed, width)
     found: list[tuple[np.ndarray, ...]] = []
+    for s, n in zip(starts.tolist(), lengths.tolist()):
+        top = least[s : s + n - width + 1]
+        top = top[np.flatnonzero(np.diff(top, prepend=~top[:1]))]
+        nodes = (top & _PLACE).astype(np.int64)
+        low, high = cartesian(nodes, top, s, s + n - 1)
+        found.append((low, nodes, high))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def segments(texts: list[str | None], min_chars: int = MIN_CHARS, gram: int = GRAM, hashes: int = HASHES) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first, last, signature): the stretches of `min_chars` characters that begin at first..last have equal signatures in every function."""
+    found: list[tuple[np.ndarray, ...]] = []
+    width = min_chars - gram + 1
     for points, rows, at, starts in blocks(texts, min_chars):
-        low = sliding_min(gram_hashes(points, gram), min_chars - gram + 1)
-        counts = np.diff(starts) - min_chars + 1
-        part = np.repeat(np.arange(len(counts)), counts)
-        offset = np.arange(len(part)) - np.repeat(np.cumsum(counts) - counts, counts)
-        signature = low[starts[part] + offset]
-        head = np.ones(len(part), dtype=bool)
-        head[1:] = (signature[1:] != signature[:-1]) | (part[1:] != part[:-1])
-        first = np.flatnonzero(head)
-        last = np.append(first[1:], len(part)) - 1
-        found.append((rows[part[first]], at[part[first]] + offset[first], at[part[first]] + offset[last], signature[first].view(np.int64)))
+        grams = gram_hashes(points, gram)
+        lengths = np.diff(starts) - gram + 1
+        edges, owners = [], []
+        for k in range(hashes):
+            tokens = mix(grams ^ np.uint64(k * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF)) if k else grams
+            low, node, _ = compact_windows(tokens, starts[:-1], lengths, width)
+            edges.append(np.maximum(low, node - width + 1))  # first beginning of a stretch whose least token is the node
+            owners.append(tokens[node])
+        first = np.unique(np.concatenate(edges))
+        signature = np.zeros(len(first), dtype=np.uint64)
+        for edge, owner in zip(edges, owners):  # the interval join: the window of each function that holds the beginning
+            signature = mix(signature * np.uint64(0x100000001B3) + owner[np.searchsorted(edge, first, side="right") - 1])
+        part = np.searchsorted(starts, first, side="right") - 1
+        last = np.append(first[1:], 0) - 1
+        ends = np.append(part[1:] != part[:-1], True)
+        last[ends] = starts[part[ends] + 1] - min_chars
+        shift = at[part] - starts[part]
+        found.append((rows[part], first + shift, last + shift, signature.view(np.int64)))
     if not found:
         return tuple(np.empty(0, dtype=np.int64) for _ in range(4))
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
-def signatures(documents: DataFrame, min_chars: int, gram: int) -> DataFrame:
-    """(sig, doc_id), once for each document."""
+def _segments(documents: DataFrame, min_chars: int, gram: int, hashes: int) -> DataFrame:
+    """(doc_id, version, sig, first, last) of documents (doc_id, version, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids = batch.column(0).to_numpy(zero_copy_only=False)
-            row, _, _, sig = compact_windows(batch.column(1).to_pylist(), min_chars, gram)
-            order = np.lexsort((sig, row))
-            row, sig = row[order], sig[order]
-            new = np.ones(len(row), dtype=bool)
-            new[1:] = (row[1:] != row[:-1]) | (sig[1:] != sig[:-1])
-            yield pa.RecordBatch.from_arrays([pa.array(sig[new]), pa.array(ids[row[new]].astype(np.int64))], names=["sig", "doc_id"])
+            row, first, last, sig = segments(batch.column(2).to_pylist(), min_chars, gram, hashes)
+            take = pa.array(row)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(take), batch.column(1).take(take), pa.array(sig), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))], names=["doc_id", "version", "sig", "first", "last"])
 
-    return documents.mapInArrow(run, "sig long, doc_id long")
+    return documents.mapInArrow(run, "doc_id long, version long, sig long, first int, last int")
 
 
-def contexts(rows: DataFrame, min_chars: int, gram: int) -> DataFrame:
-    """(sig, doc_id, base, ctx): the characters of each compact window whose signature is in the row's list `sigs`."""
+def _contexts(rows: DataFrame, min_chars: int) -> DataFrame:
+    """(sig, doc_id, base, ctx, hot): the characters of the segments listed with each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_pylist()
-            wanted = batch.column(2).flatten().to_numpy(zero_copy_only=False)
-            row, first, last, sig = compact_windows(texts, min_chars, gram)
-            keep = np.isin(sig, wanted)
-            row, first, last, sig = row[keep], first[keep], last[keep], sig[keep]
-            ctx = [texts[r][a : b + min_chars] for r, a, b in zip(row.tolist(), first.tolist(), last.tolist())]
-            yield pa.RecordBatch.from_arrays([pa.array(sig), pa.array(ids[row].astype(np.int64)), pa.array(first.astype(np.int32)), pa.array(ctx, pa.string())], names=["sig", "doc_id", "base", "ctx"])
+            lists = batch.column(2)
+            row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            if not len(row):
+                continue
+            part = lists.flatten()
+            texts = batch.column(1).to_pylist()
+            first, last = part.field("first"), part.field("last")
+            ctx = [texts[r][a : b + min_chars] for r, a, b in zip(row.tolist(), first.to_pylist(), last.to_pylist())]
+            yield pa.RecordBatch.from_arrays([part.field("sig"), batch.column(0).take(pa.array(row)), first, pa.array(ctx, pa.string()), part.field("hot")], names=["sig", "doc_id", "base", "ctx", "hot"])
 
-    return rows.mapInArrow(run, "sig long, doc_id long, base int, ctx string")
+    return rows.mapInArrow(run, "sig long, doc_id long, base int, ctx string, hot boolean")
 
 
 def shared_stretches(doc: np.ndarray, base: np.ndarray, ctx: list[str], min_chars: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -201,19 +242,44 @@ def _cold(rows: DataFrame, min_chars: int) -> DataFrame:
     return rows.repartition("sig").sortWithinPartitions("sig").mapInArrow(run, "doc_id long, span_start int, span_end int")
 
 
-def _hot(rows: DataFrame, min_chars: int) -> DataFrame:
+def _hot(rows: DataFrame, min_chars: int, bits: int) -> DataFrame:
+    """Spans of segments (doc_id, base, ctx) whose signature is frequent. `bits` of each half of the hash are looked at."""
+    same = rows.groupBy("ctx").agg(F.min(F.struct("doc_id", "base")).alias("one"), F.max("doc_id").alias("hi"))
+    same = checkpoint(same.select("ctx", F.col("one.doc_id").alias("rep"), F.col("one.base").alias("at"), (F.col("hi") != F.col("one.doc_id")).alias("several")))
+    placed = rows.join(same, "ctx")
+    whole = placed.where("several").select("doc_id", F.col("base").alias("span_start"), (F.col("base") + F.length("ctx")).alias("span_end"))
+    keep = np.uint64((1 << bits) - 1)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, base, ctx in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist()):
+            for doc, base, ctx in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 for begin in range(0, len(ctx) - min_chars + 1, BLOCK - min_chars + 1):
                     points = codes(ctx[begin : begin + BLOCK])
-                    one, two = gram_hashes(points, min_chars), gram_hashes(points, min_chars, _SECOND_BASE)
+                    one, two = gram_hashes(points, min_chars) & keep, gram_hashes(points, min_chars, _SECOND_BASE) & keep
                     at = np.arange(len(one), dtype=np.int32) + np.int32(base + begin)
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(one), doc)), pa.array(at)], names=["h1", "h2", "doc_id", "span_start"])
-
-    stretches = rows.mapInArrow(run, "h1 long, h2 long, doc_id long, span_start int")
-    shared = stretches.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo <> hi").select("h1", "h2")
-    return stretches.join(shared, ["h1", "h2"]).select("doc_id", "span_start", (F.col("span_start") + min_chars).alias("span_end"))
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array(two.view(np.int64)), pa.array(np.full(len(one), doc)), pa.array(at), pa.array(np.full(len(one), base, dtype=np.int32))], names=["h1", "h2", "rep", "start", "at"])
+
+    stretches = same.select("rep", "at", "ctx").mapInArrow(run, "h1 long, h2 long, rep long, start int, at int")
+    place = F.struct("rep", "start", "at")
+    mates = stretches.groupBy("h1", "h2").agg(F.min(place).alias("lo"), F.max(place).alias("hi")).where("lo.rep <> hi.rep")
+    mate = F.when(F.col("lo.rep") != F.col("rep"), F.col("lo")).otherwise(F.col("hi"))
+    met = stretches.join(mates, ["h1", "h2"]).select("rep", "at", "start", mate["rep"].alias("mate"), mate["at"].alias("mate_at"), (mate["start"] - F.col("start")).alias("shift"))
+    line = ["rep", "at", "mate", "mate_at", "shift"]
+    number = F.row_number().over(W.partitionBy(*line).orderBy("start"))
+    runs = met.withColumn("run", F.col("start") - number).groupBy(*line, "run").agg(F.min("start").alias("a"), (F.max("start") + min_chars).alias("b"))
+    piece = lambda at, shift: F.substring("ctx", F.col("a") + shift - F.col(at) + 1, F.col("b") - F.col("a"))
+    mine = runs.join(same.select("rep", "at", "ctx"), ["rep", "at"]).withColumn("mine", piece("at", F.lit(0))).drop("ctx")
+    others = same.select(F.col("rep").alias("mate"), F.col("at").alias("mate_at"), "ctx")
+    compared = checkpoint(mine.join(others, ["mate", "mate_at"]).select("rep", "at", "a", "b", (F.col("mine") == piece("mate_at", F.col("shift"))).alias("equal")))
+    good = compared.where("equal").select("rep", "at", "a", "b")
+    if not compared.where("not equal").isEmpty():  # two different stretches of one hash: every stretch is grouped by its characters
+        each = same.select("rep", "at", "ctx", F.explode(F.sequence(F.lit(0), F.length("ctx") - min_chars)).alias("k"))
+        each = each.select("rep", "at", (F.col("at") + F.col("k")).alias("a"), F.substring("ctx", F.col("k") + 1, F.lit(min_chars)).alias("piece"))
+        twice = each.groupBy("piece").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("piece")
+        good = each.join(twice, "piece").select("rep", "at", "a", (F.col("a") + min_chars).alias("b"))
+    shift = F.col("base") - F.col("at")
+    found = placed.where("not several").join(good, ["rep", "at"]).select("doc_id", (F.col("a") + shift).alias("span_start"), (F.col("b") + shift).alias("span_end"))
+    return whole.unionByName(found)
 
 
 def merge_spans(spans: DataFrame) -> DataFrame:
@@ -229,20 +295,17 @@ def merge_spans(spans: DataFrame) -> DataFrame:
     )
 
 
-def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, hot: int = HOT) -> DataFrame:
+def shared_spans(documents: DataFrame, min_chars: int = MIN_CHARS, gram: int = GRAM, hot: int = HOT, hashes: int = HASHES, bits: int = 64) -> DataFrame:
     """(doc_id, span_start, span_end): the maximal runs of characters shared with another document."""
-    docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select(F.col("doc_id").cast("long"), "text")
-    sigs = signatures(docs, min_chars, gram)
-    shared = sigs.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", (F.col("n") > hot).alias("hot"))
-    lists = checkpoint(sigs.join(shared, "sig").groupBy("doc_id").agg(F.collect_set(F.when(~F.col("hot"), F.col("sig"))).alias("cold"), F.collect_set(F.when(F.col("hot"), F.col("sig"))).alias("hot")))
-
-    def of(kind: str) -> DataFrame:
-        some = lists.where(F.size(kind) > 0).select("doc_id", F.col(kind).alias("sigs"))
-        return contexts(docs.join(some, "doc_id").select("doc_id", "text", "sigs"), min_chars, gram)
-
-    spans = _cold(of("cold"), min_chars)
-    if not lists.where(F.size("hot") > 0).isEmpty():
-        spans = spans.unionByName(_hot(of("hot"), min_chars))
+    docs = documents.where(F.col("doc_id").isNotNull() & (F.length("text") >= min_chars)).select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("version"), "text")
+    found = checkpoint(_segments(docs, min_chars, gram, hashes))
+    shared = found.groupBy("sig").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo <> hi").select("sig", (F.col("n") > hot).alias("hot"))
+    lists = found.join(shared, "sig").groupBy("doc_id", "version").agg(F.collect_set(F.struct("sig", "first", "last", "hot")).alias("parts"))
+    contexts = checkpoint(_contexts(docs.join(lists, ["doc_id", "version"]).select("doc_id", "text", "parts"), min_chars))
+    spans = _cold(contexts.where("not hot").select("sig", "doc_id", "base", "ctx"), min_chars)
+    frequent = contexts.where("hot").select("doc_id", "base", "ctx")
+    if not frequent.isEmpty():
+        spans = spans.unionByName(_hot(frequent, min_chars, bits))
     return merge_spans(spans)
 
 
