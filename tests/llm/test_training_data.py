@@ -103,6 +103,17 @@ def test_sketches_merge_and_estimate():
     assert setsketch.bands_for(0.8, 4, 0.001) < setsketch.bands_for(0.6, 4, 0.001)
 
 
+def test_unlike_sets_hardly_ever_share_a_band():
+    rng = np.random.default_rng(2)
+    sizes = rng.integers(18, 400, 1500)
+    starts = np.cumsum([0, *sizes[:-1]])
+    registers = setsketch.sketch(rng.integers(0, 1 << 63, int(sizes.sum()), dtype=np.uint64), starts, 64)
+    one, other = registers[:750], registers[750:]
+    equal = np.mean([(one == np.roll(other, k, axis=0)).mean() for k in range(200)])
+    bands = setsketch.bands_for(0.6, neardup.ROWS, neardup.MISS)
+    assert equal < 6e-4 and bands * equal**neardup.ROWS < 1e-9, "150,000 pairs of sets without a common element, 64 registers each"
+
+
 def test_neardup_edges(spark):
     empty = spark.createDataFrame([], DOC)
     assert neardup.pairs(empty).count() == 0 and neardup.groups(empty).count() == 0
@@ -468,6 +479,29 @@ def test_registered_queries(spark):
     assert set(queries.oracle_sql()) <= set(made)
 
 
+def test_sql_twins(spark):
+    import glob
+    import os
+    from collections import Counter
+
+    import duckdb
+
+    from textloom.llm import queries
+
+    folder = os.environ.get("TEXTLOOM_TEST_DATA", "/root/testdata/sf0.001")
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    con = duckdb.connect()
+    for path in glob.glob(f"{folder}/*.parquet"):
+        con.execute(f"CREATE VIEW {os.path.basename(path)[:-8]} AS SELECT * FROM read_parquet('{path}')")
+    for name, sql in queries.oracle_sql().items():
+        frame = queries.queries()[name](spark, folder)
+        theirs = con.execute(sql)
+        names = [c[0] for c in theirs.description]
+        assert sorted(names) == sorted(frame.columns)
+        assert Counter(map(tuple, frame.select(*names).collect())) == Counter(theirs.fetchall()), name
+
+
 # --- very long texts
 
 

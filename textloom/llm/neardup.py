@@ -7,8 +7,9 @@ themselves decide the rest. The similarity of sets at the threshold may miss eve
 `miss` (0.001) at most; more similar ones far less often.
 
 Skew: copies collapse before any pair is made. Candidates come from an equi-join on the band, which adaptive
-execution splits where a band is frequent; nothing is capped. Only ids and sketches travel there; texts are read
-again for the pairs left over.
+execution splits where a band is frequent; nothing is capped. Only ids and sketches travel there; the texts of the pairs
+left over are read again, once each. Registers are fine enough (see setsketch) that unlike records hardly ever share a
+band. `links` gives links between representatives and the membership of the classes; only `pairs` writes copies out as pairs.
 
 Defined cases: records with a null id or text, or with fewer words than `min_words` or than a shingle has, belong to no pair; repeated rows
 of one id count once. Words are maximal runs of letters and digits of the lower-cased text.
@@ -119,7 +120,7 @@ def _bands(reps: DataFrame, rows: int, bands: int) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+            registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
             keys = np.empty((batch.num_rows, bands), dtype=np.uint64)
             for k in range(bands):
                 packed = np.full(batch.num_rows, k + 1, dtype=np.uint64)
@@ -138,7 +139,7 @@ def _likely(pairs: DataFrame, least: float) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1) for c in ("ka", "kb"))
+            one, other = (np.frombuffer(b"".join(batch.column(c).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1) for c in ("ka", "kb"))
             close = setsketch.jaccard(one, other, batch.column("na").to_numpy().astype(float), batch.column("nb").to_numpy().astype(float)) >= least
             keep = pa.array(np.flatnonzero(close))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(keep), batch.column("b").take(keep)], names=["a", "b"])
@@ -190,8 +191,10 @@ def links(documents: DataFrame, size: int = 5, threshold: float = 0.8, min_words
     pairs = left.join(right, "band").where(near).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     keys = reps.select(F.col("rep"), F.col("sketch"))
     pairs = pairs.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
-    likely = _likely(pairs, threshold - MARGIN * (threshold * (1 - threshold) / m) ** 0.5)
-    found = _verified(likely.join(docs.toDF("a", "ta"), "a").join(docs.toDF("b", "tb"), "b"), size, threshold)
+    likely = checkpoint(_likely(pairs, threshold - MARGIN * (threshold * (1 - threshold) / m) ** 0.5))
+    ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = checkpoint(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    found = _verified(likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b"), size, threshold)
     return members.select("doc_id", "rep"), checkpoint(found.dropDuplicates(["a", "b"]))
 
 

@@ -3,7 +3,10 @@
 Register i of a set is floor(1 - log_b(min h_i)) over its elements, cut off to 0..q+1, where h_i is exponential
 with rate a: minima on an exponentially spaced scale. The sketch of a union is the register-wise maximum. For b near
 1 two registers are equal about as often as the sets' Jaccard similarity, so equal runs of registers (bands) find
-similar sets, and the counts of greater, less and equal registers give the similarity by maximum likelihood.
+similar sets, and the counts of greater, less and equal registers give the similarity by maximum likelihood. How often
+registers of sets without a common element are equal, about (b - 1) / 4, decides how many candidates are false: with
+b = 1.001 a band of four is equal by chance once in about 10**14, so candidates grow with the true pairs and not with
+the square of the collection.
 """
 
 from __future__ import annotations
@@ -12,9 +15,9 @@ import math
 
 import numpy as np
 
-BASE = 1.1
-RATE = 1.0
-TOP = 254  # q; registers fit a byte for sets of up to about 1e9 elements
+BASE = 1.001
+RATE = 20.0
+TOP = 65_534  # q; registers fit two bytes for sets of any size that occurs
 
 
 def register_seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
@@ -23,7 +26,7 @@ def register_seeds(m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def sketch(elements: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
-    """Registers (sets x m, uint8) of sets of well mixed 64-bit hashes; set k is elements[starts[k]:starts[k+1]] and not empty."""
+    """Registers (sets x m, uint16) of sets of well mixed 64-bit hashes; set k is elements[starts[k]:starts[k+1]] and not empty."""
     low = (elements ^ (elements >> np.uint64(32))).astype(np.uint32)
     least = np.empty((len(starts), m), dtype=np.uint32)
     for i, (salt, odd) in enumerate(zip(*register_seeds(m))):
@@ -34,7 +37,7 @@ def sketch(elements: np.ndarray, starts: np.ndarray, m: int) -> np.ndarray:
         x ^= x >> np.uint32(13)
         least[:, i] = np.minimum.reduceat(x, starts)
     exponential = -np.log1p(-(least.astype(np.float64) + 0.5) / 4294967296.0) / RATE
-    return np.clip(np.floor(1.0 - np.log(exponential) / math.log(BASE)), 0, TOP + 1).astype(np.uint8)
+    return np.clip(np.floor(1.0 - np.log(exponential) / math.log(BASE)), 0, TOP + 1).astype(np.uint16)
 
 
 def merge(one: np.ndarray, other: np.ndarray) -> np.ndarray:
