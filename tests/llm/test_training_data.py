@@ -1,5 +1,6 @@
 """The operators for training data against brute force, round trips and edge cases on small fixtures."""
 
+import os
 import random
 import re
 import unicodedata
@@ -226,7 +227,22 @@ def test_forgetting_changes_nothing(monkeypatch):
     bpe = encode.TrieBpe()
     first = bpe.encode_batch(["hello world", "hello there"])
     monkeypatch.setattr(encode, "MEMO_PIECES", 1)
+    monkeypatch.setattr(encode, "MEMO_PAIRS", 5)
+    monkeypatch.setattr(encode, "MEMO_PIECE_CHARS", 3)
     assert bpe.encode_batch(["hello world", "hello there"]) == first
+    assert bpe.encode_batch(["new words", "hello world"])[1] == first[0]
+    assert len(bpe.fits_memo) <= 5 and all(len(p) <= 3 for p in bpe.memo) and not bpe.long
+
+
+def test_rank_file_of_many_languages(spark):
+    tiktoken = pytest.importorskip("tiktoken")
+    path = os.path.join(os.path.dirname(encode.DEFAULT_VOCABULARY), "byte_bpe_multi_50k.tiktoken")
+    bpe = encode.TrieBpe(path)
+    library = tiktoken.Encoding("own", pat_str=encode.PATTERN, mergeable_ranks=bpe.ids, special_tokens={})
+    texts = ["Das Haus am Fluss — 12,5 %", "Дом у реки продали", "河边的房子去年卖掉了。", "नदी के किनारे", "บ้านริมแม่น้ำ", "naïve café\n\n  x", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), DOC)
+    got = {r.doc_id: r.ids for r in encode.encode(docs, vocabulary=path).collect()}
+    assert got == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
 
 
 # --- term frequencies
@@ -481,7 +497,6 @@ def test_registered_queries(spark):
 
 def test_sql_twins(spark):
     import glob
-    import os
     from collections import Counter
 
     import duckdb

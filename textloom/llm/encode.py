@@ -16,13 +16,15 @@ from __future__ import annotations
 
 import base64
 import json
+import os
 from collections.abc import Iterator
 from itertools import chain
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark import SparkFiles
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,7 +33,10 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 DEFAULT_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 #: Pieces a worker remembers; when full it forgets them all, which changes the speed and never a result.
 MEMO_PIECES = 1_000_000
+#: Longer pieces are forgotten after their batch.
 MEMO_PIECE_CHARS = 64
+#: Pairs of tokens a worker remembers, likewise.
+MEMO_PAIRS = 1_000_000
 
 
 def _byte_of_char() -> dict[str, int]:
@@ -63,8 +68,9 @@ class TrieBpe:
         self.longest = [1] * 256  # of the tokens that end with each byte
         for token in self.ids:
             self.longest[token[-1]] = max(self.longest[token[-1]], len(token))
-        self.fits_memo: dict[tuple[int, int], bool] = {}
+        self.fits_memo: dict[int, bool] = {}
         self.memo: dict[str, tuple[int, ...]] = {}
+        self.long: list[str] = []
         self.split = regex.compile(PATTERN).findall
 
     def _merges_from_ranks(self) -> list[tuple[int, int, int]]:
@@ -84,7 +90,8 @@ class TrieBpe:
 
         No merge across the seam may come before the merges that built the tokens at the seam; the tokens are taken
         apart from the latest merge back, the seam pair being looked at in each state."""
-        known = self.fits_memo.get((left, right))
+        seam = left << 32 | right
+        known = self.fits_memo.get(seam)
         if known is not None:
             return known
         a, b, limit, good = left, right, len(self.rank) + 1, True
@@ -99,7 +106,9 @@ class TrieBpe:
                 limit, a = rank_a, self.made[a][2]
             else:
                 limit, b = rank_b + 1, self.made[b][1]
-        self.fits_memo[(left, right)] = good
+        if len(self.fits_memo) >= MEMO_PAIRS:
+            self.fits_memo.clear()
+        self.fits_memo[seam] = good
         return good
 
     def encode_sorted(self, words: list[bytes]) -> Iterator[tuple[int, ...]]:
@@ -136,6 +145,7 @@ class TrieBpe:
         if len(self.memo) + len(pieces) > MEMO_PIECES:
             self.memo.clear()
         new = sorted((p.encode("utf-8", "surrogatepass"), p) for p in pieces if p not in self.memo)
+        self.long += [p for _, p in new if len(p) > MEMO_PIECE_CHARS]
         self.memo.update(zip((p for _, p in new), self.encode_sorted([b for b, _ in new])))
 
     def encode_batch(self, texts: list[str | None]) -> list[list[int]]:
@@ -144,9 +154,9 @@ class TrieBpe:
         self.learn(set(chain.from_iterable(pieces)))
         get = self.memo.__getitem__
         out = [list(chain.from_iterable(map(get, p))) for p in pieces]
-        if any(len(t or "") > 100_000 for t in texts):
-            for piece in [p for p in self.memo if len(p) > MEMO_PIECE_CHARS]:
-                del self.memo[piece]
+        for piece in self.long:
+            self.memo.pop(piece, None)
+        self.long.clear()
         return out
 
     def count_batch(self, texts: list[str | None]) -> np.ndarray:
@@ -163,14 +173,28 @@ def encoder(vocabulary: str = DEFAULT_VOCABULARY) -> TrieBpe:
     return _ENCODERS[vocabulary]
 
 
+def _ship(spark: SparkSession, vocabulary: str) -> None:
+    """Sends the vocabulary to the executors, once a context."""
+    context = spark.sparkContext
+    sent = getattr(context, "_textloom_vocabularies", set())
+    if vocabulary not in sent:
+        context.addFile(vocabulary)
+        context._textloom_vocabularies = sent | {vocabulary}
+
+
+def _received(vocabulary: str) -> str:
+    return SparkFiles.get(os.path.basename(vocabulary))
+
+
 def encode(documents: DataFrame, text: str = "text", key: str = "doc_id", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """(key, ids) of every row of `documents`, in one pass and without a shuffle.
 
-    Null and empty texts give an empty list, repeated rows stay repeated, other columns are not read. The files
-    of the vocabulary are read by path on every executor."""
+    Null and empty texts give an empty list, repeated rows stay repeated, other columns are not read. The file of the
+    vocabulary is sent to the executors."""
+    _ship(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(_received(vocabulary))
         for batch in batches:
             lists = bpe.encode_batch(batch.column(1).to_pylist())
             sizes = np.fromiter(map(len, lists), dtype=np.int32, count=len(lists))
@@ -184,9 +208,10 @@ def encode(documents: DataFrame, text: str = "text", key: str = "doc_id", vocabu
 
 def count_tokens(documents: DataFrame, keep: list[str], text: str = "text", vocabulary: str = DEFAULT_VOCABULARY) -> DataFrame:
     """The columns `keep` and n_tokens (long, 0 for null and empty texts) of every row."""
+    _ship(documents.sparkSession, vocabulary)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = encoder(vocabulary)
+        bpe = encoder(_received(vocabulary))
         for batch in batches:
             counts = pa.array(bpe.count_batch(batch.column(len(keep)).to_pylist()))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], counts], names=[*keep, "n_tokens"])
