@@ -6,6 +6,7 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -264,8 +265,8 @@ def test_terms(spark):
             if doc is not None:
                 entry[1].add(doc)
                 docs.add(doc)
-    for limit in (1_000_000, 3):
-        counts, n = termfreq.term_counts(left, right, limit)
+    for how in ({}, {"held": 1, "part": 1}, {"held": 1, "part": 200, "hot_rows": 1}):
+        counts, n = termfreq.term_counts(left, right, **how)
         assert {r.term: (r.occurrences, r.documents) for r in counts.collect()} == {t: (a, len(b)) for t, (a, b) in expected.items()}
         assert n == len(docs)
     marks = {(r.term, r.mark) for r in termfreq.found(left, right).collect()}
@@ -275,6 +276,18 @@ def test_terms(spark):
     assert termfreq.found(left.limit(0), right.limit(0)).count() == 0
 
 
+def test_radix_spills_and_splits_again(tmp_path):
+    rng = random.Random(1)
+    rows = [{"id": i, "term": rng.choice(WORDS), "document_id": i % 7, "tf": 1, "variants": False} for i in range(5000)]
+    radix = termfreq.Radix(str(tmp_path), 0, 2000, 3000)
+    for k in range(0, 5000, 100):
+        radix.add(pa.RecordBatch.from_pylist(rows[k : k + 100]))
+    parts = list(radix.parts())
+    terms = [set(p["term"].to_pylist()) for p in parts]
+    assert len(parts) > 8 and sum(map(len, terms)) == len(set().union(*terms)) == len(WORDS), "a term lies in one part"
+    assert sorted(r["id"] for p in parts for r in p.to_pylist()) == list(range(5000))
+
+
 # --- mixing
 
 
