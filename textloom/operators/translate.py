@@ -1,23 +1,32 @@
-"""English-German translation with a dictionary: lookup, phrases, direct and transfer method, frequency dictionary."""
+"""English-German translation with a dictionary: lookup, phrases, direct and transfer method, frequency dictionary, chunk trees.
+
+A text is a table of tokens: (id, span, j, gap, word), `gap` being what stands before the word. Sentences and whatever lies
+between them are numbered spans that tile the text; a span ends with a token without a word, whose gap is the rest. Tags,
+dictionary entries and phrases are joined to the tokens, and the output is put together from them in order, so no
+dictionary is gathered anywhere and no word is handled outside the engine.
+"""
 
 from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions import words
-from textloom.functions.text import WORD_RX, translation_spans, word_forms
-
-#: Entries of a dictionary that executors may hold; a larger one is refused.
-MOST_ENTRIES = 1_000_000
+from textloom.functions.text import SPACE, WORD_RX, let, meaning, strip, translation_spans, word_forms
+from textloom.session import small
+
+#: Rows of phrases up to which they are broadcast.
+BROADCAST_ROWS = 100_000
+#: Words a phrase of the dictionary has.
+PHRASE_WORDS = (2, 3, 4)
+#: Any other tagger: the tags of the words of one sentence.
 Tagger = Callable[[list[str]], list[str]]
-_WORD = re.compile(WORD_RX)
-_SPAN = re.compile(r"[^.!?\n]+(?:[.!?]+|$)")
+#: Tiles of a text: sentences, unfinished lines with their line break, stray marks.
+_TILE = r"[^.!?\n]+(?:[.!?]+|$)|[^.!?\n]*\n|[.!?]+"
 
 
 def overlay(entries: DataFrame, domain: str) -> DataFrame:
@@ -45,7 +54,8 @@ def lookup(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     return asked.join(found, ["word", "tag"], "left").select("word", "tag", F.coalesce("german", F.lit("")).alias("german"))
 
 
-_SUFFIX_TAGS = (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB"), ("ous", "JJ"), ("ful", "JJ"), ("ive", "JJ"), ("able", "JJ"), ("ical", "JJ"), ("est", "JJS"), ("s", "NNS"))
+# Endings and the tags they suggest, the first that fits.
+_ENDINGS = (("ing", "VBG"), ("ed", "VBD"), ("ly", "RB"), ("ous", "JJ"), ("ful", "JJ"), ("ive", "JJ"), ("able", "JJ"), ("ical", "JJ"), ("est", "JJS"), ("s", "NNS"))
 # Closed classes of English.
 _CLOSED = {
     "DT": "a an the this that these those each every some any no",
@@ -61,190 +71,173 @@ _CLOSED = {
     "WP": "who what",
     "WRB": "when where why how",
 }
-_TAG_OF = {w: tag for tag, ws in _CLOSED.items() for w in ws.split()}
-
-
-def suffix_tagger(lexicon: dict[str, str] | None = None) -> Tagger:
-    """A tagger without a model: closed classes, the dictionary's tags, then suffixes; capitals inside a sentence are names."""
-    known = lexicon or {}
-
-    def tag(sentence: list[str]) -> list[str]:
-        out: list[str] = []
-        for i, word in enumerate(sentence):
-            low = word.lower()
-            found = _TAG_OF.get(low) or known.get(low)
-            if not found and low.endswith("s"):
-                base = next((known[b] for b in (low[:-1], low[:-2]) if known.get(b) in ("NN", "VB")), "")
-                found = {"NN": "NNS", "VB": "VBZ"}.get(base)
-            if not found and word[:1].isupper() and i:
-                found = "NNP"
-            if not found:
-                found = next((t for suffix, t in _SUFFIX_TAGS if low.endswith(suffix) and len(low) > len(suffix) + 2), "NN")
-            out.append(found)
-        return out
-
-    return tag
-
-
-@dataclass
-class Lexicon:
-    """A dictionary in effect, in memory: keys (english, pos) in the order of the entries."""
-
-    entries: dict[tuple[str, str], str]
-
-    def __post_init__(self) -> None:
-        self.any_tag: dict[str, str] = {}
-        for (english, _), german in self.entries.items():
-            if german:
-                self.any_tag.setdefault(english, german)
-        self.longest = max((len(e.split(" ")) for e, _ in self.entries), default=1)
-
-    @staticmethod
-    def of(dictionary: DataFrame) -> Lexicon:
-        rows = dictionary.orderBy("id").limit(MOST_ENTRIES + 1).collect()
-        if len(rows) > MOST_ENTRIES:
-            raise ValueError(f"a dictionary of more than {MOST_ENTRIES} entries")
-        return Lexicon({(r["english"], r["pos"]): r["german"] for r in rows})
-
-    def tags(self) -> dict[str, str]:
-        """word -> tag of the one-word entries that name one."""
-        out: dict[str, str] = {}
-        for english, pos in self.entries:
-            if pos != "*" and " " not in english:
-                out.setdefault(english, pos)
-        return out
-
-    def forms(self, word: str) -> list[str]:
-        w = word.lower()
-        out = [w]
-        for suffix, longer, cuts in (("ies", 4, ((3, "y"),)), ("ing", 5, ((3, ""), (3, "e"))), ("ed", 4, ((2, ""), (1, ""))), ("es", 4, ((2, ""),)), ("s", 3, ((1, ""),))):
-            if w.endswith(suffix) and len(w) > longer:
-                out += [w[:-n] + more for n, more in cuts]
-        return list(dict.fromkeys(out))
-
-    def find(self, word: str, tag: str) -> str:
-        forms = self.forms(word)
-        for form in forms:
-            for pos in (tag, "*", *words.TAG_FALLBACKS.get(tag, ())):
-                german = self.entries.get((form, pos))
-                if german:
-                    return german
-        return next((self.any_tag[f] for f in forms if f in self.any_tag), "")
-
-    def phrase(self, tokens: list[tuple[int, int, str]], at: int, text: str) -> tuple[int, str]:
-        """(number of words, translation) of the longest phrase of 4 to 2 words set apart by white space only."""
-        for size in range(min(4, len(tokens) - at), 1, -1):
-            group = tokens[at : at + size]
-            gaps = [text[a[1] : b[0]] for a, b in zip(group, group[1:])]
-            if all(g.isspace() for g in gaps):
-                german = self.entries.get((" ".join(t[2].lower() for t in group), "*"))
-                if german:
-                    return size, german
-        return 0, ""
-
-
-def _capital(word: str) -> str:
-    return word[:1].upper() + word[1:]
-
-
-def _units(tokens: list[tuple[int, int, str]], tags: list[str], text: str, lexicon: Lexicon) -> list[tuple[int, int, str, str, str]]:
-    """(first, size, source, tag, german) of each phrase or word; german is empty where nothing is known."""
-    out, i = [], 0
-    while i < len(tokens):
-        size, german = lexicon.phrase(tokens, i, text)
-        if size:
-            out.append((i, size, " ".join(t[2] for t in tokens[i : i + size]), "PHRASE", german))
-        else:
-            size = 1
-            out.append((i, 1, tokens[i][2], tags[i], lexicon.find(tokens[i][2], tags[i])))
-        i += size
-    return out
-
-
-def _clause(units: list[tuple[int, int, str, str, str]], ending: str) -> str:
-    """German word order: in a clause that begins with a subordinating conjunction the finite verb goes last."""
-    shown = [_capital(g or f"[[{s}]]") if tag.startswith("NN") else g or f"[[{s}]]" for _, _, s, tag, g in units]
-    verbs = [i for i, u in enumerate(units) if u[3] == "MD" or u[3].startswith("VB")]
-    if verbs and verbs[0] > 1 and units[0][2].lower() in ("if", "because", "although", "while"):
-        shown.append(shown.pop(verbs[0]))
-    return _capital(" ".join(w for w in shown if w).strip()) + ending
-
-
-def translate_text(text: str | None, lexicon: Lexicon, tagger: Tagger, method: str = "transfer") -> tuple[str, int, int, list[tuple[str, str]], list[tuple[str, str]]]:
-    """(translation, words, translated words, words seen with their tags in order, unknown ones)."""
-    if method not in ("transfer", "direct"):
-        raise ValueError(f"no such method: {method}")
-    out: list[str] = []
-    seen: list[tuple[str, str]] = []
-    unknown: list[tuple[str, str]] = []
-    done = translated = 0
-    for span in _SPAN.finditer(text or ""):
-        raw, base = span.group(), span.start()
-        tokens = [(base + m.start(), base + m.end(), m.group()) for m in _WORD.finditer(raw)]
-        if not tokens:
-            continue
-        tags = tagger([t[2] for t in tokens])
-        units = _units(tokens, tags, text, lexicon)
-        seen += [(t[2].lower(), tag) for t, tag in zip(tokens, tags)]
-        translated += sum(size for _, size, _, _, german in units if german)
-        if method == "transfer":
-            marks = re.search(r"[.!?]+\s*$", raw)
-            out += [_clause(units, marks.group().strip() if marks else ""), "\n" if raw.endswith("\n") else " "]
-            unknown += [(t[2].lower(), tag) for t, tag in zip(tokens, tags) if not lexicon.find(t[2], tag)]
-            continue
-        for first, size, source, tag, german in units:
-            if tag != "PHRASE":
-                if not german:
-                    unknown.append((source.lower(), tag))
-                    german = f"[[{source}]]"
-                elif tag.startswith("NN") or source[0].isupper() and first == 0:
-                    german = _capital(german)
-            out += [text[done : tokens[first][0]], german]
-            done = tokens[first + size - 1][1]
-    if method == "direct":
-        out.append((text or "")[done:])
-    return "".join(out).strip(), len(seen), translated, seen, unknown
 
 
-def translate(texts: DataFrame, dictionary: DataFrame, method: str = "transfer", tagger: Tagger | None = None) -> DataFrame:
-    """(id, translated_text, word_count, translated_count, seen, unknown) of texts (id, text); seen and unknown are
-    sorted arrays of (word, tag). Null texts give empty results."""
+def tokens(texts: DataFrame) -> DataFrame:
+    """(id, span, j, gap, word, grams) of texts (id, text): the tokens of every span in order. Outside sentences `word` is null;
+    grams are the word with the 1 to 3 next ones, in lower case, as far as only white space lies between."""
+
+    def cut(parts: Column) -> Column:
+        """parts: gap, word, gap, word, ..., gap; null is past the end."""
+        word = lambda i: F.get(parts, 2 * i + 1)
+
+        def grams(i: Column) -> Column:
+            out, joined = [], F.lower(word(i))
+            for n in PHRASE_WORDS:
+                between = F.get(parts, 2 * (i + n - 1))
+                joined = F.when(between.rlike(f"^{SPACE}+$"), F.concat(joined, F.lit(" "), F.lower(word(i + n - 1))))
+                out.append(joined)
+            return F.array_compact(F.array(*out))
+
+        places = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int"))
+        return F.transform(places, lambda i: F.struct(F.get(parts, 2 * i).alias("gap"), word(i).alias("word"), grams(i).alias("grams")))
+
+    every = lambda c, rx: F.regexp_extract_all(c, F.lit(rx), F.lit(0))
+    spans = texts.where("text is not null").select(F.col("id").cast("long"), F.posexplode(every("text", _TILE)).alias("span", "s"))
+    sentence = F.col("s").rlike(r"^[^.!?\n]") & ~F.col("s").endswith("\n") & F.col("s").rlike("[A-Za-z]")
+    inner = every(F.col("s"), f"{WORD_RX}|[^A-Za-z]+")
+    parts = F.when(~sentence, F.array("s")).when(F.col("s").rlike("^[A-Za-z]"), F.concat(F.array(F.lit("")), inner)).otherwise(inner)
+    parts = F.when(F.size(parts) % 2 == 0, F.concat(parts, F.array(F.lit("")))).otherwise(parts)
+    return spans.select("id", "span", F.posexplode(let(parts, cut)).alias("j", "t")).select("id", "span", "j", "t.gap", "t.word", "t.grams")
+
+
+def known_tags(dictionary: DataFrame) -> DataFrame:
+    """(word, tag): the tag of the first one-word entry of each word that names one."""
+    named = dictionary.where("pos <> '*' and not contains(english, ' ')")
+    return named.groupBy(F.col("english").alias("word")).agg(F.min_by("pos", "id").alias("tag"))
+
+
+def tagged(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """The tokens with `tag`: closed classes, the dictionary's tags (an added s makes nouns plural and verbs third person),
+    names by a capital inside a sentence, then endings. Decided once for every distinct word and joined to the tokens."""
+    closed = F.create_map(*[F.lit(x) for tag, ws in _CLOSED.items() for w in ws.split() for x in (w, tag)])
+    known = known_tags(dictionary)
+    low = F.col("low")
+    shorter = lambda n: F.when(low.endswith("s"), F.left(low, F.length(low) - n))
+    seen = toks.where("word is not null").select(F.lower("word").alias("low")).distinct()
+    seen = seen.join(known.toDF("low", "t0"), "low", "left")
+    for n in (1, 2):
+        seen = seen.withColumn("base", shorter(n)).join(known.toDF("base", f"t{n}").where(F.col(f"t{n}").isin("NN", "VB")), "base", "left").drop("base")
+    base = F.coalesce("t1", "t2")
+    sure = F.coalesce(F.try_element_at(closed, low), "t0", F.when(base == "NN", "NNS").when(base == "VB", "VBZ"))
+    ending = F.lit("NN")
+    for suffix, tag in reversed(_ENDINGS):
+        ending = F.when(low.endswith(suffix) & (F.length(low) > len(suffix) + 2), tag).otherwise(ending)
+    facts = seen.select("low", sure.alias("sure"), ending.alias("ending"))
+    capital = F.when(F.col("word").rlike("^[A-Z]") & (F.col("j") > 0), "NNP")
+    return toks.withColumn("low", F.lower("word")).join(facts, "low", "left").withColumn("tag", F.when(F.col("word").isNotNull(), F.coalesce("sure", capital, "ending"))).drop("sure", "ending")
+
+
+def tagged_by(toks: DataFrame, tagger: Tagger) -> DataFrame:
+    """The tokens with the tags of another tagger, which gets the words of one sentence at a time, in Arrow batches."""
     import pyarrow as pa
 
-    lexicon = Lexicon.of(dictionary)
-    tag = tagger or suffix_tagger(lexicon.tags())
-    pair = pa.list_(pa.struct([("word", pa.string()), ("tag", pa.string())]))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        as_rows = lambda pairs: [{"word": w, "tag": t} for w, t in sorted(set(pairs))]
         for batch in batches:
-            done = [translate_text(t, lexicon, tag, method) for t in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([d[0] for d in done], pa.string()), pa.array([d[1] for d in done], pa.int32()), pa.array([d[2] for d in done], pa.int32())]
-            columns += [pa.array([as_rows(d[k]) for d in done], pair) for k in (3, 4)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "translated_text", "word_count", "translated_count", "seen", "unknown"])
+            tags = [list(tagger(ws)) for ws in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(tags, pa.list_(pa.string()))], names=["id", "span", "tags"])
 
-    pairs = "array<struct<word:string,tag:string>>"
-    return texts.select(F.col("id").cast("long"), "text").mapInArrow(run, f"id long, translated_text string, word_count int, translated_count int, seen {pairs}, unknown {pairs}")
+    in_order = F.transform(F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("j", "word")))), lambda x: x["word"])
+    lists = toks.groupBy("id", "span").agg(in_order.alias("ws")).where("size(ws) > 0")
+    tags = lists.mapInArrow(run, "id long, span int, tags array<string>").select("id", "span", F.posexplode("tags").alias("j", "tag"))
+    return toks.withColumn("low", F.lower("word")).join(tags, ["id", "span", "j"], "left")
 
 
-def tagged_words(texts: DataFrame, tagger: Tagger) -> DataFrame:
-    """(id, pos, word, tag) of every word of the sentences of texts (id, text); word in lower case."""
-    import pyarrow as pa
+def words_seen(toks: DataFrame) -> DataFrame:
+    """(id, pos, word, tag) of tagged tokens; word in lower case, pos in the order of the text."""
+    return toks.where("word is not null").select("id", (F.col("span").cast("long") * (1 << 32) + F.col("j")).alias("pos"), F.col("low").alias("word"), "tag")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                pos = 0
-                for span in _SPAN.finditer(text or ""):
-                    found = _WORD.findall(span.group())
-                    for word, tag in zip(found, tagger(found) if found else []):
-                        rows.append((key, pos, word.lower(), tag))
-                        pos += 1
-            kinds = (pa.int64(), pa.int32(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["id", "pos", "word", "tag"])
 
-    return texts.select(F.col("id").cast("long"), "text").mapInArrow(run, "id long, pos int, word string, tag string")
+def phrases(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """(id, span, j, size, phrase): the phrases of the dictionary (entries for any tag) in the text; from the left, the longest first, none over another.
+
+    Overlapping finds form islands, and only inside an island does the order of choosing matter; most hold one find."""
+    known = small(dictionary.where("pos = '*' and german <> '' and contains(english, ' ')").select(F.col("english").alias("gram"), F.col("german").alias("phrase")), BROADCAST_ROWS)
+    at = toks.where("size(grams) > 0").select("id", "span", "j", F.explode("grams").alias("gram"))
+    found = at.join(known, "gram").select("id", "span", "j", (F.size(F.split("gram", " "))).alias("size"), "phrase")
+    longest = found.groupBy("id", "span", "j").agg(F.max(F.struct("size", "phrase")).alias("m")).select("id", "span", "j", "m.size", "m.phrase")
+    order = W.partitionBy("id", "span").orderBy("j")
+    before = F.max(F.col("j") + F.col("size")).over(order.rowsBetween(W.unboundedPreceding, -1))
+    island = F.sum("new").over(order.rowsBetween(W.unboundedPreceding, W.currentRow))
+    marked = longest.withColumn("new", F.when(F.col("j") < before, 0).otherwise(1)).withColumn("island", island)
+    grouped = marked.groupBy("id", "span", "island").agg(F.array_sort(F.collect_list(F.struct("j", "size", "phrase"))).alias("finds"))
+    nothing = F.struct(F.lit(-1).alias("end"), F.filter("finds", lambda x: F.lit(False)).alias("kept"))
+    step = lambda acc, x: F.when(x["j"] < acc["end"], acc).otherwise(F.struct((x["j"] + x["size"]).alias("end"), F.concat(acc["kept"], F.array(x)).alias("kept")))
+    return grouped.select("id", "span", F.explode(F.aggregate("finds", nothing, step, lambda acc: acc["kept"])).alias("f")).select("id", "span", "f.j", "f.size", "f.phrase")
+
+
+def _capital(text: Column) -> Column:
+    return F.concat(F.upper(F.left(text, F.lit(1))), F.substring(text, F.lit(2), F.length(text)))
+
+
+def _looked_up(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Tokens with `german` (empty if unknown), and with `size` and `phrase` where a phrase begins; `inner` inside one."""
+    entries = lookup(words_seen(toks), dictionary).withColumnRenamed("word", "low")
+    full = toks.drop("grams").join(entries, ["low", "tag"], "left").join(phrases(toks, dictionary), ["id", "span", "j"], "left")
+    covered = F.max(F.col("j") + F.col("size")).over(W.partitionBy("id", "span").orderBy("j").rowsBetween(W.unboundedPreceding, -1))
+    return full.withColumn("inner", F.col("word").isNotNull() & (F.coalesce(covered, F.lit(0)) > F.col("j")))
+
+
+def _joined(pieces: Column) -> Column:
+    """Texts of structs (place, text), in the order of the places."""
+    return F.array_join(F.transform(F.array_sort(F.collect_list(pieces)), lambda x: x["text"]), "")
+
+
+def translate(texts: DataFrame, dictionary: DataFrame, method: str = "transfer", tagger: Tagger | None = None) -> DataFrame:
+    """(id, translated_text, word_count, translated_count, seen, unknown) of texts (id, text); seen and unknown are sorted arrays of
+    (word, tag). Nouns get a capital, unknown words are shown as [[word]].
+
+    The direct method puts the German in place of each word or phrase and leaves the rest of the text as it is; words that begin a
+    sentence with a capital keep it. The transfer method gives the sentences only: after a subordinating conjunction the finite
+    verb goes last, and each begins with a capital. Unknown are, for the direct method, words outside phrases, else all.
+    Null texts and texts without words give empty results; ids are taken to be unique."""
+    if method not in ("transfer", "direct"):
+        raise ValueError(f"no such method: {method}")
+    toks = tokens(texts)
+    toks = tagged_by(toks, tagger) if tagger else tagged(toks, dictionary)
+    full = _looked_up(toks, dictionary)
+    is_word = F.col("word").isNotNull()
+    noun = F.col("tag").startswith("NN")
+    capital = noun | (F.col("word").rlike("^[A-Z]") & (F.col("j") == 0)) if method == "direct" else noun
+    unknown = F.col("german") == ""
+    single = F.when(unknown, F.concat(F.lit("[["), F.col("word"), F.lit("]]"))).when(capital, _capital(F.col("german"))).otherwise(F.col("german"))
+    shown = F.coalesce("phrase", single)
+    text = _direct(full, shown) if method == "direct" else _transfer(full, shown)
+    pair = F.struct(F.col("low").alias("word"), "tag")
+    asked = is_word & unknown & (~F.col("inner") & F.col("phrase").isNull() if method == "direct" else F.lit(True))
+    counts = full.groupBy("id").agg(
+        F.sum(is_word.cast("int")).cast("int").alias("word_count"),
+        F.sum(F.when(F.col("phrase").isNotNull(), F.col("size")).when(is_word & ~F.col("inner") & ~unknown, 1).otherwise(0)).cast("int").alias("translated_count"),
+        F.array_sort(F.collect_set(F.when(is_word, pair))).alias("seen"),
+        F.array_sort(F.collect_set(F.when(asked, pair))).alias("unknown"),
+    )
+    none = F.array().cast("array<struct<word:string,tag:string>>")
+    return texts.select(F.col("id").cast("long")).join(counts, "id", "left").join(text, "id", "left").select(
+        "id", F.coalesce("translated_text", F.lit("")).alias("translated_text"), F.coalesce("word_count", F.lit(0)).alias("word_count"), F.coalesce("translated_count", F.lit(0)).alias("translated_count"),
+        F.coalesce("seen", none).alias("seen"), F.coalesce("unknown", none).alias("unknown"),
+    )
+
+
+def _direct(full: DataFrame, shown: Column) -> DataFrame:
+    piece = F.when(F.col("word").isNull(), F.col("gap")).otherwise(F.concat("gap", shown))
+    place = F.struct("span", "j", piece.alias("text"))
+    return full.where("not inner").groupBy("id").agg(strip(_joined(place)).alias("translated_text"))
+
+
+def _transfer(full: DataFrame, shown: Column) -> DataFrame:
+    """Sentences by themselves first, then the sentences of a text in order."""
+    finite = (F.col("tag") == "MD") | F.col("tag").startswith("VB")
+    unit = F.when(F.col("word").isNotNull(), F.struct("j", shown.alias("text"), (finite & F.col("phrase").isNull()).alias("verb"), F.when(F.col("phrase").isNull(), F.col("low")).alias("low")))
+    rest = F.max(F.when(F.col("word").isNull(), F.col("gap")))
+    # A sentence's rest holds its final marks; between words there are none.
+    spans = full.where("not inner").groupBy("id", "span").agg(F.array_sort(F.collect_list(unit)).alias("units"), rest.alias("rest")).where("size(units) > 0")
+    verb = (F.array_position(F.transform("units", lambda u: u["verb"]), True) - 1).cast("int")  # -1 without a verb
+    moved = (F.col("verb") > 1) & F.get("units", F.lit(0))["low"].isin("if", "because", "although", "while")
+    ordered = F.when(moved, F.concat(F.slice("units", F.lit(1), F.col("verb")), F.slice("units", F.col("verb") + 2, F.size("units")), F.slice("units", F.col("verb") + 1, F.lit(1)))).otherwise(F.col("units"))
+    body = F.array_join(F.filter(F.transform(ordered, lambda u: u["text"]), lambda t: t != ""), " ")
+    spoken = spans.withColumn("verb", verb).select("id", "span", F.concat(_capital(strip(body)), F.regexp_extract("rest", r"[.!?]+\s*$", 0)).alias("sentence"))
+    place = F.struct("span", F.concat("sentence", F.lit(" ")).alias("text"))
+    return spoken.groupBy("id").agg(strip(_joined(place)).alias("translated_text"))
 
 
 def words_of(texts: DataFrame) -> DataFrame:
@@ -257,8 +250,6 @@ def words_of(texts: DataFrame) -> DataFrame:
 def frequency_dictionary(tokens: DataFrame, dictionary: DataFrame) -> DataFrame:
     """(id, word, frequency, tag, meaning, translation) of tokens (id, pos, word, tag): the tags by their count, then by
     first occurrence, their meanings once each, and the translation of the first tag that has one."""
-    from textloom.functions.text import meaning
-
     by_tag = tokens.groupBy("id", "word", "tag").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     known = lookup(tokens, dictionary)
     rows = by_tag.join(known, ["word", "tag"]).withColumn("meaning", meaning(F.col("tag")))
@@ -296,6 +287,7 @@ def dictionary_page(entries: DataFrame, pattern: str = "", missing: bool = False
     return rows.orderBy("english", "pos_tag", "id").offset((max(1, page) - 1) * size).limit(size)
 
 
+# The chunk grammar, one pass after the other.
 _GRAMMAR = (
     ("NP", r"(?:<(?:DT|PRP\$)>)?(?:<JJ[^>]*>)*(?:<(?:NN[^>]*|PRP)>)+"),
     ("PP", r"<IN><NP>"),
@@ -319,6 +311,20 @@ def chunk_tree(tokens: list[str], tags: list[str]) -> str:
     return f"(S {' '.join(n for _, n in nodes)})"
 
 
+def chunk_trees(toks: DataFrame) -> DataFrame:
+    """(id, span, tree) of the sentences of tagged tokens, in Arrow batches of whole sentences."""
+    import pyarrow as pa
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            trees = [chunk_tree([x["word"] for x in p], [x["tag"] for x in p]) for p in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(trees, pa.string())], names=["id", "span", "tree"])
+
+    pair = F.array_sort(F.collect_list(F.when(F.col("word").isNotNull(), F.struct("j", "word", "tag"))))
+    lists = toks.groupBy("id", "span").agg(pair.alias("p")).where("size(p) > 0")
+    return lists.mapInArrow(run, "id long, span int, tree string")
+
+
 def tree_nodes(tree: str) -> dict:
     """A bracketed tree as nested nodes with the meaning of each label and tag."""
     parts = re.findall(r"\(|\)|[^\s()]+", tree)

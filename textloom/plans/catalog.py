@@ -82,10 +82,13 @@ def _tokens(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", (F.col("i") * 100_000 + F.col("j")).alias("pos"), F.lower("w").alias("word")).withColumn("tag", suffix_tag(F.col("word")))
 
 
+def _effective(spark: SparkSession, d: str) -> DataFrame:
+    return translate.overlay(_entries(spark, d), DOMAIN)
+
+
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
-    """The words of the runs with the tags of the operator's tagger."""
-    lexicon = translate.Lexicon.of(translate.overlay(_entries(spark, d), DOMAIN))
-    return translate.tagged_words(_runs(spark, d), translate.suffix_tagger(lexicon.tags()))
+    """The tokens of the runs with the tags of the operator's tagger."""
+    return translate.tagged(translate.tokens(_runs(spark, d)), _effective(spark, d))
 
 
 def tokens_en(spark: SparkSession, d: str) -> DataFrame:
@@ -280,17 +283,43 @@ def dictionary_inserted(spark: SparkSession, d: str) -> DataFrame:
     return records.delete(records.insert_new(entries, new, ["english", "pos_tag", "domain"])[0], entries.where("pos_tag = '*'").select("english", "pos_tag"))
 
 
+def _pairs_as_text(df: DataFrame) -> DataFrame:
+    """The lists of (word, tag) as word/tag, so that they can be compared."""
+    text = lambda c: F.array_join(F.transform(c, lambda x: F.concat(x["word"], F.lit("/"), x["tag"])), " ").alias(c)
+    return df.select("id", "translated_text", "word_count", "translated_count", text("seen"), text("unknown"))
+
+
 def translate_direct(spark: SparkSession, d: str) -> DataFrame:
-    return translate.translate(_runs(spark, d), translate.overlay(_entries(spark, d), DOMAIN), "direct")
+    return _pairs_as_text(translate.translate(_runs(spark, d), _effective(spark, d), "direct"))
 
 
 def translate_transfer(spark: SparkSession, d: str) -> DataFrame:
-    return translate.translate(_runs(spark, d), translate.overlay(_entries(spark, d), DOMAIN), "transfer")
+    return _pairs_as_text(translate.translate(_runs(spark, d), _effective(spark, d), "transfer"))
 
 
 def translation_report(spark: SparkSession, d: str) -> DataFrame:
     runs = table(spark, d, "translation_runs").dropDuplicates(["id"]).withColumn("method", F.lit("transfer"))
-    return translate.report(runs, translate.frequency_dictionary(_tagged(spark, d), translate.overlay(_entries(spark, d), DOMAIN)))
+    return translate.report(runs, translate.frequency_dictionary(translate.words_seen(_tagged(spark, d)), _effective(spark, d)))
+
+
+def tagged_words(spark: SparkSession, d: str) -> DataFrame:
+    return _tagged(spark, d).where("word is not null").select("id", "span", "j", "gap", "word", "tag")
+
+
+def tagged_frequency(spark: SparkSession, d: str) -> DataFrame:
+    return translate.frequency_dictionary(translate.words_seen(_tagged(spark, d)), _effective(spark, d))
+
+
+def tagged_unknown(spark: SparkSession, d: str) -> DataFrame:
+    return translate.new_entries(translate.words_seen(_tagged(spark, d)), _entries(spark, d), _effective(spark, d), DOMAIN)
+
+
+def phrase_hits(spark: SparkSession, d: str) -> DataFrame:
+    return translate.phrases(translate.tokens(_runs(spark, d)), _effective(spark, d))
+
+
+def chunk_trees(spark: SparkSession, d: str) -> DataFrame:
+    return translate.chunk_trees(_tagged(spark, d))
 
 
 def essay_indicators(spark: SparkSession, d: str) -> DataFrame:
@@ -368,7 +397,7 @@ def queries() -> dict[str, Query]:
         snippet_window, snippets, rank_metrics, pr_curve_11pt, rank_metrics_summary, pr_curve_mean, index_after_delete, freq_profile, short_profile,
         langid_scores, langid_freq, langid_short, langid_summary, langid_mlp, char_windows, char_ngrams, sentences_offsets, summary_sentence, keywords, summary_lsa,
         summary_evaluation, dictionary_overlay, lookup_words, frequency_dictionary, unknown_words, dictionary_seeded, dictionary_inserted, dictionary_page, translate_direct,
-        translate_transfer, translation_report, essay_indicators, essay_top_words, speech_chunks, translation_spans, command_log, dictated_essays,
+        translate_transfer, translation_report, tagged_words, tagged_frequency, tagged_unknown, phrase_hits, chunk_trees, essay_indicators, essay_top_words, speech_chunks, translation_spans, command_log, dictated_essays,
         crawl_changes, crawl_tally, nested_correct_update, upsert_latest, summary_keywords, recent_documents, file_facts, escaped_titles,
     ]
     return {f.__name__: f for f in made}

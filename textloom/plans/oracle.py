@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from textloom.functions import text as fx
 from textloom.functions import words
+from textloom.operators import translate
 
 STEM = f"regexp_replace(w, '{fx.STEM_RX}', '\\1')"
 CLEAN = r"trim(regexp_replace(regexp_replace(lower(text), '[^a-zıſа-яё\s]', ' ', 'g'), '\s+', ' ', 'g'))"
@@ -125,6 +126,58 @@ cand AS (
 best AS (SELECT word, tag, german FROM cand QUALIFY row_number() OVER (PARTITION BY word, tag ORDER BY pass, f, k) = 1),
 look AS (SELECT a.word, a.tag, coalesce(b.german, '') AS german FROM ask a LEFT JOIN best b ON b.word = a.word AND b.tag = a.tag)"""
 
+def _tagged(domain: str) -> str:
+    """CTEs up to tg (id, span, j, gap, word, low, tag), look2 (low, tag, german) and ph (id, span, j, size, phrase) of the translator."""
+    closed = " ".join(f"WHEN low IN {_list(ws.split())} THEN '{tag}'" for tag, ws in translate._CLOSED.items())
+    endings = " ".join(f"WHEN ends_with(low, '{e}') AND length(low) > {len(e) + 2} THEN '{tag}'" for e, tag in translate._ENDINGS)
+    fallback = ", ".join(f"('{tag}', '{other}', {k})" for tag, others in words.TAG_FALLBACKS.items() for k, other in enumerate(others, 2))
+    forms = LOOKUP[LOOKUP.index("form AS (") : LOOKUP.index("keyed AS (")].replace("form AS (", "form2 AS (").replace("ask", "ask2").rstrip().rstrip(",")
+    return f"""WITH RECURSIVE {_dictionary(domain)},
+pc AS (SELECT id, unnest(l) AS s, generate_subscripts(l, 1) - 1 AS span FROM (SELECT id, regexp_extract_all(text, {_rx(translate._TILE)}) AS l FROM runs WHERE text IS NOT NULL)),
+se AS (SELECT *, regexp_matches(s, '^[^.!?\\n]') AND NOT ends_with(s, chr(10)) AND regexp_matches(s, '[A-Za-z]') AS sentence, regexp_extract_all(s, {_rx(fx.WORD_RX + '|[^A-Za-z]+')}) AS l FROM pc),
+pa AS (SELECT id, span, CASE WHEN NOT sentence THEN [s] WHEN regexp_matches(s, '^[A-Za-z]') THEN list_prepend('', l) ELSE l END AS l FROM se),
+tk2 AS (SELECT id, span, j, l[2 * j + 1] AS gap, l[2 * j + 2] AS word, lower(l[2 * j + 2]) AS low FROM (SELECT id, span, l, unnest(range(0, len(l) // 2 + 1)) AS j FROM pa)),
+kt AS (SELECT english AS w, pos AS t FROM dict WHERE pos <> '*' AND NOT contains(english, ' ') QUALIFY row_number() OVER (PARTITION BY english ORDER BY id) = 1),
+tg0 AS (SELECT tk2.*, CASE {closed} END AS t1, k0.t AS t2, coalesce(k1.t, k2.t) AS base FROM tk2 LEFT JOIN kt k0 ON k0.w = low
+    LEFT JOIN kt k1 ON ends_with(low, 's') AND k1.w = left(low, -1) AND k1.t IN ('NN', 'VB') LEFT JOIN kt k2 ON ends_with(low, 's') AND k2.w = left(low, -2) AND k2.t IN ('NN', 'VB')),
+tg AS (SELECT id, span, j, coalesce(gap, '') AS gap, word, low, CASE WHEN word IS NOT NULL THEN coalesce(t1, t2, CASE base WHEN 'NN' THEN 'NNS' WHEN 'VB' THEN 'VBZ' END, CASE WHEN regexp_matches(word, '^[A-Z]') AND j > 0 THEN 'NNP' END, CASE {endings} ELSE 'NN' END) END AS tag FROM tg0),
+ask2 AS (SELECT DISTINCT low AS word, tag FROM tg WHERE word IS NOT NULL),
+{forms},
+fb(tag, pos, k) AS (VALUES {fallback}),
+key2 AS (SELECT word, tag, form, f, tag AS pos, 0 AS k FROM form2 UNION ALL SELECT word, tag, form, f, '*', 1 FROM form2 UNION ALL SELECT word, form2.tag, form, f, fb.pos, fb.k FROM form2 JOIN fb ON fb.tag = form2.tag),
+can2 AS (SELECT k.word, k.tag, 0 AS pass, k.f, k.k, d.german FROM key2 k JOIN dict d ON d.english = k.form AND d.pos = k.pos WHERE d.german <> ''
+    UNION ALL SELECT k.word, k.tag, 1, k.f, d.id, d.german FROM form2 k JOIN dict d ON d.english = k.form WHERE d.german <> ''),
+look2 AS (SELECT a.word AS low, a.tag, coalesce(b.german, '') AS german FROM ask2 a LEFT JOIN (SELECT * FROM can2 QUALIFY row_number() OVER (PARTITION BY word, tag ORDER BY pass, f, k) = 1) b ON b.word = a.word AND b.tag = a.tag),
+nx AS (SELECT id, span, j, low, lead(low, 1) OVER w AS l1, lead(low, 2) OVER w AS l2, lead(low, 3) OVER w AS l3, regexp_matches(lead(gap, 1) OVER w, '^{fx.SPACE}+$') AS g1, regexp_matches(lead(gap, 2) OVER w, '^{fx.SPACE}+$') AS g2, regexp_matches(lead(gap, 3) OVER w, '^{fx.SPACE}+$') AS g3 FROM tg WINDOW w AS (PARTITION BY id, span ORDER BY j)),
+gr AS (SELECT id, span, j, 2 AS size, low || ' ' || l1 AS g FROM nx WHERE g1 UNION ALL SELECT id, span, j, 3, low || ' ' || l1 || ' ' || l2 FROM nx WHERE g1 AND g2 UNION ALL SELECT id, span, j, 4, low || ' ' || l1 || ' ' || l2 || ' ' || l3 FROM nx WHERE g1 AND g2 AND g3),
+hit2 AS (SELECT gr.id, span, j, size, german AS phrase FROM gr JOIN dict d ON d.english = g AND d.pos = '*' WHERE d.german <> '' QUALIFY row_number() OVER (PARTITION BY gr.id, span, j ORDER BY size DESC) = 1),
+ph AS (SELECT id, span, min(j) AS j, arg_min(size, j) AS size, arg_min(phrase, j) AS phrase FROM hit2 GROUP BY id, span
+    UNION ALL SELECT h.id, h.span, min(h.j), arg_min(h.size, h.j), arg_min(h.phrase, h.j) FROM ph JOIN hit2 h ON h.id = ph.id AND h.span = ph.span AND h.j >= ph.j + ph.size GROUP BY h.id, h.span),
+un AS (SELECT tg.*, l.german, p.size, p.phrase, EXISTS (SELECT 1 FROM ph o WHERE o.id = tg.id AND o.span = tg.span AND o.j < tg.j AND o.j + o.size > tg.j) AND tg.word IS NOT NULL AS inside
+    FROM tg LEFT JOIN look2 l ON l.low = tg.low AND l.tag = tg.tag LEFT JOIN ph p ON p.id = tg.id AND p.span = tg.span AND p.j = tg.j)"""
+
+
+def _translated(domain: str, direct: bool) -> str:
+    cap = lambda x: f"upper(left({x}, 1)) || substring({x}, 2)"
+    first = " OR (j = 0 AND regexp_matches(word, '^[A-Z]'))" if direct else ""
+    asked = "german = '' AND NOT inside AND phrase IS NULL" if direct else "german = ''"
+    if direct:
+        text = f"tx AS (SELECT id, {_strip('string_agg(CASE WHEN word IS NULL THEN gap ELSE gap || shown END, chr(0) ORDER BY span, j)').replace('chr(0)', repr(''))} AS translated_text FROM sh GROUP BY id)"
+    else:
+        text = f"""us AS (SELECT *, row_number() OVER (PARTITION BY id, span ORDER BY j) - 1 AS u FROM sh WHERE word IS NOT NULL),
+vb AS (SELECT id, span, min(u) FILTER (phrase IS NULL AND (tag = 'MD' OR starts_with(tag, 'VB'))) AS v, bool_or(u = 0 AND phrase IS NULL AND low IN ('if', 'because', 'although', 'while')) AS sub FROM us GROUP BY ALL),
+st AS (SELECT us.id, us.span, string_agg(shown, ' ' ORDER BY CASE WHEN sub AND v > 1 AND u = v THEN 1000000 ELSE u END) FILTER (shown <> '') AS body FROM us JOIN vb ON vb.id = us.id AND vb.span = us.span GROUP BY ALL),
+tx AS (SELECT st.id, {_strip("string_agg(" + cap("trim(body)") + " || regexp_extract(s, '[.!?]+$'), ' ' ORDER BY st.span)")} AS translated_text FROM st JOIN pc ON pc.id = st.id AND pc.span = st.span GROUP BY st.id)"""
+    return _tagged(domain) + f""",
+sh AS (SELECT *, coalesce(phrase, CASE WHEN german = '' THEN '[[' || word || ']]' WHEN starts_with(tag, 'NN'){first} THEN {cap('german')} ELSE german END) AS shown FROM un WHERE NOT inside),
+{text},
+ct AS (SELECT id, count(word) AS wc, sum(CASE WHEN phrase IS NOT NULL THEN size WHEN word IS NOT NULL AND NOT inside AND german <> '' THEN 1 ELSE 0 END) AS tc,
+    list_sort(list(DISTINCT (low, tag)) FILTER (word IS NOT NULL)) AS seen, list_sort(list(DISTINCT (low, tag)) FILTER ({asked})) AS unknown FROM un GROUP BY id)
+SELECT r.id, coalesce(translated_text, '') AS translated_text, CAST(coalesce(wc, 0) AS INT) AS word_count, CAST(coalesce(tc, 0) AS INT) AS translated_count,
+    coalesce(array_to_string(list_transform(seen, lambda x: x[1] || '/' || x[2]), ' '), '') AS seen, coalesce(array_to_string(list_transform(unknown, lambda x: x[1] || '/' || x[2]), ' '), '') AS unknown
+FROM runs r LEFT JOIN ct ON ct.id = r.id LEFT JOIN tx ON tx.id = r.id"""
+
+
 PHRASES = """
 WITH said AS (SELECT user_id AS session, event_id AS seq, CASE event_type WHEN 'signup' THEN 'Dictate.' WHEN 'click' THEN 'analyze essay' WHEN 'view' THEN 'Read results!'
     WHEN 'purchase' THEN 'show plan' WHEN 'error' THEN 'clear essay' ELSE event_type END AS phrase FROM events),
@@ -185,6 +238,11 @@ def sql(searches: list[tuple[int, str, str]], prefixes: list[str], snippet: list
     meaning = "CASE tag " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.TAG_MEANINGS.items()) + f" ELSE '{words.OTHER_TAG}' END"
     titled = r"regexp_replace(regexp_extract(file_path, '[^/]*$'), '(.)\.[^.]*$', '\1')"
     correct = lambda p: f"CASE WHEN coalesce(t, '') = '' THEN NULL ELSE {p} = t END"
+    tagged_rows = _tagged(domain) + f""",
+fn AS (SELECT id, low AS word, tag, count(*) AS n, min((span, j)) AS first FROM tg WHERE word IS NOT NULL GROUP BY ALL),
+fo AS (SELECT fn.*, l.german, {meaning.replace('CASE tag', 'CASE fn.tag')} AS meaning FROM fn JOIN look2 l ON l.low = fn.word AND l.tag = fn.tag),
+fm AS (SELECT id, word, meaning, min((-n, first)) AS m FROM fo GROUP BY ALL), fj AS (SELECT id, word, string_agg(meaning, '; ' ORDER BY m) AS meaning FROM fm GROUP BY ALL),
+fr AS (SELECT fo.id, fo.word, CAST(sum(n) AS BIGINT) AS frequency, string_agg(tag, ', ' ORDER BY n DESC, first) AS tag, any_value(fj.meaning) AS meaning, coalesce(first(german ORDER BY n DESC, first) FILTER (german <> ''), '') AS translation FROM fo JOIN fj ON fj.id = fo.id AND fj.word = fo.word GROUP BY ALL)"""
     return {
         "tokens_en": f"""WITH l AS (SELECT doc_id, list_transform(list_filter(regexp_extract_all(lower(coalesce(text, '') || ' ' || coalesce(title, '')), '[a-zA-Z]+'), lambda w: length(w) > 1 AND w NOT IN {STOP}), lambda w: {STEM}) AS t FROM documents)
 SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INT) AS pos, unnest(t) AS term FROM l""",
@@ -244,6 +302,19 @@ r AS (SELECT n.*, l.german, {meaning.replace('CASE tag', 'CASE n.tag')} AS meani
 SELECT id, word, CAST(sum(n) AS BIGINT) AS frequency, string_agg(tag, ', ' ORDER BY n DESC, first) AS tag, string_agg(meaning, '; ' ORDER BY n DESC, first) AS meaning, coalesce(first(german ORDER BY n DESC, first) FILTER (german <> ''), '') AS translation FROM r GROUP BY 1, 2""",
         "unknown_words": dictionary + LOOKUP + f""", kn AS (SELECT DISTINCT english, pos_tag FROM ent WHERE domain IN ('general', '{domain}'))
 SELECT word AS english, tag AS pos, german, '{domain}' AS domain FROM look l WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.english = l.word AND kn.pos_tag = l.tag)""",
+        "tagged_words": _tagged(domain) + " SELECT id, CAST(span AS INT) AS span, CAST(j AS INT) AS j, gap, word, tag FROM tg WHERE word IS NOT NULL",
+        "phrase_hits": _tagged(domain) + " SELECT id, CAST(span AS INT) AS span, CAST(j AS INT) AS j, CAST(size AS INT) AS size, phrase FROM ph",
+        "tagged_frequency": tagged_rows + " SELECT id, word, frequency, tag, meaning, translation FROM fr",
+        "tagged_unknown": _tagged(domain) + f""", kn AS (SELECT DISTINCT english, pos_tag FROM ent WHERE domain IN ('general', '{domain}'))
+SELECT low AS english, tag AS pos, german, '{domain}' AS domain FROM look2 l WHERE NOT EXISTS (SELECT 1 FROM kn WHERE kn.english = l.low AND kn.pos_tag = l.tag)""",
+        "translate_direct": _translated(domain, True),
+        "translate_transfer": _translated(domain, False),
+        "translation_report": tagged_rows + """,
+ln AS (SELECT id, string_agg(concat_ws(chr(9), CAST(frequency AS VARCHAR), word, CASE WHEN coalesce(translation, '') = '' THEN '—' ELSE translation END, tag, meaning), chr(10) ORDER BY frequency DESC, word) AS lines FROM fr GROUP BY id),
+ru AS (SELECT DISTINCT * FROM translation_runs)
+SELECT ru.id, 'Title: ' || coalesce(title, '') || chr(10) || 'Domain: ' || coalesce(domain, '') || chr(10) || 'Method: transfer' || chr(10) || 'Date: ' || coalesce(strftime(created_at, '%Y-%m-%d %H:%M'), '') || chr(10)
+    || 'Words: ' || coalesce(CAST(word_count AS VARCHAR), '') || chr(10) || 'Translated: ' || coalesce(CAST(translated_count AS VARCHAR), '') || chr(10) || chr(10) || 'Source text:' || chr(10) || coalesce(source_text, '') || chr(10) || chr(10)
+    || 'Translation:' || chr(10) || coalesce(translated_text, '') || chr(10) || chr(10) || 'Frequency dictionary:' || chr(10) || coalesce(lines, '') AS report FROM ru LEFT JOIN ln ON ln.id = ru.id""",
         "dictionary_seeded": f"""WITH k AS (SELECT english, pos_tag AS pos, domain, max(german) AS german FROM (SELECT DISTINCT * FROM dictionary_entries) GROUP BY ALL),
 s AS (SELECT english, pos, '{domain}' AS domain, german FROM k WHERE domain = 'general')
 SELECT coalesce(k.english, s.english) AS english, coalesce(k.pos, s.pos) AS pos, coalesce(k.domain, s.domain) AS domain, CASE WHEN coalesce(k.german, '') <> '' THEN k.german ELSE coalesce(s.german, k.german) END AS german
