@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from textloom.functions.text import search_tokens, stem
+from textloom.functions.text import escape_html, let, search_tokens, stem
 from textloom.session import small
 
 #: Rows of the query table up to which it is broadcast.
@@ -66,56 +66,68 @@ def suggest(vocabulary: DataFrame, documents: DataFrame, prefixes: DataFrame, li
     return once.withColumn("place", F.row_number().over(W.partitionBy("prefix").orderBy("kind", "i"))).where(F.col("place") <= limit).select("prefix", "place", "suggestion")
 
 
+def _pieces(text: Column) -> Column:
+    """A text as gap, word, gap, word, ...; words are ASCII letters, the first gap may be empty."""
+    parts = F.regexp_extract_all(text, F.lit("[a-zA-Z]+|[^a-zA-Z]+"), F.lit(0))
+    return F.when(text.rlike("^[a-zA-Z]"), F.concat(F.array(F.lit("")), parts)).otherwise(parts)
+
+
+def _is_hit(word: Column, terms: list[str]) -> Column:
+    return stem(F.lower(word)).isin(terms) if terms else F.lit(False)
+
+
+def _hits(pieces: Column, terms: list[str]) -> Column:
+    """Numbers of the words whose stem is a query term."""
+    return F.array_compact(F.transform(pieces, lambda p, i: F.when((i % 2 == 1) & _is_hit(p, terms), F.floor(i / 2).cast("int"))))
+
+
+def _densest(hits: Column, n: Column, width: int) -> Column:
+    """(best_start, hits) of the first window with the most hits. Unless it is the first of all, its last word is a hit, for else
+    the window before it would do as well; so only windows that end with a hit are counted, over the hits before it alone."""
+
+    def ending(at: Column, k: Column) -> Column:
+        start = F.greatest(at - (width - 1), F.lit(0))
+        near = F.slice(hits, F.greatest(k - (width - 2), F.lit(1)), F.lit(width))
+        return F.struct((-F.size(F.filter(near, lambda h: (h >= start) & (h < start + width)))).alias("less"), start.alias("start"))
+
+    best = F.array_min(F.concat(F.array(F.struct(F.lit(0).alias("less"), F.lit(0).alias("start"))), F.transform(hits, ending)))
+    return F.struct(best["start"].alias("best_start"), (-best["less"]).alias("hits"), n.alias("n"))
+
+
+def _with_windows(documents: DataFrame, terms: list[str], width: int) -> DataFrame:
+    """(doc_id, text, pieces, n, w): the pieces of each text, its number of words and its best window; one pass without a shuffle."""
+    cut = documents.where("text is not null").select("doc_id", "text", _pieces(F.col("text")).alias("pieces"))
+    counted = cut.withColumn("n", F.floor(F.size("pieces") / 2).cast("int"))
+    return counted.withColumn("w", let(_hits(F.col("pieces"), terms), lambda h: _densest(h, F.col("n"), width)))
+
+
 def best_windows(documents: DataFrame, terms: list[str], width: int = 28) -> DataFrame:
     """(doc_id, best_start, hits): the first of the windows of `width` words with the most words whose stem is a query
     term; texts with fewer words have one window."""
-    wanted = F.array(*[F.lit(t) for t in terms]).cast("array<string>")
-    flags = F.transform(F.regexp_extract_all("text", F.lit("[a-zA-Z]+"), F.lit(0)), lambda w: F.array_contains(wanted, stem(F.lower(w))).cast("int"))
-    rows = documents.where("text is not null").select("doc_id", flags.alias("flags")).where("size(flags) > 0")
-    exploded = rows.select("doc_id", F.least(F.size("flags"), F.lit(width)).alias("w"), F.posexplode("flags").alias("i", "flag"))
-    frame = W.partitionBy("doc_id").orderBy("i").rowsBetween(0, width - 1)
-    summed = exploded.withColumn("hits", F.sum("flag").over(frame)).withColumn("n", F.count("*").over(frame))
-    first = F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("hits"), "i"))
-    return summed.where("n = w").withColumn("r", first).where("r = 1").select("doc_id", F.col("i").alias("best_start"), F.col("hits").cast("int").alias("hits"))
+    return _with_windows(documents, terms, width).where("n > 0").select("doc_id", "w.best_start", "w.hits")
 
 
 def snippets(documents: DataFrame, terms: list[str], width: int = 28, most: int = 320) -> DataFrame:
-    """(doc_id, snippet): the best window as HTML, query words in <strong>, cut after `most` characters, with … where
-    text is left out. Texts without words give their first characters."""
-    wanted = set(terms)
-
-    def run(batches):
-        import pandas as pd
-
-        for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "snippet": [_snippet(t, wanted, width, most) for t in batch["text"]]})
-
-    return documents.where("text is not null").select("doc_id", "text").mapInPandas(run, "doc_id long, snippet string")
-
-
-def _snippet(text: str, terms: set[str], width: int, most: int) -> str:
-    import html
-    import re
-
-    from textloom.functions.text import STEM_RX
-
-    found = [(m.start(), m.end()) for m in re.finditer("[a-zA-Z]+", text)]
-    if not found:
-        return html.escape(text[:most])
-    flags = [re.sub(STEM_RX, r"\1", text[a:b].lower()) in terms for a, b in found]
-    sums = [0]
-    for flag in flags:
-        sums.append(sums[-1] + flag)
-    size = min(width, len(found))
-    best = max(range(len(found) - size + 1), key=lambda i: (sums[i + size] - sums[i], -i))
-    begin = found[best][0]
-    end = min(found[best + size - 1][1], begin + most)
-    out, at = [], begin
-    for (a, b), flag in zip(found[best : best + size], flags[best : best + size]):
-        if b > end:
-            break
-        word = html.escape(text[a:b])
-        out += [html.escape(text[at:a]), f"<strong>{word}</strong>" if flag else word]
-        at = b
-    return ("…" if begin else "") + "".join(out) + ("…" if end < len(text) else "")
-
+    """(doc_id, snippet): the best window as HTML, query words in <strong>, as many whole words as fit in `most` characters,
+    with … where text is left out. Texts without words give their first characters."""
+    found = _with_windows(documents, terms, width)
+    first = F.col("w.best_start")
+    window = F.slice("pieces", 2 * first + 2, F.lit(2 * width - 1))
+    before = F.length(F.array_join(F.slice("pieces", F.lit(1), 2 * first + 1), ""))
+    placed = found.select("doc_id", "text", "n", before.alias("before"), window.alias("window"))
+    # A text may end in a gap; the window does not. `at` is where the piece ends, counted from the window's beginning.
+    ended = placed.withColumn("window", F.when((F.size("window") % 2 == 0) & (F.size("window") > 0), F.slice("window", F.lit(1), F.size("window") - 1)).otherwise(F.col("window")))
+    nothing = F.struct(F.lit(0).alias("at"), F.lit("").alias("gap"), F.lit("").alias("html"))
+
+    def step(acc: Column, piece: Column) -> Column:
+        at = acc["at"] + F.length(piece)
+        safe = escape_html(piece)
+        word = F.concat(acc["html"], acc["gap"], F.when(_is_hit(piece, terms), F.concat(F.lit("<strong>"), safe, F.lit("</strong>"))).otherwise(safe))
+        is_word = piece.rlike("^[a-zA-Z]")
+        return F.struct(at.alias("at"), F.when(is_word, "").otherwise(safe).alias("gap"), F.when(is_word & (at <= most), word).otherwise(acc["html"]).alias("html"))
+
+    html = F.aggregate("window", nothing, step, lambda acc: acc["html"])
+    end = F.col("before") + F.least(F.length(F.array_join("window", "")), F.lit(most))
+    dots = lambda c: F.when(c, "…").otherwise("")
+    made = F.concat(dots(F.col("before") > 0), html, dots(end < F.length("text")))
+    return ended.select("doc_id", F.when(F.col("n") == 0, escape_html(F.left("text", F.lit(most)))).otherwise(made).alias("snippet"))

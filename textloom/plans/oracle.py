@@ -53,6 +53,12 @@ sc AS (SELECT d.doc_id, f.lang, coalesce(h.s, CAST('-infinity' AS DOUBLE)) AS sc
 pred AS (SELECT doc_id, lang AS predicted FROM sc QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 6) DESC, CASE lang WHEN 'ru' THEN 0 ELSE 1 END) = 1)"""
 
 
+def _escaped(x: str) -> str:
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;"), ("''", "&#x27;")):
+        x = f"replace({x}, '{char}', '{name}')"
+    return x
+
+
 def _sentences(source: str, name: str = "sent") -> str:
     """CTEs that end in `name` (doc_id, index, text, document_offset, paragraph_offset, paragraph_length) of `source` (doc_id, text)."""
     return f"""
@@ -266,6 +272,20 @@ u AS (SELECT doc_id, len(l) AS n, lower(unnest(l)) AS w, generate_subscripts(l,
 f AS (SELECT doc_id, n, i, CASE WHEN {STEM} IN {_list(snippet)} THEN 1 ELSE 0 END AS flag FROM u),
 s AS (SELECT doc_id, n, i, sum(flag) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) AS hits FROM f)
 SELECT doc_id, CAST(i AS INT) AS best_start, CAST(hits AS INT) AS hits FROM s WHERE i <= n - least(n, 28) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, i) = 1""",
+        "snippets": f"""WITH t AS (SELECT doc_id, text, regexp_extract_all(text, '[a-zA-Z]+|[^a-zA-Z]+') AS l FROM documents WHERE text IS NOT NULL),
+u AS (SELECT doc_id, unnest(l) AS p, generate_subscripts(l, 1) AS i FROM t),
+v AS (SELECT doc_id, i, p, lower(p) AS w, regexp_matches(p, '^[a-zA-Z]') AS word, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) AS e FROM u),
+f AS (SELECT *, word AND {STEM} IN {_list(snippet)} AS flag, CASE WHEN word THEN row_number() OVER (PARTITION BY doc_id, word ORDER BY i) - 1 END AS k, sum(CAST(word AS INT)) OVER (PARTITION BY doc_id) AS n FROM v),
+s AS (SELECT doc_id, n, k, sum(CAST(flag AS INT)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND 27 FOLLOWING) AS hits FROM f WHERE word),
+b AS (SELECT doc_id, k AS b FROM s WHERE k <= n - least(n, 28) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY hits DESC, k) = 1),
+x AS (SELECT f.*, e - length(p) AS a FROM f JOIN b ON b.doc_id = f.doc_id WHERE word AND k BETWEEN b AND b + 27),
+y AS (SELECT doc_id, min(a) AS a, least(max(e), min(a) + 320) AS e, min(i) AS i0 FROM x GROUP BY doc_id),
+z AS (SELECT y.doc_id, y.a, y.e, i0, max(x.i) FILTER (x.e <= y.a + 320) AS i1 FROM y JOIN x ON x.doc_id = y.doc_id GROUP BY ALL),
+h AS (SELECT z.doc_id, string_agg(CASE WHEN flag THEN '<strong>' || {_escaped('p')} || '</strong>' ELSE {_escaped('p')} END, '' ORDER BY i) AS html FROM z JOIN f ON f.doc_id = z.doc_id AND f.i BETWEEN i0 AND i1 GROUP BY z.doc_id)
+SELECT t.doc_id, CASE WHEN z.doc_id IS NULL THEN {_escaped('substring(text, 1, 320)')} ELSE CASE WHEN z.a > 0 THEN '…' ELSE '' END || coalesce(html, '') || CASE WHEN z.e < length(text) THEN '…' ELSE '' END END AS snippet
+FROM t LEFT JOIN z ON z.doc_id = t.doc_id LEFT JOIN h ON h.doc_id = t.doc_id""",
+        "dictated_essays": PHRASES + """, cl AS (SELECT session, coalesce(max(seq) FILTER (outcome = 'clear essay'), -1) AS c FROM logged GROUP BY session)
+SELECT l.session, left(string_agg(trim(phrase), ' ' ORDER BY seq), 10000) AS essay FROM logged l JOIN cl ON cl.session = l.session WHERE outcome = 'content' AND seq > c GROUP BY l.session""",
         "rank_metrics": _metrics(searches) + " SELECT query_id, " + ", ".join(f'round("{n}", 6) AS "{n}"' for n in names) + " FROM mt",
         "pr_curve_11pt": _metrics(searches) + ' SELECT query_id, level, round("precision", 6) AS "precision" FROM cv',
         "rank_metrics_summary": _metrics(searches) + " " + " UNION ALL ".join(f"SELECT '{n}' AS metric, round(coalesce(avg(\"{n}\"), 0.0), 4) AS mean FROM mt" for n in names),
