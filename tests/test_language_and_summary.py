@@ -22,13 +22,15 @@ def test_profiles_and_scores(spark):
     assert (got.correct, got.total, got.accuracy) == (1, 2, 50.0)
 
 
-def test_perceptron(spark):
+def test_perceptron(spark, tmp_path):
     english = "the quick brown fox jumps over the lazy dog while nobody looks at the garden "
     russian = "быстрая лиса прыгает через ленивую собаку пока никто не смотрит на сад "
     training = spark.createDataFrame([("en", english * 5), ("ru", russian * 5)], "lang string, text string")
     model, labels = langid_ml.train(training, features=200, hidden=8, iterations=30)
     docs = spark.createDataFrame([(1, english), (2, russian), (3, "12")], "doc_id long, text string")
     got = {r.doc_id: r for r in langid_ml.predict(docs, model, labels).collect()}
+    langid_ml.save(model, labels, str(tmp_path / "model"))
+    assert {r.doc_id: r for r in langid_ml.predict(docs, *langid_ml.load(spark, str(tmp_path / "model"))).collect()} == got
     assert got[1].predicted == "en" and got[2].predicted == "ru" and got[3].probability == 0
 
 
@@ -98,3 +100,22 @@ def test_essay(spark):
     assert got[1].spoken == "15 words, 3 sentences, 2 paragraphs. 3 of 3 structure signals found."
     top = [(r.word, r["count"]) for r in essay.top_words(docs).orderBy("place").collect()]
     assert top[0] == ("delay", 2) or top[0] == ("hamlet", 2)
+
+
+def test_timed_methods(spark):
+    corpus = spark.createDataFrame([(1, "Heart health. Heart sleep. More rest."), (2, "Sleep quality.")], "doc_id long, text string")
+    reference = spark.createDataFrame([(1, 1), (1, 2), (2, 1)], "doc_id long, index int")
+    rows = summarize.evaluate_timed(corpus, "en", "sentence", reference, 2).collect()
+    assert {r.doc_id: r.overlap for r in rows} == {1: 2, 2: 1} and all(r.mean_ms > 0 for r in rows)
+    done, times = langid.timed(spark.createDataFrame([(1, "en")], "doc_id long, predicted string"), "freq_words")
+    assert done.first().method == "freq_words" and times.first().documents == 1 and times.first().mean_ms > 0
+
+
+def test_languages_in_one_pass(spark):
+    rows = [(1, "The heart works. Blood flows in the heart.", "en"), (2, "El corazón late. La sangre fluye.", "es"), (3, "Blood tests.", "en"), (4, "Das Herz.", "de")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    both = {(r.doc_id, r["index"]): r.score for r in summarize.sentence_scores(docs).collect()}
+    for lang in ("en", "es"):
+        alone = summarize.sentence_scores(docs.where(f"lang = '{lang}'"), lang).collect()
+        assert alone and all(both[r.doc_id, r["index"]] == pytest.approx(r.score) for r in alone)
+    assert both[4, 0] == 0

@@ -1,3 +1,4 @@
+import datetime
 import json
 import os
 
@@ -48,10 +49,10 @@ def test_crawl(spark, tmp_path):
     (root / "a.txt").write_text("иначе", encoding="utf-8")
     second = {r.status: r.files for r in ingest.crawl_folder(spark, str(root), store).collect()}
     assert second == {"new": 0, "changed": 1, "unchanged": 1, "unsupported": 1, "error": 0}
-    assert {r.title: r.text for r in spark.read.parquet(store).collect()} == {"a": "иначе", "b": "second"}
+    assert {r.title: r.text for r in sinks.read_version(spark, store, "documents").collect()} == {"a": "иначе", "b": "second"}
     query = ingest.follow_folder(spark, str(root), str(tmp_path / "streamed"), str(tmp_path / "checkpoint"))
     query.awaitTermination()
-    assert {r.title for r in spark.read.parquet(str(tmp_path / "streamed")).collect()} == {"a", "b"}
+    assert {r.title for r in sinks.read_version(spark, str(tmp_path / "streamed"), "documents").collect()} == {"a", "b"}
 
 
 PHRASES = [(1, 1, "Help."), (1, 2, "dictate"), (1, 3, "dictate!"), (1, 4, "what now"), (1, 5, "dictate"), (1, 6, "my essay"), (1, 7, ""), (1, 8, "show plan"), (2, 1, "dictate"), (2, 2, "clear essay"), (2, 3, "clear essay")]
@@ -92,3 +93,47 @@ def test_sinks(spark, tmp_path):
     profile = spark.createDataFrame([("en", "the", 0.5, 0.01)], "lang string, word string, prob double, min_prob double")
     sinks.write_json(sinks.profile_files(profile), str(tmp_path / "profiles"))
     assert [tuple(r) for r in readers.profiles(spark, str(tmp_path / "profiles")).collect()] == [("en", "the", 0.5, 0.01)]
+
+
+def test_summaries_are_replaced_with_their_keywords(spark):
+    schema = "id long, document_id long, method string, keywords string, created_at timestamp"
+    at = lambda d: datetime.datetime(2026, 1, d)
+    stored = spark.createDataFrame([(1, 1, "lsa", '[{"term":"a","weight":1}]', at(1)), (2, 2, "lsa", '[{"term":"b","weight":1}]', at(1))], schema)
+    new = spark.createDataFrame([(3, 1, "lsa", '[{"term":"c","weight":2},{"term":"d","weight":1}]', at(2)), (4, 1, "lsa", '[{"term":"e","weight":2}]', at(3))], schema)
+    summaries, children = records.replaced_summaries(stored, records.keyword_rows(stored), new)
+    assert {r.id for r in summaries.collect()} == {2, 4}
+    assert {(r.summary_id, r.position, r.term) for r in children.collect()} == {(2, 1, "b"), (4, 1, "e")}
+    assert [r.id for r in records.by_id(summaries, "id", 4).collect()] == [4]
+
+
+def test_marked_exports(spark, tmp_path):
+    rows = spark.createDataFrame([("a,b", None, 1), ("c", "é", 2)], "file string, true_language string, n int").coalesce(1)
+    sinks.write_csv(rows, str(tmp_path / "csv"))
+    part = next((tmp_path / "csv").glob("part-*")).read_bytes()
+    assert part.startswith(b"\xef\xbb\xbffile,true_language,n\n")
+    assert [tuple(r) for r in spark.read.csv(str(tmp_path / "csv"), header=True).collect()] == [("a,b", None, "1"), ("c", "é", "2")]
+    sinks.write_reports(spark.createDataFrame([(7, "one\ntwo")], "id long, report string"), str(tmp_path / "reports"))
+    assert next((tmp_path / "reports" / "id=7").glob("part-*")).read_text(encoding="utf-8-sig") == "one\ntwo\n"
+
+
+def test_versions_survive_an_unfinished_write(spark, tmp_path):
+    root = str(tmp_path / "store")
+    for n in range(3):
+        sinks.write_version({"rows": spark.range(n + 1)}, root)
+    (tmp_path / "store" / "v00000004.part").mkdir()
+    assert [v[-1] for v in sinks.versions(spark, root)] == ["2", "3"] and sinks.read_version(spark, root, "rows").count() == 3
+    sinks.write_version({"rows": spark.range(9)}, root)
+    assert sinks.read_version(spark, root, "rows").count() == 9
+
+
+def test_labelled_collection_and_corpora(spark, tmp_path):
+    folder = tmp_path / "texts"
+    folder.mkdir()
+    (folder / "a.txt").write_text("hello")
+    (folder / "b.txt").write_text("привет")
+    for name, body in (("map.json", '{"a.txt": "en", "gone.txt": "ru"}'), ("list.json", '[{"file": "a.txt", "language": "en"}, {"file": "gone.txt", "language": "ru"}]')):
+        (tmp_path / name).write_text(body)
+        found, missing = readers.labelled_collection(spark, str(tmp_path / name), str(folder))
+        assert [tuple(r) for r in found.collect()] == [("a.txt", "en", "hello")] and [r.file for r in missing.collect()] == ["gone.txt"]
+    corpora = readers.language_corpora(spark, {"en": str(folder / "a.txt"), "ru": str(folder / "b.txt")})
+    assert sorted((r.lang, r.text) for r in corpora.collect()) == [("en", "hello"), ("ru", "привет")]

@@ -3,6 +3,7 @@ import math
 import pytest
 
 from textloom.operators import index, metrics, search
+from textloom.sources import sinks
 
 DOCS = [
     (1, "Cats", "Cats chase mice. Mice fear cats.", "2024-01-01"),
@@ -70,6 +71,43 @@ def test_reindex(spark, docs):
     assert left.count() == 3 and kept.where("doc_id = 2").count() == 0
 
 
+def test_stored_index(spark, docs, tmp_path):
+    root = str(tmp_path / "index")
+    index.store(docs, root)
+    rows = lambda df: sorted((r.doc_id, r.term, r.tf, round(r.weight, 9)) for r in df.collect())
+    assert rows(index.stored_weights(spark, root)) == rows(index.weights(docs))
+    asked = spark.createDataFrame([(1, "cats dogs"), (2, "zebras")], "query_id int, query string")
+    stored = search.search(docs, index.stored_weights(spark, root), asked)
+    assert sorted(map(tuple, stored.collect())) == sorted(map(tuple, search.search(docs, index.weights(docs), asked).collect()))
+    changed = spark.createDataFrame([(2, "Dogs", "cows", "2024-02-01"), (9, "New", "zebras", "2024-05-01")], SCHEMA)
+    index.update(spark, root, changed, removed=spark.createDataFrame([(3,)], "doc_id long"))
+    after = docs.where("doc_id not in (2, 3)").unionByName(changed)
+    assert rows(index.stored_weights(spark, root)) == rows(index.weights(after))
+    assert len(sinks.versions(spark, root)) == 2 and sinks.read_version(spark, root, "documents").count() == 4
+    empty = str(tmp_path / "empty")
+    index.store(docs.limit(0), empty)
+    assert search.search(docs, index.stored_weights(spark, empty), asked).count() == 0
+
+
+def test_positions_are_those_of_the_ranking(spark, docs, monkeypatch):
+    many = spark.createDataFrame([(i, f"t{i % 3}", "cats " * (i % 4) + "dogs " * (i % 7) + f"word{i % 5}", None) for i in range(60)], SCHEMA)
+    asked = spark.createDataFrame([(1, "cats dogs"), (2, "word1"), (3, "zzqx")], "query_id int, query string")
+    weights = index.weights(many)
+    monkeypatch.setattr(search, "STEPS", 8)
+    every = {(r.query_id, r.doc_id): r.rank_pos for r in search.search(many, weights, asked, limit=None).collect()}
+    first = {(r.query_id, r.doc_id): r.rank_pos for r in search.search(many, weights, asked, limit=1000).collect()}
+    assert every == first and len(every) > 40
+    wanted = spark.createDataFrame([(q, d) for q in (1, 2, 3) for d in range(0, 60, 7)], "query_id int, doc_id long")
+    got = {(r.query_id, r.doc_id): r.rank_pos for r in search.positions(search.scores(many, weights, asked), wanted).collect()}
+    assert got == {k: v for k, v in every.items() if k[1] % 7 == 0}
+
+
+def test_suggestions_with_signs(spark, docs):
+    asked = spark.createDataFrame([("c_t",), ("%ird",)], "prefix string")
+    got = [(r.prefix, r.suggestion) for r in search.suggest(index.postings(docs).select("term").distinct(), docs, asked).collect()]
+    assert set(got) == {("c_t", "cat"), ("c_t", "Cats"), ("%ird", "bird"), ("%ird", "Birds")}
+
+
 def test_metrics(spark):
     queries = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "query_id int, query string")
     results = spark.createDataFrame([(1, 1, 10), (1, 2, 11), (1, 3, 12), (2, 1, 10)], "query_id int, rank_pos int, doc_id long")

@@ -124,6 +124,12 @@ def test_report_has_the_tags_of_the_tagger(spark, entries, monkeypatch):
     assert {x[1]: x[2] for x in lines}["processes"] == "verarbeitet" and got[2].endswith("Frequency dictionary:\n")
 
 
+def test_edit(spark, entries):
+    changes = spark.createDataFrame([(8, " leicht "), (99, "x")], "id long, german string")
+    got = {r.id: r.german for r in tr.edited(entries, changes).collect()}
+    assert got[8] == "leicht" and got[7] == "einfach" and 99 not in got and len(got) == len(ENTRIES)
+
+
 def test_seeding(spark):
     key = "english string, pos string, domain string, german string"
     have = spark.createDataFrame([("a", "*", "general", ""), ("b", "*", "general", "alt")], key)

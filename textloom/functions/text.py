@@ -13,6 +13,7 @@ from textloom.functions import words
 SPACE = r"[\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]"
 NOT_SPACE = SPACE.replace("[", "[^", 1)
 STEM_RX = "^(.{2,}?)(?:" + "|".join(words.STEM_SUFFIXES) + ")$"
+# The patterns of sentences, paragraphs, spans, chunks and words.
 SENTENCE_RX = r"[^.!?]+(?:[.!?]+|$)"
 PARAGRAPH_RX = r"[^\n]+(?:\n[^\n]+)*|\n+"
 SPAN_RX = r"[^.!?\n]+(?:[.!?]+|$)"
@@ -76,10 +77,21 @@ def char_windows(text: Column, width: int = 120, step: int = 60, least: int = 20
     return let(clean(text), cut)
 
 
-def summary_terms(text: Column, language: str) -> Column:
-    """Terms of the summariser: Latin words of two letters or more, lower case, without the language's stop words."""
-    stop = words.SUMMARY_STOPWORDS[language]
-    return F.filter(F.transform(_all(text, LATIN_RX), F.lower), lambda w: (F.length(w) > 1) & ~w.isin(stop))
+def summary_terms(text: Column, language: str | Column) -> Column:
+    """Terms of the summariser: Latin words of two letters or more, lower case, without the language's stop words. The language
+    can be a column; other languages than the known ones have no terms."""
+    if isinstance(language, str) and language not in words.SUMMARY_STOPWORDS:
+        raise ValueError(f"no stop words for {language}")
+    given = F.lit(language) if isinstance(language, str) else language
+    found = F.filter(F.transform(_all(text, LATIN_RX), F.lower), lambda w: F.length(w) > 1)
+    terms = F.lit(None).cast("array<string>")
+    for name in words.SUMMARY_STOPWORDS:
+        terms = F.when(given == name, F.filter(found, _outside(words.SUMMARY_STOPWORDS[name]))).otherwise(terms)
+    return terms
+
+
+def _outside(stop: list[str]) -> Callable[[Column], Column]:
+    return lambda w: ~w.isin(stop)
 
 
 def essay_words(text: Column) -> Column:
@@ -132,6 +144,11 @@ def title_of(path: Column) -> Column:
     return F.regexp_replace(name, r"(?<=.)\.[^.]*$", "")
 
 
+def title_of_text(text: Column, most: int = 80) -> Column:
+    """The first characters of a text, as a title where none is given."""
+    return F.left(strip(F.coalesce(text, F.lit(""))), F.lit(most))
+
+
 def bounded(value: Column, infinite: float = 1e9) -> Column:
     """NaN to 0, infinities to the largest value shown."""
     return F.when(F.isnan(value), 0.0).when(value == float("inf"), infinite).when(value == float("-inf"), -infinite).otherwise(value)

@@ -79,6 +79,7 @@ TAG_MEANINGS = {
     "WP$": "притяжательное вопросительное местоимение",
     "WRB": "вопросительное наречие",
 }
+# The meaning of other tags and of phrases.
 OTHER_TAG = "другая часть речи"
 PHRASE_MEANINGS = {"S": "предложение", "CLAUSE": "основа предложения", "NP": "именная группа", "VP": "глагольная группа", "PP": "предложная группа"}
 OTHER_PHRASE = "группа"

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from textloom.functions import words
 from textloom.functions.text import essay_paragraphs, essay_sentences, essay_words, has_marker, result_sentence
 
+# Fixed value: the notice shown with the indicators.
 NOTICE = "Indicators are based on simple rules; they do not grade literary quality."
 MOST_CHARS = 10_000
 

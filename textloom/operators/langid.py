@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import clean_tokens
+from textloom.session import checkpoint, small
 
 TOP_WORDS = 250
 SHORT_LETTERS, SHORT_COUNT = 5, 3
 LANGUAGES = ("ru", "en")
+#: Distinct words of all profiles up to which they are broadcast.
+BROADCAST_WORDS = 200_000
 
 
 def word_counts(training: DataFrame) -> DataFrame:
@@ -45,16 +50,21 @@ def short_profile(counts: DataFrame, letters: int = SHORT_LETTERS, least: int =
 def log_likelihoods(documents: DataFrame, profile: DataFrame, letters: int | None = None) -> DataFrame:
     """(doc_id, lang, score): the sum of ln p over the words, unknown ones with the profile's min_prob; -inf without words.
 
-    The profile has a bounded number of words and is broadcast; sums are combined per document before the one shuffle."""
-    words = documents.select("doc_id", F.explode(clean_tokens(F.col("text"))).alias("word"))
-    if letters is not None:
-        words = words.where(F.length("word") <= letters)
-    floors = F.broadcast(profile.groupBy("lang").agg(F.log(F.max("min_prob")).alias("floor")))
-    known = F.broadcast(profile.groupBy("word").agg(F.map_from_entries(F.collect_list(F.struct("lang", F.log("prob")))).alias("logs")))
-    each = words.join(known, "word", "left").join(floors)
-    sums = each.groupBy("doc_id", "lang").agg(F.sum(F.coalesce(F.try_element_at("logs", F.col("lang")), F.col("floor"))).alias("s"))
-    every = documents.select("doc_id").join(floors.select("lang"))
-    return every.join(sums, ["doc_id", "lang"], "left").select("doc_id", "lang", F.coalesce("s", F.lit(float("-inf"))).alias("score"))
+    Words a language does not know all add the same, so they are only counted; what the known ones add beyond that is
+    joined, and combined per document before the one shuffle. The profile is broadcast if its size allows that. There is one
+    floor a language."""
+    profile = checkpoint(profile)
+    floors = profile.groupBy("lang").agg(F.log(F.max("min_prob")).alias("floor")).collect()  # one row a language
+    fits = lambda w: F.length(w) <= letters if letters is not None else F.lit(True)
+    sizes = documents.select("doc_id", F.size(F.filter(clean_tokens(F.col("text")), fits)).alias("n"))
+    each = F.array(*[F.struct(F.lit(r["lang"]).alias("lang"), F.lit(r["floor"]).alias("floor")) for r in floors]).cast("array<struct<lang:string,floor:double>>")
+    every = sizes.select("doc_id", F.greatest(F.coalesce("n", F.lit(0)), F.lit(0)).alias("n"), F.inline(each))
+    low = F.coalesce(*[F.when(F.col("lang") == r["lang"], F.lit(r["floor"])) for r in floors], F.lit(0.0))
+    known = profile.groupBy("word").agg(F.collect_list(F.struct("lang", (F.log("prob") - low).alias("more"))).alias("logs"))
+    words = documents.select("doc_id", F.explode(clean_tokens(F.col("text"))).alias("word")).where(fits(F.col("word")))
+    more = words.join(small(known, BROADCAST_WORDS), "word").select("doc_id", F.inline("logs")).groupBy("doc_id", "lang").agg(F.sum("more").alias("more"))
+    score = F.when(F.col("n") > 0, F.col("n") * F.col("floor") + F.coalesce("more", F.lit(0.0))).otherwise(F.lit(float("-inf")))
+    return every.join(more, ["doc_id", "lang"], "left").select("doc_id", "lang", score.alias("score"))
 
 
 def predicted(scores: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> DataFrame:
@@ -64,6 +74,15 @@ def predicted(scores: DataFrame, languages: tuple[str, ...] = LANGUAGES) -> Data
     return scores.groupBy("doc_id").agg(best.alias("predicted"))
 
 
+def timed(predictions: DataFrame, method: str) -> tuple[DataFrame, DataFrame]:
+    """(the predictions with `method`, written out; (method, documents, mean_ms)): the wall-clock time of the whole table by document."""
+    began = time.perf_counter()
+    done = checkpoint(predictions.withColumn("method", F.lit(method)))
+    n = done.count()
+    mean = (time.perf_counter() - began) * 1000 / n if n else None
+    return done, predictions.sparkSession.createDataFrame([(method, n, mean)], "method string, documents long, mean_ms double")
+
+
 def accuracy(predictions: DataFrame, truth: DataFrame) -> DataFrame:
     """(method, correct, total, accuracy) over the documents with a label; accuracy in per cent, null without any."""
     labelled = truth.where(F.coalesce("true_language", F.lit("")) != "")

@@ -6,7 +6,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.feature import IDF, CountVectorizer, Normalizer, StringIndexer
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.functions.text import char_windows, clean, let
@@ -39,6 +39,18 @@ def train(texts: DataFrame, features: int = FEATURES, hidden: int = HIDDEN, iter
     return PipelineModel([*prepare.stages[1:], net]), list(labels)
 
 
+def save(model: PipelineModel, labels: list[str], path: str) -> None:
+    """Writes the model and its languages below one folder, in place of what is there."""
+    model.write().overwrite().save(f"{path}/model")
+    spark = SparkSession.active()
+    spark.createDataFrame(list(enumerate(labels)), "place int, lang string").coalesce(1).write.mode("overwrite").json(f"{path}/labels")
+
+
+def load(spark: SparkSession, path: str) -> tuple[PipelineModel, list[str]]:
+    rows = spark.read.schema("place int, lang string").json(f"{path}/labels").orderBy("place").collect()  # one row a language
+    return PipelineModel.load(f"{path}/model"), [r["lang"] for r in rows]
+
+
 def predict(documents: DataFrame, model: PipelineModel, labels: list[str]) -> DataFrame:
     """(doc_id, predicted, probability): the most probable language; texts without letters get probability 0 and the first language."""
     scored = model.transform(_grams(documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))))

@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 
 
 def judged(results: DataFrame, judgements: DataFrame) -> DataFrame:
-    """Results (query_id, rank_pos, doc_id) with rel = 1 for the relevant ones."""
-    marks = judgements.select("query_id", "doc_id").distinct().withColumn("hit", F.lit(1))
-    return results.join(marks, ["query_id", "doc_id"], "left").select("query_id", "rank_pos", "doc_id", F.coalesce("hit", F.lit(0)).alias("rel"))
+    """The relevant ones of results (query_id, rank_pos, doc_id), with hits: how many relevant ones stand up to there."""
+    marks = judgements.select("query_id", "doc_id").distinct()
+    order = W.partitionBy("query_id").orderBy("rank_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return results.join(marks, ["query_id", "doc_id"]).select("query_id", "rank_pos", "doc_id").withColumn("hits", F.count("*").over(order))
 
 
-def _with_counts(queries: DataFrame, results: DataFrame, judgements: DataFrame) -> DataFrame:
+def _with_counts(queries: DataFrame, judgements: DataFrame) -> DataFrame:
     relevant = judgements.select("query_id", "doc_id").distinct().groupBy("query_id").agg(F.count("*").alias("n_rel"))
     return queries.select("query_id").distinct().join(relevant, "query_id", "left").fillna(0, ["n_rel"])
 
@@ -24,20 +25,22 @@ def f_measure(precision: Column, recall: Column, beta: float = 1.0) -> Column:
     return F.when(precision.isNull() | recall.isNull() | (precision + recall == 0), 0.0).otherwise((1 + b2) * precision * recall / F.nullif(b2 * precision + recall, F.lit(0.0)))
 
 
-def rank_metrics(queries: DataFrame, results: DataFrame, judgements: DataFrame, at: tuple[int, ...] = (5, 10)) -> DataFrame:
+def rank_metrics(queries: DataFrame, results: DataFrame, judgements: DataFrame, at: tuple[int, ...] = (5, 10), found: DataFrame | None = None) -> DataFrame:
     """Per query: precision (null if nothing was found), recall, R-precision and average precision (null if nothing is
-    relevant), F1 (0 where undefined), and precision at each n (hits in the first n, over n)."""
-    rel = judged(results, judgements)
-    counts = _with_counts(queries, results, judgements)
-    order = W.partitionBy("query_id").orderBy("rank_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    placed = rel.withColumn("hits", F.sum("rel").over(order)).join(counts, "query_id")
+    relevant), F1 (0 where undefined), and precision at each n (hits in the first n, over n).
+
+    Only relevant results are ordered; of the others their number counts. `found` (query_id, found) gives that where `results` has
+    the relevant ones only."""
+    counts = _with_counts(queries, judgements)
+    found = results.groupBy("query_id").agg(F.count("*").alias("found")) if found is None else found
+    placed = judged(results, judgements).join(counts, "query_id")
+    inside = lambda most: F.sum((F.col("rank_pos") <= most).cast("int"))
     sums = placed.groupBy("query_id").agg(
-        F.count("*").alias("found"),
-        F.sum("rel").alias("good"),
-        F.sum(F.when((F.col("rel") == 1), F.col("hits") / F.col("rank_pos"))).alias("ap"),
-        F.sum(F.when(F.col("rank_pos") <= F.col("n_rel"), F.col("rel"))).alias("in_r"),
-        *[F.sum(F.when(F.col("rank_pos") <= n, F.col("rel"))).alias(f"in_{n}") for n in at],
-    )
+        F.count("*").alias("good"),
+        F.sum(F.col("hits") / F.col("rank_pos")).alias("ap"),
+        inside(F.col("n_rel")).alias("in_r"),
+        *[inside(F.lit(n)).alias(f"in_{n}") for n in at],
+    ).join(found, "query_id", "right")
     all_of = counts.join(sums, "query_id", "left")
     precision = F.coalesce("good", F.lit(0)) / F.nullif("found", F.lit(0))
     recall = F.coalesce("good", F.lit(0)) / F.nullif("n_rel", F.lit(0))
@@ -53,13 +56,10 @@ def rank_metrics(queries: DataFrame, results: DataFrame, judgements: DataFrame,
 
 
 def curve(queries: DataFrame, results: DataFrame, judgements: DataFrame) -> DataFrame:
-    """(query_id, level, precision): interpolated precision at the recall levels 0..10 tenths; 0 without relevant documents."""
-    rel = judged(results, judgements)
-    counts = _with_counts(queries, results, judgements)
-    order = W.partitionBy("query_id").orderBy("rank_pos").rowsBetween(W.unboundedPreceding, W.currentRow)
-    points = rel.withColumn("hits", F.sum("rel").over(order)).join(counts, "query_id").where("n_rel > 0").select(
-        "query_id", (F.col("hits") / F.col("n_rel")).alias("r"), (F.col("hits") / F.col("rank_pos")).alias("p")
-    )
+    """(query_id, level, precision): interpolated precision at the recall levels 0..10 tenths; 0 without relevant documents.
+    It is highest at relevant results, so the others are not needed."""
+    counts = _with_counts(queries, judgements)
+    points = judged(results, judgements).join(counts, "query_id").where("n_rel > 0").select("query_id", (F.col("hits") / F.col("n_rel")).alias("r"), (F.col("hits") / F.col("rank_pos")).alias("p"))
     levels = F.array(*[F.max(F.when(F.col("r") >= i / 10.0, F.col("p"))) for i in range(11)])
     best = points.groupBy("query_id").agg(levels.alias("best"))
     return counts.join(best, "query_id", "left").select("query_id", F.explode(F.sequence(F.lit(0), F.lit(10))).alias("level"), "best").select(

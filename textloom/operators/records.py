@@ -30,6 +30,20 @@ def delete(stored: DataFrame, keys: DataFrame) -> DataFrame:
     return stored.join(keys, keys.columns, "left_anti")
 
 
+def replaced_summaries(stored: DataFrame, children: DataFrame, new: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(summaries, keyword rows) after summaries `new` took the place of those of the same document and method. A summary's keyword
+    rows go with it; those of the new ones come from their lists."""
+    keys = ["document_id", "method"]
+    fresh = latest(new, keys, [F.col("created_at"), F.col("id")])
+    gone = stored.join(fresh.select(*keys), keys, "left_semi").select(F.col("id").alias("summary_id"))
+    return upsert(stored, fresh, keys), children.join(gone.distinct(), "summary_id", "left_anti").unionByName(keyword_rows(fresh))
+
+
+def by_id(rows: DataFrame, key: str, value: int) -> DataFrame:
+    """The row or rows of one id; the comparison reaches the scan."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
 def keyword_rows(summaries: DataFrame) -> DataFrame:
     """(summary_id, position, term, weight) from the JSON list `keywords`, positions from 1; null lists have no rows."""
     parsed = F.from_json("keywords", "array<struct<term:string,weight:double>>")

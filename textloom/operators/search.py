@@ -7,12 +7,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import escape_html, let, search_tokens, stem
+from textloom.operators.index import bucket_of
 from textloom.session import small
 
 #: Rows of the query table up to which it is broadcast.
 BROADCAST_ROWS = 100_000
-#: Prefixes that are completed in one call: patterns have no join key, so every term is held against each.
-MOST_PREFIXES = 1_000
+#: Steps of equal width in which ranks are counted.
+STEPS = 1 << 14
 #: Digits by which ranks are compared, so that equal sums added in another order stay ties.
 DIGITS = 9
 
@@ -23,14 +24,16 @@ def query_terms(queries: DataFrame) -> DataFrame:
     return terms.select("query_id", F.size("terms").alias("n_terms"), F.explode("terms").alias("term"))
 
 
-def search(documents: DataFrame, weighted: DataFrame, queries: DataFrame, limit: int | None = 50, all_words: bool = False, since: str = "", until: str = "") -> DataFrame:
-    """(query_id, rank_pos, doc_id, rank, matched_terms), ranked by the cosine of document and query.
-
-    Queries are binary vectors over the vocabulary. With all_words a document must hold every distinct term of the
-    query, those outside the vocabulary included, so such a query finds nothing. `since` and `until` bound the date, which is
-    compared as a string; an empty bound is open. Ties go to the lower doc_id. Queries without terms find nothing."""
-    asked = small(query_terms(queries), BROADCAST_ROWS)
-    hits = weighted.join(asked, "term")
+def scores(documents: DataFrame, weighted: DataFrame, queries: DataFrame, all_words: bool = False, since: str = "", until: str = "") -> DataFrame:
+    """(query_id, doc_id, rank, matched) of every hit, not ordered; see `search`. Weights with a bucket of the term (a stored index)
+    are read in the buckets of the queries' terms only."""
+    asked = query_terms(queries)
+    keys = ["term"]
+    if "bucket" in weighted.columns:
+        asked = asked.withColumn("bucket", bucket_of(F.col("term"), F.lit(weighted.select("buckets").first()[0] if weighted.take(1) else 1)))
+        keys = ["bucket", "term"]
+    asked = small(asked, BROADCAST_ROWS)
+    hits = weighted.select("doc_id", "term", "weight", *keys[:-1]).join(asked, keys)
     found = hits.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("dot"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched")).where("n_terms > 0")
     # Which terms of a query some document has: sets of matched terms, as many as a query has subsets. All columns are read, so both readers share one shuffle.
     sets = found.groupBy("query_id").agg(F.collect_set("matched").alias("sets"), F.max("dot").alias("d"), F.max("n_terms").alias("t")).where("d is not null and t > 0")
@@ -43,25 +46,71 @@ def search(documents: DataFrame, weighted: DataFrame, queries: DataFrame, limit:
     if until:
         dates = dates.where(F.col("doc_date") <= until)
     found = found.join(dates, "doc_id", "left_semi") if since or until else found
-    ranked = found.join(vocabulary, "query_id").withColumn("rank", F.round(F.col("dot") / F.sqrt("known"), DIGITS)).where("rank > 0")
-    order = W.partitionBy("query_id").orderBy(F.desc("rank"), "doc_id")
-    placed = ranked.withColumn("rank_pos", F.row_number().over(order))
+    return found.join(vocabulary, "query_id").withColumn("rank", F.round(F.col("dot") / F.sqrt("known"), DIGITS)).where("rank > 0").select("query_id", "doc_id", "rank", "matched")
+
+
+def _step(rank: Column) -> Column:
+    """Steps of the rank, the best first; ranks are cosines."""
+    return F.floor((1 - rank) * STEPS).cast("int")
+
+
+def _before(found: DataFrame) -> DataFrame:
+    """(query_id, step, before): how many hits stand in better steps; at most STEPS rows a query, counted on the map side."""
+    counts = found.groupBy("query_id", _step(F.col("rank")).alias("step")).agg(F.count("*").alias("n"))
+    upto = W.partitionBy("query_id").orderBy("step").rowsBetween(W.unboundedPreceding, W.currentRow)
+    return counts.select("query_id", "step", (F.sum("n").over(upto) - F.col("n")).alias("before"))
+
+
+def search(documents: DataFrame, weighted: DataFrame, queries: DataFrame, limit: int | None = 50, all_words: bool = False, since: str = "", until: str = "") -> DataFrame:
+    """(query_id, rank_pos, doc_id, rank, matched_terms), ranked by the cosine of document and query.
+
+    Queries are binary vectors over the vocabulary. With all_words a document must hold every distinct term of the
+    query, those outside the vocabulary included, so such a query finds nothing. `since` and `until` bound the date, which is
+    compared as a string; an empty bound is open. Ties go to the lower doc_id. Queries without terms find nothing.
+
+    With a limit the rank is cut before the shuffle; without one a task ranks one step of a query's ranks, and the numbers of
+    hits in better steps are added."""
+    found = scores(documents, weighted, queries, all_words, since, until)
+    best = [F.desc("rank"), F.col("doc_id")]
     if limit is not None:
-        placed = placed.where(F.col("rank_pos") <= limit)
+        placed = found.withColumn("rank_pos", F.row_number().over(W.partitionBy("query_id").orderBy(*best))).where(F.col("rank_pos") <= limit)
+    else:
+        inside = F.row_number().over(W.partitionBy("query_id", "step").orderBy(*best))
+        placed = found.withColumn("step", _step(F.col("rank"))).withColumn("i", inside).join(_before(found), ["query_id", "step"]).withColumn("rank_pos", (F.col("i") + F.col("before")).cast("int"))
     return placed.select("query_id", "rank_pos", "doc_id", "rank", F.concat_ws(",", "matched").alias("matched_terms"))
 
 
+def positions(found: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(query_id, rank_pos, doc_id) of the wanted (query_id, doc_id) among the hits of `scores`, without ranking the others: those in
+    better steps are counted by step, and only the hits of a wanted one's own step are compared with it."""
+    hits = found.select("query_id", "doc_id", "rank", _step(F.col("rank")).alias("step"))
+    mine = hits.join(wanted.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"]).toDF("query_id", "mine", "mine_rank", "step")
+    better = (F.col("rank") > F.col("mine_rank")) | ((F.col("rank") == F.col("mine_rank")) & (F.col("doc_id") < F.col("mine")))
+    ahead = hits.join(mine, ["query_id", "step"]).groupBy("query_id", "step", "mine").agg(F.sum(better.cast("long")).alias("ahead"))
+    return ahead.join(_before(found), ["query_id", "step"]).select("query_id", (F.col("before") + F.col("ahead") + 1).cast("int").alias("rank_pos"), F.col("mine").alias("doc_id"))
+
+
 def suggest(vocabulary: DataFrame, documents: DataFrame, prefixes: DataFrame, limit: int = 8, least: int = 2) -> DataFrame:
     """(prefix, place, suggestion): terms that begin with the prefix, then titles that hold it, each in order, at most
-    `limit` of each and of both together, equal ones (whatever their case) once. LIKE's signs in a prefix keep their meaning."""
-    asked = prefixes.where(F.length("prefix") >= least)
-    if asked.limit(MOST_PREFIXES + 1).count() > MOST_PREFIXES:
-        raise ValueError(f"more than {MOST_PREFIXES} prefixes at once")
-    asked = F.broadcast(asked)
-    terms = vocabulary.join(asked, F.expr("term ilike prefix || '%'")).select("prefix", F.lit(0).alias("kind"), F.col("term").alias("suggestion"))
-    titles = documents.where("title is not null").select("title").join(asked, F.expr("title ilike '%' || prefix || '%'")).select("prefix", F.lit(1).alias("kind"), F.col("title").alias("suggestion"))
+    `limit` of each and of both together, equal ones (whatever their case) once. LIKE's signs in a prefix keep their meaning.
+
+    Terms and prefixes are joined on the first `least` letters, titles and prefixes on that many successive letters anywhere;
+    prefixes with LIKE's signs have no such key and are held against everything, if there are few enough to send around."""
+    asked = prefixes.where(F.length("prefix") >= least).distinct()
+    signs = F.col("prefix").rlike(r"[%_\\\\]")
+    plain = asked.where(~signs).withColumn("key", F.lower(F.left("prefix", F.lit(least))))
+    low = F.lower("suggestion")
+    named = vocabulary.select(F.col("term").alias("suggestion")).distinct()
+    titles = documents.where("title is not null").select(F.col("title").alias("suggestion")).distinct()
+    keys = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("suggestion") - (least - 1)), lambda i: F.substring(low, i, F.lit(least))))
+    terms = named.withColumn("key", F.left(low, F.lit(least))).join(plain, "key").where(F.startswith(low, F.lower("prefix")))
+    inside = titles.where(F.length("suggestion") >= least).withColumn("key", F.explode(keys)).join(plain, "key").where(F.contains(low, F.lower("prefix")))
+    pattern = small(asked.where(signs), BROADCAST_ROWS)
+    terms = terms.select("prefix", "suggestion").unionByName(named.join(pattern, F.expr("suggestion ilike prefix || '%'")).select("prefix", "suggestion"))
+    inside = inside.select("prefix", "suggestion").unionByName(titles.join(pattern, F.expr("suggestion ilike '%' || prefix || '%'")).select("prefix", "suggestion"))
     each = W.partitionBy("prefix", "kind").orderBy("suggestion")
-    few = terms.distinct().unionByName(titles.distinct()).withColumn("i", F.row_number().over(each)).where(F.col("i") <= limit)
+    both = terms.withColumn("kind", F.lit(0)).unionByName(inside.withColumn("kind", F.lit(1)))
+    few = both.withColumn("i", F.row_number().over(each)).where(F.col("i") <= limit)
     once = few.withColumn("again", F.row_number().over(W.partitionBy("prefix", F.lower("suggestion")).orderBy("kind", "i"))).where("again = 1")
     return once.withColumn("place", F.row_number().over(W.partitionBy("prefix").orderBy("kind", "i"))).where(F.col("place") <= limit).select("prefix", "place", "suggestion")
 

@@ -2,62 +2,79 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from textloom.functions.text import NOT_SPACE, PARAGRAPH_RX, SENTENCE_RX, SPACE, strip, summary_terms
+from textloom.session import checkpoint
 
 SENTENCES, KEYWORDS = 10, 12
 
 
-def _starts(pieces: Column) -> Column:
-    """Pieces (text, start) of texts that tile a text: a running sum of their lengths."""
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int>>").alias("out"))
-    step = lambda acc, p: F.struct((acc["at"] + F.length(p)).alias("at"), F.concat(acc["out"], F.array(F.struct(p.alias("text"), acc["at"].alias("start")))).alias("out"))
-    return F.aggregate(pieces, zero, step, lambda acc: acc["out"])
-
-
 def sentences(documents: DataFrame) -> DataFrame:
-    """(doc_id, index, text, document_offset, paragraph_offset, paragraph_length) of every sentence of `text`.
+    """(doc_id, index, text, document_offset, paragraph_offset, paragraph_length) of every sentence of `text`; further columns are kept.
 
-    Paragraphs are runs of lines that are not empty, sentences run up to their marks; numbered from 0."""
+    Paragraphs are runs of lines that are not empty, sentences run up to their marks; numbered from 0. Pieces tile the text, so
+    their places are running sums of lengths over one partitioning by document, which all that follows shares."""
     every = lambda c, rx: F.regexp_extract_all(c, F.lit(rx), F.lit(0))
-    paragraphs = documents.where("text is not null").select("doc_id", F.explode(_starts(every("text", PARAGRAPH_RX))).alias("p")).where(~F.col("p.text").startswith("\n"))
-    raw = paragraphs.select("doc_id", F.col("p.start").alias("p0"), F.length("p.text").alias("paragraph_length"), F.length(F.regexp_extract("p.text", "^[.!?]+", 0)).alias("lead"), F.explode(_starts(every(F.col("p.text"), SENTENCE_RX))).alias("s"))
-    offset = F.col("lead") + F.col("s.start") + F.length(F.regexp_extract("s.text", f"^{SPACE}*", 0))
-    placed = raw.where(F.col("s.text").rlike(NOT_SPACE)).select("doc_id", strip(F.col("s.text")).alias("text"), (F.col("p0") + offset).alias("document_offset"), offset.alias("paragraph_offset"), "paragraph_length")
-    order = W.partitionBy("doc_id").orderBy("document_offset")
-    return placed.withColumn("index", F.row_number().over(order) - 1)
-
-
-def term_weights(documents: DataFrame, language: str) -> DataFrame:
-    """(doc_id, term, weight) with weight = 0.5 (1 + tf / max tf) ln(N / df) over the documents as the corpus."""
-    terms = documents.select("doc_id", F.explode(summary_terms(F.col("text"), language)).alias("term"))
-    tf = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    n = documents.agg(F.count("*").alias("n"))
-    most = F.max("tf").over(W.partitionBy("doc_id"))
-    return tf.withColumn("most", most).join(df, "term").join(F.broadcast(n)).select("doc_id", "term", (0.5 * (1 + F.col("tf") / F.col("most")) * F.log(F.col("n") / F.col("df"))).alias("weight"))
-
-
-def sentence_scores(documents: DataFrame, language: str) -> DataFrame:
-    """(doc_id, index, text, score): the weights of a sentence's terms, less the later it stands in document and paragraph."""
-    parts = sentences(documents)
-    terms = parts.select("doc_id", "index", F.explode(summary_terms(F.col("text"), language)).alias("term")).groupBy("doc_id", "index", "term").agg(F.count("*").alias("c"))
-    sums = terms.join(term_weights(documents, language), ["doc_id", "term"]).groupBy("doc_id", "index").agg(F.sum(F.col("c") * F.col("weight")).alias("s"))
-    lengths = documents.select("doc_id", F.greatest(F.length("text"), F.lit(1)).alias("n"))
+    more = [c for c in documents.columns if c not in ("doc_id", "text")]
+    upto = lambda *by: W.partitionBy("doc_id", *by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, W.currentRow)
+    pieces = documents.where("text is not null").select("doc_id", *more, F.posexplode(every("text", PARAGRAPH_RX)).alias("p", "par")).repartition("doc_id")
+    size = F.length("par")
+    paragraphs = pieces.withColumn("p0", F.sum(size).over(upto("p")) - size).where(~F.col("par").startswith("\n"))
+    lead = F.length(F.regexp_extract("par", "^[.!?]+", 0))
+    raw = paragraphs.select("doc_id", *more, "p", "p0", size.alias("paragraph_length"), lead.alias("lead"), F.posexplode(every("par", SENTENCE_RX)).alias("s", "raw"))
+    start = F.sum(F.length("raw")).over(upto("p", "s")) - F.length("raw")
+    offset = (F.col("lead") + start + F.length(F.regexp_extract("raw", f"^{SPACE}*", 0))).cast("int")
+    placed = raw.withColumn("offset", offset).where(F.col("raw").rlike(NOT_SPACE))
+    index = (F.row_number().over(W.partitionBy("doc_id").orderBy("p", "s")) - 1).alias("index")
+    return placed.select("doc_id", *more, index, strip(F.col("raw")).alias("text"), (F.col("p0") + F.col("offset")).cast("int").alias("document_offset"), F.col("offset").alias("paragraph_offset"), "paragraph_length")
+
+
+def _language(documents: DataFrame, language: str | None) -> DataFrame:
+    """The documents with their language in `lang`: the one given, or their own."""
+    return documents.select("doc_id", "text", F.lit(language).alias("lang") if language else F.col("lang"))
+
+
+def _weighed(tf: DataFrame, documents: DataFrame) -> DataFrame:
+    """Adds weight = 0.5 (1 + tf / max tf) ln(N / df) to (doc_id, lang, term, tf); the documents of each language are a corpus."""
+    most = tf.withColumn("most", F.max("tf").over(W.partitionBy("doc_id")))
+    df = tf.groupBy("lang", "term").agg(F.count("*").alias("df"))
+    n = F.broadcast(documents.groupBy("lang").agg(F.count("*").alias("n")))  # one row a language
+    weight = 0.5 * (1 + F.col("tf") / F.col("most")) * F.log(F.col("n") / F.col("df"))
+    return most.join(df, ["lang", "term"]).join(n, "lang").withColumn("weight", weight)
+
+
+def term_weights(documents: DataFrame, language: str | None) -> DataFrame:
+    """(doc_id, term, weight) with weight = 0.5 (1 + tf / max tf) ln(N / df) over the documents of a language as the corpus."""
+    docs = _language(documents, language)
+    terms = docs.select("doc_id", "lang", F.explode(summary_terms(F.col("text"), F.col("lang"))).alias("term")).repartition("doc_id")
+    return _weighed(terms.groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf")), docs).select("doc_id", "term", "weight")
+
+
+def sentence_scores(documents: DataFrame, language: str | None = None) -> DataFrame:
+    """(doc_id, index, text, score, lang): the weights of a sentence's terms, less the later it stands in document and paragraph.
+
+    Without a language every document counts by its own column `lang`, all languages in one pass. Sentences tile the text and
+    terms lie within them, so the terms of the text are those of its sentences: they are cut once."""
+    docs = _language(documents, language)
+    parts = sentences(docs.withColumn("n", F.greatest(F.length("text"), F.lit(1)))).withColumn("terms", summary_terms(F.col("text"), F.col("lang")))
+    tf = parts.select("doc_id", "lang", "index", F.explode("terms").alias("term")).groupBy("doc_id", "lang", "term").agg(F.count("*").alias("tf"), F.collect_list("index").alias("at"))
+    sums = _weighed(tf, docs).select("doc_id", F.explode("at").alias("index"), "weight").groupBy("doc_id", "index").agg(F.sum("weight").alias("s"))
     place = (1 - F.col("document_offset") / F.col("n")) * (1 - F.col("paragraph_offset") / F.greatest("paragraph_length", F.lit(1)))
-    return parts.join(sums, ["doc_id", "index"], "left").join(lengths, "doc_id").select("doc_id", "index", "text", (F.coalesce("s", F.lit(0.0)) * place).alias("score"))
+    return parts.join(sums, ["doc_id", "index"], "left").select("doc_id", "index", "text", (F.coalesce("s", F.lit(0.0)) * place).alias("score"), "lang")
 
 
 def select_sentences(scores: DataFrame, count: int = SENTENCES) -> DataFrame:
-    """(doc_id, position, index, text, score): the best sentences in the order of the source, scores rounded to 4 places."""
+    """(doc_id, position, index, text, score): the best sentences in the order of the source, scores rounded to 4 places; `lang` is kept."""
     best = W.partitionBy("doc_id").orderBy(F.round("score", 9).desc(), "index")
     kept = scores.withColumn("r", F.row_number().over(best)).where(F.col("r") <= count)
     place = F.row_number().over(W.partitionBy("doc_id").orderBy("index"))
-    return kept.withColumn("position", place).select("doc_id", "position", "index", "text", F.round("score", 4).alias("score"))
+    return kept.withColumn("position", place).select("doc_id", "position", "index", "text", F.round("score", 4).alias("score"), *[c for c in ("lang",) if c in scores.columns])
 
 
 def keywords(weights: DataFrame, count: int = KEYWORDS) -> DataFrame:
@@ -83,18 +100,23 @@ def summarize(documents: DataFrame, language: str, method: str = "sentence", cou
     return select_sentences(scores, max(1, min(20, count))), keywords(term_weights(documents, language), n_keywords)
 
 
-def lsa_scores(documents: DataFrame, language: str, topics: int = 3) -> DataFrame:
-    """(doc_id, index, text, score): the cosine of each sentence with the centroid of all in the space of the first topics.
+def lsa_scores(documents: DataFrame, language: str | None = None, topics: int = 3) -> DataFrame:
+    """(doc_id, index, text, score, lang): the cosine of each sentence with the centroid of all in the space of the first topics.
 
-    Fewer than 3 sentences all score 1, sentences without terms 0. A document is one group: its matrix is as large as its text."""
-    parts = sentences(documents).withColumn("terms", summary_terms(F.col("text"), language))
+    Fewer than 3 sentences all score 1, sentences without terms 0. A document is one group: its matrix is as large as its text;
+    many documents go through each Arrow batch."""
+    import pyarrow as pa
 
-    def run(frame):
-        frame = frame.sort_values("index")
-        frame["score"] = latent_scores([list(t) for t in frame["terms"]], topics)
-        return frame[["doc_id", "index", "text", "score"]]
+    parts = sentences(_language(documents, language)).withColumn("terms", summary_terms(F.col("text"), F.col("lang")))
+    whole = parts.groupBy("doc_id", "lang").agg(F.array_sort(F.collect_list(F.struct("index", "text", "terms"))).alias("s"))
 
-    return parts.select("doc_id", "index", "text", "terms").groupBy("doc_id").applyInPandas(run, "doc_id long, index int, text string, score double")
+    def run(batches):
+        for batch in batches:
+            scores = [latent_scores([x["terms"] or [] for x in s], topics).tolist() for s in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(scores, pa.list_(pa.float64()))], names=["doc_id", "s", "lang", "scores"])
+
+    made = whole.select("doc_id", "s", "lang").mapInArrow(run, f"doc_id long, s {whole.schema['s'].dataType.simpleString()}, lang string, scores array<double>")
+    return made.select("doc_id", "lang", F.explode(F.arrays_zip("s", "scores")).alias("z")).select("doc_id", "z.s.index", "z.s.text", F.col("z.scores").alias("score"), "lang")
 
 
 def latent_scores(sentences: list[list[str]], topics: int = 3) -> np.ndarray:
@@ -125,3 +147,15 @@ def evaluate(selected: DataFrame, reference: DataFrame, taken: int = 10, expecte
     """(doc_id, overlap, precision, recall) of selected (doc_id, index) against reference (doc_id, index), from 1; both over fixed sizes."""
     hits = selected.select("doc_id", (F.col("index") + 1).alias("index")).join(reference, ["doc_id", "index"], "left_semi").groupBy("doc_id").agg(F.count("*").alias("overlap"))
     return reference.select("doc_id").distinct().join(hits, "doc_id", "left").fillna(0).select("doc_id", "overlap", F.bround(F.col("overlap") / taken, 2).alias("precision"), F.bround(F.col("overlap") / expected, 2).alias("recall"))
+
+
+def evaluate_timed(documents: DataFrame, language: str, method: str, reference: DataFrame, repetitions: int = 3) -> DataFrame:
+    """`evaluate` of a method with mean_ms: the wall-clock time of summarising the whole collection, by document and repetition."""
+    times = []
+    for _ in range(max(1, repetitions)):
+        began = time.perf_counter()
+        picked = checkpoint(summarize(documents, language, method)[0])
+        times.append(time.perf_counter() - began)
+    n = documents.count()
+    mean = sum(times) / len(times) * 1000 / n if n else None
+    return evaluate(picked, reference).withColumn("mean_ms", F.lit(mean).cast("double"))

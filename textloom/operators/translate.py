@@ -270,6 +270,12 @@ def new_entries(seen: DataFrame, entries: DataFrame, dictionary: DataFrame, doma
     return lookup(missing, dictionary).select(F.col("word").alias("english"), F.col("tag").alias("pos"), "german", F.lit(domain).alias("domain"))
 
 
+def edited(entries: DataFrame, changes: DataFrame) -> DataFrame:
+    """The entries with the German of changes (id, german), without white space at its ends; other ids are left out, of equal ones the greatest counts."""
+    new = changes.groupBy("id").agg(F.max(strip(F.coalesce("german", F.lit("")))).alias("new"))
+    return entries.join(new, "id", "left").withColumn("german", F.coalesce("new", "german")).select(*entries.columns)
+
+
 def seeded(entries: DataFrame, seeds: DataFrame) -> DataFrame:
     """(english, pos, domain, german) after seeding: missing entries added, empty translations filled, others kept."""
     key = ["english", "pos", "domain"]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from textloom.functions import text as fx
 from textloom.operators import essay, index, langid, langid_ml, metrics, records, search, summarize, translate
 from textloom.plans import oracle
-from textloom.session import table
+from textloom.session import checkpoint, scratch, table
 from textloom.sources import sinks
 from textloom.streaming import commands
 
@@ -47,8 +47,28 @@ def _judgements(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "labels").join(F.broadcast(subjects), "subject").select("query_id", "doc_id").distinct()
 
 
+_indexes: dict[tuple[str, str, str], str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> str:
+    """The stored index of the documents: built once in an application, and again if their file has changed."""
+    docs = _docs(spark, d)
+    key = (spark.sparkContext.applicationId, d, _state(spark, f"{d}/documents.parquet"))
+    if key not in _indexes:
+        root = f"{scratch(spark)}/index-{len(_indexes)}"
+        index.store(docs.select("doc_id", "title", "text", "doc_date"), root)
+        _indexes[key] = root
+    return _indexes[key]
+
+
+def _state(spark: SparkSession, path: str) -> str:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    status = folder.getFileSystem(spark._jsc.hadoopConfiguration()).getContentSummary(folder), folder.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(folder)
+    return f"{status[0].getLength()} {status[1].getModificationTime()}"
+
+
 def _weights(spark: SparkSession, d: str) -> DataFrame:
-    return index.weights(_docs(spark, d))
+    return index.stored_weights(spark, _index(spark, d))
 
 
 def _training(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +125,7 @@ def doc_frequency_idf(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tfidf_weights(spark: SparkSession, d: str) -> DataFrame:
-    return _weights(spark, d).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
+    return index.weights(_docs(spark, d)).select("doc_id", "term", "tf", F.round("weight", 6).alias("weight"))
 
 
 def _ranked(df: DataFrame) -> DataFrame:
@@ -129,9 +149,8 @@ def top_terms_per_doc(spark: SparkSession, d: str) -> DataFrame:
 
 
 def suggest(spark: SparkSession, d: str) -> DataFrame:
-    docs = _docs(spark, d)
     prefixes = spark.createDataFrame([(p,) for p in PREFIXES], "prefix string")
-    return search.suggest(index.postings(docs).select("term").distinct(), docs, prefixes)
+    return search.suggest(_weights(spark, d).select("term").distinct(), _docs(spark, d), prefixes)
 
 
 def _snippet_terms() -> list[str]:
@@ -146,12 +165,20 @@ def snippets(spark: SparkSession, d: str) -> DataFrame:
     return search.snippets(_docs(spark, d), _snippet_terms())
 
 
-def _results(spark: SparkSession, d: str) -> DataFrame:
-    return search.search(_docs(spark, d), _weights(spark, d), _searches(spark), limit=None)
+def search_everything(spark: SparkSession, d: str) -> DataFrame:
+    """All hits of every query, ranked."""
+    return _ranked(search.search(_docs(spark, d), _weights(spark, d), _searches(spark), limit=None))
+
+
+def _placed(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """(places of the relevant documents, numbers of hits) of the queries."""
+    found = checkpoint(search.scores(_docs(spark, d), _weights(spark, d), _searches(spark)))
+    return search.positions(found, _judgements(spark, d)), found.groupBy("query_id").agg(F.count("*").alias("found"))
 
 
 def _metrics(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.rank_metrics(_searches(spark), _results(spark, d), _judgements(spark, d))
+    placed, found = _placed(spark, d)
+    return metrics.rank_metrics(_searches(spark), placed, _judgements(spark, d), found=found)
 
 
 def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
@@ -160,7 +187,7 @@ def rank_metrics(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pr_curve_11pt(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.curve(_searches(spark), _results(spark, d), _judgements(spark, d)).withColumn("precision", F.round("precision", 6))
+    return metrics.curve(_searches(spark), _placed(spark, d)[0], _judgements(spark, d)).withColumn("precision", F.round("precision", 6))
 
 
 def rank_metrics_summary(spark: SparkSession, d: str) -> DataFrame:
@@ -168,7 +195,7 @@ def rank_metrics_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pr_curve_mean(spark: SparkSession, d: str) -> DataFrame:
-    return metrics.mean_curve(metrics.curve(_searches(spark), _results(spark, d), _judgements(spark, d)))
+    return metrics.mean_curve(metrics.curve(_searches(spark), _placed(spark, d)[0], _judgements(spark, d)))
 
 
 def index_after_delete(spark: SparkSession, d: str) -> DataFrame:
@@ -178,6 +205,13 @@ def index_after_delete(spark: SparkSession, d: str) -> DataFrame:
     return index.document_frequency(posts, index.count_documents(left)).select("term", "df", F.round("idf", 6).alias("idf"))
 
 
+def index_reindexed(spark: SparkSession, d: str) -> DataFrame:
+    """The postings after the text of one language's documents was replaced by their content."""
+    docs = _docs(spark, d).select("doc_id", "title", "text", "lang", "content")
+    changed = docs.where("lang = 'es'").withColumn("text", F.col("content"))
+    return index.reindexed(index.postings(docs), changed)
+
+
 def freq_profile(spark: SparkSession, d: str) -> DataFrame:
     return langid.frequent_profile(langid.word_counts(_training(spark, d))).select("lang", "word", "n", F.round("prob", 9).alias("prob"), F.round("min_prob", 9).alias("min_prob"))
 
@@ -229,19 +263,22 @@ def sentences_offsets(spark: SparkSession, d: str) -> DataFrame:
     return summarize.sentences(_contents(spark, d))
 
 
+def _both(spark: SparkSession, d: str) -> DataFrame:
+    """The articles of the two languages the summariser knows."""
+    return _docs(spark, d).where(F.col("lang").isin("en", "es") & F.col("content").isNotNull()).select("doc_id", F.col("content").alias("text"), "lang")
+
+
 def summary_sentence(spark: SparkSession, d: str) -> DataFrame:
-    each = [summarize.select_sentences(summarize.sentence_scores(_articles(spark, d, lang), lang)).withColumn("lang", F.lit(lang)) for lang in ("en", "es")]
-    return each[0].unionByName(each[1])
+    return summarize.select_sentences(summarize.sentence_scores(_both(spark, d)))
 
 
 def keywords(spark: SparkSession, d: str) -> DataFrame:
-    each = [summarize.keywords(summarize.term_weights(_articles(spark, d, lang), lang)).withColumn("lang", F.lit(lang)) for lang in ("en", "es")]
-    return each[0].unionByName(each[1])
+    docs = _both(spark, d)
+    return summarize.keywords(summarize.term_weights(docs, None)).join(docs.select("doc_id", "lang"), "doc_id")
 
 
 def summary_lsa(spark: SparkSession, d: str) -> DataFrame:
-    each = [summarize.select_sentences(summarize.lsa_scores(_articles(spark, d, lang), lang)).withColumn("lang", F.lit(lang)) for lang in ("en", "es")]
-    return each[0].unionByName(each[1])
+    return summarize.select_sentences(summarize.lsa_scores(_both(spark, d)))
 
 
 def summary_evaluation(spark: SparkSession, d: str) -> DataFrame:
@@ -394,7 +431,7 @@ def escaped_titles(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     made = [
         vector_search_top50, tokens_en, postings_tf, doc_frequency_idf, tfidf_weights, search_all_words, search_filtered, top_terms_per_doc, suggest,
-        snippet_window, snippets, rank_metrics, pr_curve_11pt, rank_metrics_summary, pr_curve_mean, index_after_delete, freq_profile, short_profile,
+        search_everything, index_reindexed, snippet_window, snippets, rank_metrics, pr_curve_11pt, rank_metrics_summary, pr_curve_mean, index_after_delete, freq_profile, short_profile,
         langid_scores, langid_freq, langid_short, langid_summary, langid_mlp, char_windows, char_ngrams, sentences_offsets, summary_sentence, keywords, summary_lsa,
         summary_evaluation, dictionary_overlay, lookup_words, frequency_dictionary, unknown_words, dictionary_seeded, dictionary_inserted, dictionary_page, translate_direct,
         translate_transfer, translation_report, tagged_words, tagged_frequency, tagged_unknown, phrase_hits, chunk_trees, essay_indicators, essay_top_words, speech_chunks, translation_spans, command_log, dictated_essays,

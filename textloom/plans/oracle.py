@@ -256,6 +256,8 @@ SELECT doc_id, CAST(generate_subscripts(t, 1) - 1 AS INT) AS pos, unnest(t) AS t
         "doc_frequency_idf": IDF + " SELECT term, df, round(idf, 6) AS idf FROM idf",
         "tfidf_weights": WEIGHTS + " SELECT doc_id, term, tf, round(weight, 6) AS weight FROM wt",
         "vector_search_top50": _search(searches) + _placed(),
+        "search_everything": _search(searches) + _placed(limit=""),
+        "index_reindexed": TOKENS.replace("coalesce(text, '')", "coalesce(CASE WHEN lang = 'es' THEN content ELSE text END, '')") + " SELECT doc_id, term, tf FROM post",
         "search_all_words": _search(searches) + _placed("AND n >= n_terms"),
         "search_filtered": _search(searches) + _placed("AND doc_id IN (SELECT doc_id FROM documents WHERE doc_date >= '2024-01-05' AND doc_date <= '2024-02-20')"),
         "top_terms_per_doc": WEIGHTS + ", r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY round(weight, 9) DESC, term) AS k FROM wt) SELECT doc_id, CAST(k AS INT) AS rank_pos, term, round(weight, 4) AS weight FROM r WHERE k <= 15",

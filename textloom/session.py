@@ -45,15 +45,20 @@ def shared_dir(spark: SparkSession) -> str:
     return "file://" + os.path.join(tempfile.gettempdir(), "textloom-checkpoints")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Writes `df` as a table to the shared folder and reads it from there: the lineage ends, a lost executor costs no
-    recomputation, and readers take the columns they need. The tables of an application go when its Python process ends."""
-    spark = df.sparkSession
+def scratch(spark: SparkSession) -> str:
+    """A folder of this application in the shared folder, removed when its Python process ends."""
     folder = f"{shared_dir(spark).rstrip('/')}/textloom-{spark.sparkContext.applicationId}"
     if folder not in _folders:
         _folders.add(folder)
         atexit.register(_remove, spark, folder)
-    path = f"{folder}/{uuid.uuid4().hex}"
+    return folder
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Writes `df` as a table to the shared folder and reads it from there: the lineage ends, a lost executor costs no
+    recomputation, and readers take the columns they need. The tables of an application go when its Python process ends."""
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

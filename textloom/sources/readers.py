@@ -29,7 +29,8 @@ def judged_collection(spark: SparkSession, path: str) -> tuple[DataFrame, DataFr
 
 
 def files(spark: SparkSession, root: str) -> DataFrame:
-    """(path, length, modified, content) of all files below a folder; content is read only where it is used."""
+    """(path, length, modified, content) of all files below a folder; content is read only where it is used. Links to folders are
+    not followed on file systems that tell them apart: their files would come from outside the folder."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "length", F.col("modificationTime").alias("modified"), "content")
 
 
@@ -110,6 +111,27 @@ def corpus(spark: SparkSession, manifest: str, folder: str, language: str | None
     return texts.join(listed, "file").select("file", "title", "language", "domain", "text")
 
 
+def language_corpora(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """(lang, doc_id, text) of training corpora, whole files of one language below each path; ids follow the names."""
+    each = [spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(F.lit(lang).alias("lang"), F.input_file_name().alias("name"), F.col("value").alias("text")) for lang, path in sorted(paths.items())]
+    whole = each[0]
+    for one in each[1:]:
+        whole = whole.unionByName(one)
+    return whole.select("lang", F.xxhash64("name").alias("doc_id"), "text")
+
+
+def labelled_collection(spark: SparkSession, manifest: str, folder: str) -> tuple[DataFrame, DataFrame]:
+    """(records, missing) of a JSON manifest {file: true language} or [{file, language}]: (file, true_language, text) of the files found
+    in the folder, to be classified and stored with their label, and (file) of those that are not there."""
+    raw = spark.read.text(manifest, wholetext=True)
+    listed = F.from_json("value", "array<struct<file:string,language:string>>")
+    named = F.from_json("value", "map<string,string>")
+    pairs = F.when(F.trim("value").startswith("["), listed).otherwise(F.transform(F.map_entries(named), lambda e: F.struct(e["key"].alias("file"), e["value"].alias("language"))))
+    rows = raw.select(F.inline(pairs)).select("file", F.col("language").alias("true_language"))
+    texts = spark.read.text(folder, wholetext=True, recursiveFileLookup=True).select(F.substring_index(F.input_file_name(), "/", -1).alias("file"), F.col("value").alias("text"))
+    return rows.join(texts, "file"), rows.select("file").join(texts.select("file"), "file", "left_anti")
+
+
 def profiles(spark: SparkSession, path: str) -> DataFrame:
     """(lang, word, prob, min_prob) of profile files {language, word_probs, min_prob}."""
     raw = spark.read.schema("language string, word_probs map<string,double>, min_prob double").json(path, multiLine=True)

@@ -9,6 +9,7 @@ from pyspark.sql.streaming import StreamingQuery
 from textloom.functions.text import title_of
 from textloom.operators.records import file_changes, tally
 from textloom.sources.readers import extract, files
+from textloom.sources.sinks import read_version, versions, write_version
 
 STORED = "path string, title string, text string, hash string, doc_date string, doc_time string"
 
@@ -26,32 +27,27 @@ def crawl(found: DataFrame, stored: DataFrame) -> tuple[DataFrame, DataFrame]:
     return stored.join(rows.select("path"), "path", "left_anti").unionByName(rows), report
 
 
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    return read_version(spark, store, "documents") if versions(spark, store) else spark.createDataFrame([], STORED)
+
+
 def crawl_folder(spark: SparkSession, root: str, store: str) -> DataFrame:
-    """One crawl of `root` into the table at `store`: the tally of outcomes. The new table is written beside the old and then takes its place."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(store)
-    system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    stored = spark.read.schema(STORED).parquet(store) if system.exists(path) else spark.createDataFrame([], STORED)
-    after, report = crawl(files(spark, root), stored)
+    """One crawl of `root` into the store: the tally of outcomes. The documents become its next version."""
+    after, report = crawl(files(spark, root), _stored(spark, store))
     counted = tally(report)
     rows = counted.collect()  # one row a status
-    after.write.mode("overwrite").parquet(store + ".next")
-    system.delete(path, True)
-    system.rename(spark._jvm.org.apache.hadoop.fs.Path(store + ".next"), path)
+    write_version({"documents": after}, store)
     return spark.createDataFrame(rows, counted.schema)
 
 
 def follow_folder(spark: SparkSession, root: str, store: str, checkpoint: str) -> StreamingQuery:
-    """A stream of new files of `root`, each micro-batch merged into the table at `store`; ends when all files now there are read."""
+    """A stream of new files of `root`, each micro-batch merged into the store as its next version; ends when all files now there
+    are read. A batch run again after a crash finds its files unchanged and adds nothing."""
     schema = "path string, modificationTime timestamp, length long, content binary"
     found = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).load(root)
 
     def merge(batch: DataFrame, _: int) -> None:
-        path = spark._jvm.org.apache.hadoop.fs.Path(store)
-        system = path.getFileSystem(spark._jsc.hadoopConfiguration())
-        stored = spark.read.schema(STORED).parquet(store) if system.exists(path) else spark.createDataFrame([], STORED)
-        after, _report = crawl(batch.select("path", "length", "content"), stored)
-        after.write.mode("overwrite").parquet(store + ".next")
-        system.delete(path, True)
-        system.rename(spark._jvm.org.apache.hadoop.fs.Path(store + ".next"), path)
+        after, _report = crawl(batch.select("path", "length", "content"), _stored(spark, store))
+        write_version({"documents": after}, store)
 
     return found.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
