@@ -411,6 +411,35 @@ def test_collection_decides_where_the_document_is_silent(spark):
     assert len(sentences.Splitter(evidence).split(texts[-1])) == 2 and len(sentences.Splitter().split(texts[-1])) == 1
 
 
+def test_collection_shows_abbreviations_that_no_list_has(spark):
+    rng = random.Random(7)
+    names = ["Smith", "Jones", "Brown", "Miller", "Davis"]
+    texts = []
+    for i in range(60):
+        texts.append(f"We met Brg. {rng.choice(names)} at the gate, see qu. {rng.randint(1, 99)} there. The room was full.\n\nThey left {rng.choice(['early', 'late', 'soon'])}. The night was cold.")
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, content string")
+    evidence = sentences.gather_evidence(docs, "content")
+    assert evidence.kinds["brg"] == "title" and evidence.kinds["qu"] == "before" and evidence.kinds.get("there") is None
+    new = "Brg. Smith came with qu. 7 of them. The day was long."
+    assert [new[a:b] for a, b in sentences.Splitter(evidence).split(new)] == ["Brg. Smith came with qu. 7 of them.", "The day was long."]
+    assert len(sentences.Splitter().split(new)) == 4, "without the evidence both abbreviations end a sentence"
+
+
+def test_lists_come_last():
+    shown = sentences.Evidence(kinds={"no": "word"}, starts={"we"})
+    text = "He said no. We left."
+    assert len(sentences.Splitter(shown).split(text)) == 2 and len(sentences.Splitter(sentences.Evidence(starts={"we"})).split(text)) == 1
+
+
+def test_nothing_is_cut_off():
+    far = "Stop." + " " * 500 + "The next one." + "(" * 60 + " a) b. " + ")" * 59 + " Then more."
+    assert cut(far)[0] == "Stop." and cut(far)[1].startswith("The next one.")
+    mixed = "LOUD WORDS HERE AND THERE. " * 200 + "\n\n" + "The doctor gave me vitamin C. The cat slept all day. Nobody saw the cat there. " * 200
+    assert len(cut(mixed)) == 800, "the opening in capitals does not decide for the rest"
+    deep = "He said (" + "[" * 100 + "what? No!" + "]" * 100 + ") and left. Good."
+    assert len(cut(deep)) == 2
+
+
 def test_sentence_rows(spark):
     docs = spark.createDataFrame([(1, "Ab cd. Ef gh.", "x"), (2, None, "x"), (3, " ", "x"), (None, "No id.", "x")], "doc_id long, content string, rec_id string")
     runs = spark.createDataFrame([(1, "One. Two."), (1, "One. Two."), (2, None)], "id long, source_text string")
@@ -449,6 +478,15 @@ def test_stretches_and_cases(spark, model):
     assert languages.languages(docs.limit(0), model=model).count() == 0
 
 
+def test_cut_previews_and_documents_without_a_language(spark, model):
+    english = "The house by the river was sold last year. Nobody knows who lives there now. "
+    tail = "Por eso tenemos que esperar hasta el final del"
+    rows = [(1, english + tail, "en", 5000), (2, english + tail, "en", len(english + tail)), (3, None, "en", None), (4, "12 / 7", None, 6)]
+    docs = spark.createDataFrame(rows, "doc_id long, text_preview string, true_language string, n_chars long")
+    got = {(r.doc_id, r.seg_no): (r.lang, r.confidence > 0, r.is_case) for r in languages.languages(docs, model=model, every=True).collect()}
+    assert got == {(1, 1): ("en", True, False), (2, 1): ("en", True, True), (2, 2): ("es", True, True), (3, 1): (None, False, False), (4, 1): (None, False, False)}
+
+
 FOREIGN = {
     "es": "Por eso tenemos que esperar hasta el final del mes.",
     "ru": "По этой причине нам нужно ждать до конца месяца.",

@@ -14,8 +14,8 @@ else covers every document.
 Documents are cut into sentences, each is scored, and the best path with a price for changing the language gives the
 stretches. The confidence is the calibrated probability of the stretch's language.
 
-Defined cases: previews that are null, blank or without words of a language have no stretch; a sentence cut off at the end of the
-preview makes no stretch of its own; labels that name no known language count as missing.
+Defined cases: previews that are null, blank or without words of a language have no stretch; a sentence cut off at the end of a
+preview that is shorter than its text makes no stretch of its own; labels that name no known language count as missing.
 """
 
 from __future__ import annotations
@@ -218,18 +218,25 @@ def fit(labelled: list[tuple[str, str]]) -> Model:
     index = np.flatnonzero(keep)
     hashes, starts = grams([texts[i] for i in index])
     y = y[index]
-    model = Model(_ridge(hashes, starts, y, rng), 1.0)
-    scores = _sums(model.weights, hashes, starts) / np.sqrt(np.maximum(np.diff(starts), 1))[:, None]
+    sharpness = _held_out_sharpness([texts[i] for i in index], y)
+    return Model(_ridge(hashes, starts, y, rng), sharpness)
+
+
+def _held_out_sharpness(texts: list[str], labels: np.ndarray) -> float:
+    """How sharp probabilities are to be, judged on every fifth example by a model fitted on the others."""
+    held = np.arange(len(labels)) % 5 == 0
+    rest = np.flatnonzero(~held)
+    model = Model(_ridge(*grams([texts[i] for i in rest]), labels[rest], np.random.default_rng(5)), 1.0)
+    scores, y = model.scores([texts[i] for i in np.flatnonzero(held)]), labels[held]
     fits = []
-    for sharp in (4.0, 6.0, 8.0, 10.0, 12.0, 16.0, 20.0):
-        model.sharpness = sharp
-        fits.append((model.log_probabilities(scores)[np.arange(len(y)), y].mean(), sharp))
-    model.sharpness = max(fits)[1]
-    return model
+    for model.sharpness in (4.0, 6.0, 8.0, 10.0, 12.0, 16.0, 20.0):
+        fits.append((model.log_probabilities(scores)[np.arange(len(y)), y].mean(), model.sharpness))
+    return max(fits)[1]
 
 
-def stretches(model: Model, splitter: Splitter, texts: list[str | None]) -> list[list[tuple[int, int, int, float]]]:
-    """(start, end, language, confidence) of the maximal stretches of each text."""
+def stretches(model: Model, splitter: Splitter, texts: list[str | None], cut: list[bool] | None = None) -> list[list[tuple[int, int, int, float]]]:
+    """(start, end, language, confidence) of the maximal stretches of each text; `cut` tells which texts are beginnings of longer ones."""
+    cut = cut or [False] * len(texts)
     spans = [splitter.split(t) for t in texts]
     pieces = [t[a:b] for t, s in zip(texts, spans) for a, b in s]
     if not pieces:
@@ -243,7 +250,7 @@ def stretches(model: Model, splitter: Splitter, texts: list[str | None]) -> list
     strength = np.minimum(np.array([_extent(p, n) for p, n in zip(pieces, letters)]) / FULL, 1.0)
     out: list[list[tuple[int, int, int, float]]] = []
     at = 0
-    for text, mine in zip(texts, spans):
+    for text, mine, part in zip(texts, spans, cut):
         index = [at + k for k in range(len(mine)) if speaks[at + k]]
         at0, at = at, at + len(mine)
         if not index or np.average(best[index], weights=letters[index]) < MEAN_FLOOR:
@@ -252,8 +259,8 @@ def stretches(model: Model, splitter: Splitter, texts: list[str | None]) -> list
         path = [int(first[i]) for i in index]
         if len(set(path)) > 1:
             path = _path(logs[index] * strength[index][:, None])
-            cut = len(text) >= PREVIEW and not _ENDS.search(text[mine[index[-1] - at0][0] : mine[index[-1] - at0][1]])
-            if cut and len(path) > 1 and path[-1] != path[-2]:
+            broken = part and not _ENDS.search(text[mine[index[-1] - at0][0] : mine[index[-1] - at0][1]])
+            if broken and len(path) > 1 and path[-1] != path[-2]:
                 path, index = path[:-1], index[:-1]
         merged: list[tuple[int, int, int, float]] = []
         k = 0
@@ -294,10 +301,12 @@ def train(documents: DataFrame, text: str = "text_preview", label: str = "true_l
     return fit([(r[0], r[1]) for r in sorted(rows, key=lambda r: (r[2] is None, r[2]))])
 
 
-def languages(documents: DataFrame, text: str = "text_preview", label: str = "true_language", model: Model | None = None) -> DataFrame:
+def languages(documents: DataFrame, text: str = "text_preview", label: str = "true_language", model: Model | None = None, whole: str = "n_chars", every: bool = False) -> DataFrame:
     """(doc_id, seg_no, seg_start, seg_end, lang, confidence, is_case) of every stretch of every document.
 
-    is_case: the label is missing, names another language than the text's, or the text has stretches in several."""
+    is_case: the label is missing, names another language than the text's, or the text has stretches in several. `whole` names the column
+    with the length of the whole text, if there is one: where it is greater, the text is a beginning and its last sentence may be
+    cut off. With `every`, documents without a stretch have one row too, without a language and with confidence 0."""
     model = model or train(documents, text, label)
     shared = documents.sparkSession.sparkContext.broadcast((model.weights, model.sharpness))  # DIM x 10 numbers, whatever the data
 
@@ -305,14 +314,17 @@ def languages(documents: DataFrame, text: str = "text_preview", label: str = "tr
         mine, splitter = Model(*shared.value), Splitter()
         for batch in batches:
             ids, labels = batch.column(0).to_pylist(), batch.column(2).to_pylist()
-            texts = batch.column(1).to_pylist()
+            texts, cuts = batch.column(1).to_pylist(), batch.column(3).to_pylist()
             for k in range(0, len(ids), 1000):
                 rows = []
-                for doc, given, parts in zip(ids[k : k + 1000], labels[k : k + 1000], stretches(mine, splitter, texts[k : k + 1000])):
+                for doc, given, parts in zip(ids[k : k + 1000], labels[k : k + 1000], stretches(mine, splitter, texts[k : k + 1000], cuts[k : k + 1000])):
+                    if every and not parts:
+                        rows.append((doc, 1, None, None, None, 0.0, False))
                     case = len({p[2] for p in parts}) > 1 or bool(parts) and named_language(given) != LANGUAGES[parts[0][2]]
                     rows += [(doc, n, a, b, LANGUAGES[c], p, case) for n, (a, b, c, p) in enumerate(parts, 1)]
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.string(), pa.float64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["doc_id", "seg_no", "seg_start", "seg_end", "lang", "confidence", "is_case"])
 
-    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), text, label)
+    cut = F.coalesce(F.col(whole) > F.length(text), F.lit(False)) if whole in documents.columns else F.lit(False)
+    rows = documents.where("doc_id is not null").select(F.col("doc_id").cast("long"), F.col(text).alias("text"), F.col(label).alias("label"), cut.alias("cut"))
     return rows.mapInArrow(run, "doc_id long, seg_no int, seg_start int, seg_end int, lang string, confidence double, is_case boolean")

@@ -29,7 +29,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_languages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return languages.languages(table(spark, sf_dir, "documents"))
+    return languages.languages(table(spark, sf_dir, "documents"), every=True)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,18 +1,19 @@
 """Problem 2: sentence boundaries across languages and scripts.
 
 Method: document-centred disambiguation. Whether a full stop ends a sentence is decided by what stands unambiguously
-elsewhere: a token that is somewhere followed by a stop and then by a small letter or a comma is an abbreviation, a
-word that begins a block begins sentences, a capital on a word that is otherwise small marks a beginning, a word that has
-its capital inside sentences too is a name. First the document itself is asked, then counts over the whole
-collection, then short lists of common abbreviations; script rules cover the rest: full-width marks and dandas
-end at once, Thai ends at the space between two statements, a stop after Devanagari marks an abbreviation.
-Titles and words that lead on ("Mr.", "e.g.") never end a sentence, whatever follows.
+elsewhere. First the document itself is asked: a token it has before a stop and then a small letter or a comma is an
+abbreviation, a word with its capital inside sentences is a name, one in small letters elsewhere owes its capital to a beginning.
+Then the whole collection: a token that is often followed by a stop but hardly ever ends a block, where sentences surely
+end, nor stands before words that are small elsewhere in its document, is an abbreviation (and leads on to a capital if it mostly stands before one, as titles do); one that ends blocks as
+often as any other word is none; first words of blocks begin sentences. Only where both are silent, as in small collections, short lists
+of common abbreviations are asked. Script rules cover the rest: full-width marks and dandas end at once, Thai ends at the space
+between two statements, a stop after Devanagari marks an abbreviation.
 
 Layout: a blank line ends everything. A single line break is a wrap if the next word would not have fitted into the
 line, else it sets a heading or a line apart. Quotations and brackets inside a sentence do not end it.
 
-Counts of the collection are kept for tokens with at least `SHARE` of all occurrences, so at most 1 / SHARE of them
-exist whatever the size of the collection.
+Counts cover every text. Tokens are judged on the executors from their full counts; what is sent around are the judged ones that
+make up at least `SHARE` of all stops, so 1 / SHARE at most, first words of blocks likewise, and the words that stand after short tokens' stops.
 
 Defined cases: null, empty and blank texts have no sentences; rows repeated with one id count once; rows with a null
 id are left out. Positions are code points; spans have no white space at their ends and cover everything else.
@@ -32,12 +33,14 @@ from pyspark.sql import functions as F
 
 from textloom.session import checkpoint
 
-#: Least share of all counted tokens that a token of the collection's statistics has.
-SHARE = 1e-5
-#: A line that stands alone without a final mark is a heading up to this length.
+#: What counts as a heading for those who leave headings out: a line that stands alone, without a final mark and up to this long. It
+#: is a row of the sentences like any other.
 HEADING = 80
-#: Characters looked at after a mark, and openers of quotations kept in mind.
-AHEAD, OPEN = 200, 40
+#: Least share of all stops or blocks that a token the collection judges, or a first word, has.
+SHARE = 5e-7
+#: A token is judged by how many of its stops would end a block if it were a word like others: so many are enough to tell, or
+#: fewer if half of its stops are followed by what no sentence begins with.
+TELLING, TELLING_WITH_SIGNS = 14.0, 6.0
 
 # Common abbreviations, lower case. Those that stand before what they belong to never end a sentence;
 # those that can stand last do so before a capital letter.
@@ -70,8 +73,13 @@ _DEVANAGARI = re.compile(r"[ऀ-ॿ]")
 _CJK = re.compile(r"[぀-ヿ㐀-鿿]")
 _QUOTE = re.compile(r"[()\[\]（）［］「」『』【】«»“”„\"]")
 _PAIR = {"(": ")", "[": "]", "（": "）", "［": "］", "「": "」", "『": "』", "【": "】"}
+_OPENER_OF = {close: open_ for open_, close in _PAIR.items()}
 _CLOSERS = ")]»”\"'’）］」』】“«"
 _FULL = set("。！？।॥｡")
+_OPENERS = re.compile("[\\s“„\"«»(（「『\\[¿¡—–’'-]*")
+_SPACES = re.compile(r"\s*")
+_NOT_LEADING = re.compile("[^\\s—–\\-¿¡“„\"«(（]")
+_STILL_CLOSING = re.compile("[)\\]»”\"'’）］」』】“« ]*")
 _TOKEN = re.compile(r"((?:[^\W\d_]\.\s?)*[^\W_]*(?:[ऀ-ॿ]*))\Z")
 _WORD_AFTER = re.compile(r"[^\W\d_]+(?:['’-][^\W\d_]+)*")
 _ENDS = re.compile(r"[.!?…。！？।॥｡][»”\"'’)\]）］」』】“«\s]*\Z")
@@ -79,12 +87,11 @@ _ENDS = re.compile(r"[.!?…。！？।॥｡][»”\"'’)\]）］」』】“
 
 @dataclass
 class Evidence:
-    """What the whole collection says: tokens before a stop that went on, tokens before a stop at the end of a block, first words of blocks,
-    words after a short token's stop that have a small letter elsewhere and hardly ever a capital inside sentences."""
+    """What the whole collection says of tokens before a stop ("title", "before" or "word"), of words that begin blocks, and the words
+    after a short token's stop that have a small letter elsewhere and hardly ever a capital inside sentences."""
 
-    going_on: dict[str, int] = field(default_factory=dict)
-    final: dict[str, int] = field(default_factory=dict)
-    starts: dict[str, int] = field(default_factory=dict)
+    kinds: dict[str, str] = field(default_factory=dict)
+    starts: set[str] = field(default_factory=set)
     small: set[str] = field(default_factory=set)
 
 
@@ -123,46 +130,43 @@ def _segments(text: str) -> Iterator[tuple[int, int]]:
 def _quotes(seg: str) -> list[tuple[int, int]]:
     """Outermost quotations and brackets that are closed."""
     stack: list[tuple[str, int]] = []
+    of_kind: dict[str, list[int]] = {}  # places in the stack of each kind of opener
     out: list[tuple[int, int]] = []
 
-    def close(k: int, at: int) -> None:
+    def push(c: str, at: int) -> None:
+        of_kind.setdefault(c, []).append(len(stack))
+        stack.append((c, at))
+
+    def close(kinds: str, at: int) -> bool:
+        """Closes the last opener of the kinds and forgets those within."""
+        k = max((of_kind[c][-1] for c in kinds if of_kind.get(c)), default=-1)
+        if k < 0:
+            return False
         opened = stack[k][1]
-        del stack[k:]
+        while len(stack) > k:
+            of_kind[stack.pop()[0]].pop()
         while out and out[-1][0] > opened:
             out.pop()
         out.append((opened, at))
+        return True
 
     for m in _QUOTE.finditer(seg):
         c, at = m.group(), m.start()
-        if len(stack) > OPEN:
-            del stack[: -OPEN // 2]  # openers that long ago are not closed any more
-        tops = [x for x, _ in stack]
-        if c in "“":
-            if tops and tops[-1] == "„":
-                close(len(stack) - 1, at)
-            else:
-                stack.append((c, at))
+        if c == "“":
+            if not (stack and stack[-1][0] == "„" and close("„", at)):
+                push(c, at)
         elif c == "”":
-            k = next((i for i in range(len(tops) - 1, -1, -1) if tops[i] in "“„"), None)
-            if k is not None:
-                close(k, at)
+            close("“„", at)
         elif c in "«»":
-            other = "»" if c == "«" else "«"
-            if other in tops:
-                close(len(tops) - 1 - tops[::-1].index(other), at)
-            else:
-                stack.append((c, at))
+            if not close("»" if c == "«" else "«", at):
+                push(c, at)
         elif c == '"':
-            if c in tops:
-                close(len(tops) - 1 - tops[::-1].index(c), at)
-            else:
-                stack.append((c, at))
+            if not close(c, at):
+                push(c, at)
         elif c in _PAIR or c == "„":
-            stack.append((c, at))
+            push(c, at)
         else:
-            k = next((i for i in range(len(tops) - 1, -1, -1) if _PAIR.get(tops[i]) == c), None)
-            if k is not None:
-                close(k, at)
+            close(_OPENER_OF.get(c, ""), at)
     return out
 
 
@@ -177,14 +181,17 @@ def _uncased(c: str) -> bool:
 class Splitter:
     def __init__(self, evidence: Evidence | None = None):
         self.evidence = evidence or Evidence()
+        self.longest = max(map(len, [*self.evidence.kinds, *BEFORE, *LAST, "x" * 24]))
 
     def split(self, text: str | None) -> list[tuple[int, int]]:
         """(start, end) of every sentence and standing line."""
         if not text or text.isspace():
             return []
-        letters = [c for c in text[:4000] if c.isalpha() and c.lower() != c.upper()]
-        self.capitals = len(letters) > 20 and sum(map(str.isupper, letters)) > 0.8 * len(letters)
-        self.own = self._own_evidence(text)
+        letters = {c: n for c, n in Counter(text).items() if c.isalpha() and c.lower() != c.upper()}
+        total = sum(letters.values())
+        self.capitals = total > 20 and sum(n for c, n in letters.items() if c.isupper()) > 0.8 * total
+        self.own = {w for w, kind, _ in stops(text) if kind == "on"}
+        self.reach = max(self.longest, *map(len, self.own), 0) + 2 if self.own else self.longest + 2
         self.text, self.words = text, None
         out: list[tuple[int, int]] = []
         self.headings: list[bool] = []  # of each span: it stands alone and has no final mark
@@ -199,10 +206,6 @@ class Splitter:
                     self.headings.append(len(pieces) == 1 and right - left <= HEADING and not _ENDS.search(piece))
         return out
 
-    def _own_evidence(self, text: str) -> set[str]:
-        """Tokens the document itself shows to be abbreviations."""
-        return {w for w, kind in stops(text) if kind == "on"}
-
     def _begins(self, word: str) -> bool | None:
         """Whether the capital of a word after an abbreviation comes from the start of a sentence; None if nothing tells."""
         if self.capitals or not word:
@@ -252,41 +255,44 @@ class Splitter:
         return list(zip(edges, edges[1:]))
 
     def _thai_space(self, seg: str, at: int) -> int | None:
-        left = seg[max(0, at - AHEAD) : at].rsplit(None, 1)[-1]
-        right = seg[at : at + AHEAD].split(None, 1)
-        if not right:
+        right = _SPACES.match(seg, at).end()
+        left = at
+        while left and not seg[left - 1].isspace() and not _THAI.match(seg, left - 1):
+            left -= 1
+        if right >= len(seg) or not left or seg[left - 1].isspace():  # no Thai letter in the word before
             return None
-        right = right[0]
-        if not _THAI.search(left):
-            return None
-        if _THAI.search(right) or _is_upper(right.lstrip("“\"(«¿¡—- ")[:1]):
+        if _is_upper(seg[_OPENERS.match(seg, right).end() :][:1]):
             return at
+        while right < len(seg) and not seg[right].isspace():
+            if _THAI.match(seg, right):
+                return at
+            right += 1
         return None
 
     def _next(self, seg: str, at: int) -> tuple[int, str, str]:
         """(white space, first significant character after opening marks, first word) of what follows."""
-        rest = seg[at : at + 80]
-        bare = rest.lstrip()
-        gap = len(rest) - len(bare)
-        inner = bare.lstrip("“„\"«»(（「『[¿¡—–- \n\t’'")
-        word = _WORD_AFTER.match(inner)
-        return gap, inner[:1], word.group().lower() if word else ""
+        gap = _SPACES.match(seg, at).end() - at
+        inner = _OPENERS.match(seg, at).end()
+        word = _WORD_AFTER.match(seg, inner)
+        return gap, seg[inner : inner + 1], word.group().lower() if word else ""
 
     def _quoted_end(self, seg: str, start: int, e: int, span: tuple[int, int]) -> int | None:
         opened, closed = span
-        if seg[e:closed].strip(_CLOSERS + " "):
+        if _STILL_CLOSING.match(seg, e, closed).end() < closed:
             return None
         end = closed + 1
         while end < len(seg) and seg[end] in ")]”’）］」』】":
             end += 1
-        before = seg[start:opened].rstrip()
-        if before.strip(" \n\t—–-¿¡“„\"«(（") and before[-1:] not in ":：,，、":
-            return None
-        rest = seg[end : end + AHEAD].lstrip()
-        if not rest or rest[0] in ",;:.，、；：。!?！？…":
+        last = opened
+        while last > start and seg[last - 1].isspace():
+            last -= 1
+        if _NOT_LEADING.search(seg, start, opened) and seg[max(start, last - 1) : last] not in tuple(":：,，、"):
             return None
         gap, c, word = self._next(seg, end)
-        if c.islower() or _SPOKEN.match(seg[end : end + AHEAD]) or word in SPEECH and (self.capitals or not _is_upper(c)):
+        following = seg[end + gap : end + gap + 1]
+        if not following or following in ",;:.，、；：。!?！？…":
+            return None
+        if c.islower() or _SPOKEN.match(seg, end) or word in SPEECH and (self.capitals or not _is_upper(c)):
             return None
         return end
 
@@ -302,7 +308,7 @@ class Splitter:
         if following and following in ",;:，、；：)）]":
             return None
         if mark[-1] in _FULL or mark[0] in _FULL:
-            return None if _SPOKEN.match(seg[end : end + AHEAD]) and end > e else end
+            return None if _SPOKEN.match(seg, end) and end > e else end
         if c.islower():
             return None
         if set(mark) & set("!?؟"):
@@ -310,7 +316,7 @@ class Splitter:
                 return end if following and following in "“„«(¿¡—" else None
             return None if word in SPEECH and self.capitals else end
         if len(mark) > 1 or mark == "…":
-            if (self.capitals or _uncased(c)) and (word in GOES_ON or any(seg[end : end + AHEAD].lstrip().startswith(w) for w in GOES_ON_CJK)):
+            if (self.capitals or _uncased(c)) and (word in GOES_ON or seg.startswith(GOES_ON_CJK, end + gap)):
                 return None
             if not gap and c.isdigit() and not _CJK.match(seg[s - 1 : s]) or not c and not following:
                 return None
@@ -318,7 +324,7 @@ class Splitter:
         return self._stop(seg, start, s, end, gap, c, word, following, heading)
 
     def _stop(self, seg: str, start: int, s: int, end: int, gap: int, c: str, word: str, following: str, heading: bool) -> int | None:
-        token = _TOKEN.search(seg[max(start, s - 24) : s]).group(1)
+        token = _TOKEN.search(seg[max(start, s - self.reach) : s]).group(1)  # no known token is longer
         low = re.sub(r"\s+", " ", token.lower())
         short = low.rsplit(" ", 1)[-1].rsplit(".", 1)[-1]
         if _DEVANAGARI.search(token):
@@ -329,13 +335,14 @@ class Splitter:
             if not _is_upper(c) or not (len(short) > 1 or short.isdigit() or low in LAST):
                 return None
             after = seg[end + 1 : end + 2]
-            if low in BEFORE or word in EXTENSIONS or not (after.islower() or after.isspace() or self.capitals):
+            if self._kind(low) in ("title", "before") or word in EXTENSIONS or not (after.islower() or after.isspace() or self.capitals):
                 return None
             return end
         if heading and re.fullmatch(r"\W*(?:[^\W\d_]+\s+)?\d+", seg[start:s]):
             return None
+        kind = self._kind(low) or (self._kind(short) if short != low else None)
         if c.isdigit():
-            return None if low in BEFORE or low.endswith("str") or short in BEFORE or len(short) == 1 and not short.isdigit() or self._abbreviation(low) and low not in LAST else end
+            return None if low.endswith("str") or kind in ("title", "before") or len(short) == 1 and not short.isdigit() else end
         if not (_is_upper(c) or _uncased(c)):
             return end if following in "“„«\"¿¡(（" else None
         if short.isdigit():
@@ -344,46 +351,51 @@ class Splitter:
                 if before and before[-1].lower().strip("„“»«(") in ORDINAL_AFTER and _is_upper(c) and word not in self.evidence.starts:
                     return None
             return end
-        if low in LAST or short in LAST and low == short:
-            if self.capitals and not (low in LISTS and (word in self.evidence.starts or not self.evidence.starts)):
-                return None
-            if low in ("al", "inc", "co", "ltd"):
-                return None if word in SPEECH else end
-            return end
+        if low in LISTS and self.capitals:
+            return end if word in self.evidence.starts or not self.evidence.starts else None
         begins = self._begins(word) if _is_upper(c) else None
         if low == "г" or low == "р":
             return end if seg[start:s].rstrip("гр ").endswith(tuple("0123456789")) and (begins or begins is None and word in self.evidence.starts) else None
-        if low in BEFORE or len(short) == 1 and short.isalpha():
-            return end if begins and low not in LEADS_ON and short not in LEADS_ON else None
-        if self._abbreviation(low) and not begins and (begins is False or word not in self.evidence.starts):
+        if kind == "last":
+            return None if self.capitals or low in ("al", "inc", "co", "ltd") and word in SPEECH else end
+        if kind == "title":
+            return None
+        if kind == "before" or len(short) == 1 and short.isalpha():
+            return end if begins else None
+        if low in self.own and not begins and (begins is False or word not in self.evidence.starts):
             return None
         return end
 
-    def _abbreviation(self, low: str) -> bool:
-        if len(low) > 6 or not low:
-            return False
-        on, final = self.evidence.going_on.get(low, 0), self.evidence.final.get(low, 0)
-        if low in self.own and final <= on:
-            return True
-        return on >= 3 and on > 4 * final
-
-
-_STOP = re.compile(r"((?:[^\W\d_]\.\s?)*[^\W\d_]{1,6})\.(?:\s+|(?=[,;)]))(\S)")
+    def _kind(self, low: str) -> str | None:
+        """What a token before a stop is: "title" (leads on to a capital), "before" (does not end), "last" (can end), "word" or unknown. The
+        document says that it is an abbreviation, the collection and then the lists say of which kind."""
+        known = self.evidence.kinds.get(low)
+        if known == "title":
+            return known
+        listed = "title" if low in LEADS_ON else "last" if low in LAST else "before" if low in BEFORE else None
+        if known == "word":
+            return "last" if listed == "last" else known
+        if known == "before":
+            return listed or known
+        return listed
+
+
+_STOP = re.compile(r"(?<![^\W_])((?:[^\W\d_]\.\s?)*[^\W\d_]+)\.(?:(\s*)(\S?))")
 _AFTER_END = re.compile(r"(?:\A|\n\s*\n|[^\W\d_]{7}\.\s+|[!?…]\s+)[\s“„\"«»(¿¡—–-]*([^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _AFTER_SHORT = re.compile(r"(?<![^\W\d_])[^\W\d_]{1,6}\.\s+[“„\"«»(¿¡—–-]*([^\W\d_]+(?:['’-][^\W\d_]+)*)")
 _INSIDE = re.compile(r"(?<=[\w,;] )[^\W\d_]+(?:['’-][^\W\d_]+)*")
+_SPACED = re.compile(r"\s+")
 _FIRST = re.compile(r"\W*([^\W\d_]+)")
-_LAST = re.compile(r"((?:[^\W\d_]\.\s?)*[^\W\d_]{1,6})\.\W*\Z")
 
 
-def stops(text: str) -> Iterator[tuple[str, str]]:
-    """Tokens before a stop that is unambiguously not the end."""
+def stops(text: str) -> Iterator[tuple[str, str, int]]:
+    """Tokens before a stop, what comes then, and where: "on" (a small letter or comma, so this is not the end), "number", "final" (the
+    end of a block) or "other". Stops before closing marks say nothing."""
     for m in _STOP.finditer(text):
-        c = m.group(2)
-        if c.islower() or c in ",;":
-            before = text[m.start() - 1 : m.start()]
-            if not before.isalnum():
-                yield re.sub(r"\s+", " ", m.group(1).lower()), "on"
+        gap, c = m.group(2), m.group(3)
+        kind = "final" if not c or gap.count("\n") > 1 else "on" if c in ",;" or gap and c.islower() else "number" if gap and c.isdigit() else "other" if gap else ""
+        if kind:
+            yield _SPACED.sub(" ", m.group(1).lower()), kind, m.end(2)
 
 
 def small_words(text: str) -> set[str]:
@@ -401,28 +413,23 @@ def _count(texts: list[str | None]) -> Counter[tuple[str, str]]:
     for text in texts:
         if not text:
             continue
-        for word, _ in stops(text):
-            counts["on", word] += 1
-        for word in small_words(text):
-            counts["small", word] += 1
-        for word in {w.lower() for w in names(text)}:
-            counts["name", word] += 1
-        for word in {w.lower() for w in _AFTER_SHORT.findall(text) if _is_upper(w[0])}:
-            counts["after", word] += 1
+        small = small_words(text)
+        counts.update(("small", word) for word in small)
+        for word, kind, at in stops(text):
+            after = _WORD_AFTER.match(text, _OPENERS.match(text, at).end()) if kind == "other" else None
+            counts["begin" if after and after.group().lower() in small else kind, word] += 1
+        counts.update(("name", word) for word in {w.lower() for w in names(text)})
+        counts.update(("after", word) for word in {w.lower() for w in _AFTER_SHORT.findall(text) if _is_upper(w[0])})
         for block in _lines(text):
             body = text[block[0][0] : block[-1][1]]
             first = _FIRST.match(body)
             if first and _ENDS.search(body):
                 counts["start", first.group(1).lower()] += 1
-            last = _LAST.search(body)
-            if last and not body[last.start() - 1 : last.start()].isalnum():
-                counts["final", re.sub(r"\s+", " ", last.group(1).lower())] += 1
     return counts
 
 
 def gather_evidence(texts: DataFrame, column: str) -> Evidence:
-    """Counts over every text; only tokens with `SHARE` of their kind's occurrences come to the driver, at most 1 / SHARE a kind, and
-    the words after a short token's stop that at least three texts have in small letters and at most a quarter as many as a name."""
+    """Counts over every text, judged word by word; see `Evidence`, `SHARE` and `TELLING`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -430,18 +437,22 @@ def gather_evidence(texts: DataFrame, column: str) -> Evidence:
             kinds, words, numbers = [k for k, _ in counts], [w for _, w in counts], list(counts.values())
             yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(words, pa.string()), pa.array(numbers, pa.int64())], names=["kind", "word", "n"])
 
-    counted = texts.select(column).mapInArrow(run, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n"))
-    rows = checkpoint(counted)
-    number = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0))
-    words = rows.where(F.col("kind").isin("small", "name", "after")).groupBy("word").agg(*[number(k).alias(k) for k in ("small", "name", "after")])
-    small = words.where("after > 0 and small >= 3 and small > 4 * name").select("word").collect()
-    rows = rows.where(F.col("kind").isin("on", "final", "start"))
-    total = rows.groupBy("kind").agg(F.sum("n").alias("total"))
-    kept = rows.join(F.broadcast(total), "kind").where((F.col("n") >= SHARE * F.col("total")) & (F.col("n") >= 2)).select("kind", "word", "n").collect()
-    made = Evidence(small={r[0] for r in small})
-    for kind, word, n in kept:
-        {"on": made.going_on, "final": made.final, "start": made.starts}[kind][word] = n
-    return made
+    number = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("n")).otherwise(0)).alias(kind)
+    kinds = ("on", "number", "final", "other", "begin", "small", "name", "after", "start")
+    rows = checkpoint(texts.select(column).mapInArrow(run, "kind string, word string, n long").groupBy("word").agg(*[number(k) for k in kinds]))
+    stopped = F.col("on") + F.col("number") + F.col("final") + F.col("other") + F.col("begin")
+    total = rows.agg(F.sum(stopped).alias("stops"), F.sum("final").alias("final"), F.sum("start").alias("start")).first()
+    if not total["stops"]:
+        return Evidence()
+    usual = F.lit(total["final"] / total["stops"]) * stopped  # block ends the token would have as a word like others
+    signs = F.col("on") + F.col("number") >= stopped / 2
+    short_of = (F.col("final") <= usual / 10) & (F.col("begin") <= stopped / 20)  # nor is it followed by words that owe their capital to a beginning
+    told = (usual >= TELLING) | ((usual >= TELLING_WITH_SIGNS) & signs)
+    kind = F.when(told & short_of & (F.col("other") >= stopped / 2), "title").when(told & short_of, "before").when((usual >= TELLING_WITH_SIGNS) & (F.col("final") >= usual / 2), "word")
+    judged = rows.where(stopped >= SHARE * total["stops"]).select("word", kind.alias("kind")).where("kind is not null").collect()
+    starts = rows.where((F.col("start") >= 2) & (F.col("start") >= SHARE * total["start"])).select("word").collect()
+    small = rows.where("after > 0 and small >= 3 and small > 4 * name").select("word").collect()
+    return Evidence({w: k for w, k in judged}, {r[0] for r in starts}, {r[0] for r in small})
 
 
 def split_rows(rows: DataFrame, evidence: Evidence) -> DataFrame:
