@@ -537,6 +537,52 @@ def test_subjects(spark):
     assert subjects.document_subjects(docs, none).count() == 0
 
 
+def test_rules_of_several_items_add_what_their_parts_do_not(spark):
+    base = {0: 1 / 3, 1: 1 / 3, 2: 1 / 3}
+    mined = [(["amber"], 0, 50, 100), (["amber"], 1, 50, 100), (["basil"], 0, 50, 100), (["basil"], 2, 50, 100), (["amber", "basil"], 0, 50, 50), (["elm"], 1, 90, 100), (["elm", "fir"], 1, 45, 50)]
+    weights = subjects._pruned(mined, base)
+    assert frozenset(["amber", "basil"]) in weights and frozenset(["elm", "fir"]) not in weights, "as sure as its parts: pruned"
+    rules = subjects.Rules(["a", "b", "c"], weights, [1e-9], [0.0, 1.0])
+    alone = subjects.Rules(["a", "b", "c"], {k: v for k, v in weights.items() if len(k) == 1}, [1e-9], [0.0, 1.0])
+    assert rules.evidence({"amber", "basil", "x"})[0] == 0 and rules.evidence({"amber", "basil"})[1] > 3 > 1 > alone.evidence({"amber", "basil"})[1]
+    assert rules.evidence({"amber", "elm"})[0] == 1 and rules.evidence({"x"}) == (0, 0.0)
+
+
+def test_rules_of_several_items_are_mined_and_decide(spark):
+    rng = random.Random(4)
+    own = {"sport": ["amber basil {}"], "law": ["amber cedar {}", "statute {}"], "art": ["basil delta {}", "fresco {}"]}
+    rows = []
+    for i in range(360):
+        subject = ["sport", "law", "art"][i % 3]
+        rows.append((i, " ".join(f"The {rng.choice(own[subject]).format('w' + str(rng.randint(0, 50)))} here." for _ in range(6)), subject))
+    docs = spark.createDataFrame(rows, "doc_id long, content string, domain string")
+    table = spark.createDataFrame([(s, s, s) for s in own], "subject string, title string, title_ru string")
+    rules = subjects.train(docs, spark.createDataFrame([], "doc_id long, subject string"), table)
+    joint = {s for s, _ in rules.rules.items() if s == {"amber", "basil"}}
+    assert joint and rules.subjects[rules.evidence({"amber", "basil"})[0]] == "sport"
+
+
+def test_calibration_is_monotone_and_relative():
+    rng = np.random.default_rng(1)
+    amounts = rng.random(4000) * 10
+    hits = rng.random(4000) < 0.1 + 0.08 * amounts
+    edges, chance = subjects._calibrated(amounts, hits)
+    assert chance[0] == 0 and chance[-1] == 1 and all(a <= b for a, b in zip(chance, chance[1:]))
+    rules = subjects.Rules(["a"], {}, edges, chance)
+    assert rules.probability(0.0) == 0 and rules.probability(1.0) < 0.4 < 0.6 < rules.probability(9.0)
+
+
+def test_annotators_come_before_domains(spark):
+    docs = spark.createDataFrame([(i, "Text.", "law" if i < 50 else "sport") for i in range(100)], "doc_id long, content string, domain string")
+    said = spark.createDataFrame([(i, "none" if i == 3 else "sport") for i in range(20)], "doc_id long, subject string")
+    table = spark.createDataFrame([("law", "Law", "Право"), ("sport", "Sport", "Спорт")], "subject string, title string, title_ru string")
+    drawn, names = subjects.labelled(docs, said, table, 20)
+    got = {r.doc_id: r.classes for r in drawn.collect()}
+    assert set(got) == set(range(20)) and got[3] == [] and got[5] == [names.index("sport")]
+    everything = {r.doc_id for r in subjects.labelled(docs, said, table, 1000)[0].collect()}
+    assert everything == set(range(100))
+
+
 def test_registered_queries(spark):
     from textloom.llm import queries
 

@@ -1,15 +1,18 @@
 """Problem 5: subject areas of documents.
 
-Method: class-association rules. A transaction is a sentence: its most telling items (words, or character n-grams in
-scripts without spaces) and the subject it is taken to deal with. Frequent item sets are mined with parallel frequent-pattern
-growth (Spark ML's FPGrowth); sets with a subject give rules "items -> subject", rules no surer than a more general
-one are pruned, and the rules a sentence matches are its evidence for each subject. The evidence is calibrated to a
-probability on the labelled sample. A document deals with a subject if at least a quarter of its sentences do.
+Method: class-association rules. A transaction is a sentence of a labelled document: its most telling items (words, or
+character n-grams in scripts without spaces) and the subjects its document is labelled with. Frequent item sets are mined with
+parallel frequent-pattern growth (Spark ML's FPGrowth); sets with a subject give rules "items -> subject", whose confidence
+is the share of such sentences that stand in documents of the subject.
 
-The rules are fitted on at most about `SAMPLE` documents with a label of the annotators or, failing that, a domain
-that names a subject; a share of these is wrong and documents have sentences on other matters, so items are chosen by their
-confidence over documents, and the sentences are labelled by their items before the rules are mined. Everything else
-covers every document with content.
+A rule weighs its log odds against the subject's base rate, a rule of several items by how much they exceed what the
+rules within it add up to; one that does not exceed it says nothing new and is pruned. A sentence is scored by all rules it
+matches. The evidence is calibrated on every tenth document, which takes no part in mining, to the probability that
+the sentence's document has the subject, against the surest evidence (labels are wrong and documents have sentences on other
+matters, so even that falls short of 1). A document deals with a subject if at least a quarter of its sentences do.
+
+The rules are fitted on at most about `SAMPLE` documents: those with labels of the annotators first, `none` included, then some whose domain
+names a subject. Everything else covers every document with content.
 
 Defined cases: null and blank contents have no rows; headings do not count; a document with headings only has none.
 """
@@ -36,12 +39,16 @@ from textloom.llm.sentences import Splitter
 from textloom.session import checkpoint
 
 SAMPLE = 12_000
-#: Items of a transaction, and of a rule.
+#: Items of a transaction for mining (scoring looks at all), and of a rule.
 ITEMS, RULE_ITEMS = 6, 3
 #: An item counts if it stands in this many documents of the sample (or its share of them), and some subject's share p of
-#: them is above its share b of all documents: (p - b) / (1 - b) is at least MIN_GAIN.
+#: them is above its share b of all documents: the gain (p - b) / (1 - b) is at least MIN_GAIN, or WEAK_GAIN in WEAK_DOCUMENTS or more.
 MIN_DOCUMENTS, MIN_DOCUMENT_SHARE, MIN_GAIN = 3, 1 / 1500, 0.235
-RULE_CONFIDENCE = 0.6
+WEAK_GAIN, WEAK_DOCUMENTS = 0.12, 40
+#: Gain of a rule's confidence over the subject's base rate.
+RULE_GAIN = 0.235
+#: One document in so many is held out of mining, for calibration; sentences of a bin of evidence.
+HELD, BIN = 10, 50
 QUARTER = 0.25
 
 # Further names of the subjects in the field `domain`.
@@ -110,29 +117,29 @@ def domain_names(subjects: Iterable[tuple[str, ...]]) -> dict[str, str]:
 @dataclass
 class Rules:
     subjects: list[str]
-    item_gain: dict[str, float]
-    rules: dict[frozenset[str], tuple[int, float]]
+    rules: dict[frozenset[str], list[tuple[int, float]]]
     edges: list[float]
     chance: list[float]
 
     def __post_init__(self) -> None:
         self.single = {next(iter(s)): rule for s, rule in self.rules.items() if len(s) == 1}
-        self.joint = {i for s in self.rules if len(s) > 1 for i in s}
+        uses = Counter(i for s in self.rules if len(s) > 1 for i in s)
+        self.joint: dict[str, list[tuple[frozenset[str], list[tuple[int, float]]]]] = {}  # each by its rarest item
+        for s, rule in self.rules.items():
+            if len(s) > 1:
+                self.joint.setdefault(min(s, key=lambda i: (uses[i], i)), []).append((s, rule))
 
     def evidence(self, items: set[str]) -> tuple[int, float]:
-        """The subject with the most evidence and its amount: log odds of the matching rules, added up."""
-        told = _told(items, self.item_gain)
+        """The subject with the most evidence, and how far it is ahead: weights of all matching rules, added up."""
         total = [0.0] * len(self.subjects)
-        for item in told:
-            rule = self.single.get(item)
-            if rule:
-                total[rule[0]] += rule[1]
-        joint = [i for i in told if i in self.joint]
-        for size in range(2, min(RULE_ITEMS, len(joint)) + 1):
-            for some in combinations(joint, size):
-                rule = self.rules.get(frozenset(some))
-                if rule:
-                    total[rule[0]] += rule[1]
+        for item in items & self.single.keys():
+            for subject, weight in self.single[item]:
+                total[subject] += weight
+        for item in items & self.joint.keys():
+            for some, rule in self.joint[item]:
+                if some <= items:
+                    for subject, weight in rule:
+                        total[subject] += weight
         best = max(total)
         first = total.index(best)
         return first, best - max(total[:first] + total[first + 1 :], default=0.0)
@@ -161,7 +168,8 @@ def _item_shares(sentences: DataFrame, n_subjects: int) -> tuple[dict[str, list[
     counts = each.groupBy("item").agg(F.count("*").alias("n"), *of).where(F.col("n") >= max(MIN_DOCUMENTS, n * MIN_DOCUMENT_SHARE))
     share = [((F.col(f"s{k}") + 2 * base[k]) / (F.col("n") + 2)).alias(f"s{k}") for k in range(n_subjects)]
     gains = [(F.col(f"s{k}") - base[k]) / (1 - min(base[k], 0.99)) for k in range(n_subjects)]
-    kept = counts.select("item", *share).where(F.greatest(*gains, F.lit(-1.0)) >= MIN_GAIN)
+    gain = F.greatest(*gains, F.lit(-1.0))
+    kept = counts.select("item", "n", *share).where((gain >= MIN_GAIN) | ((gain >= WEAK_GAIN) & (F.col("n") >= WEAK_DOCUMENTS))).drop("n")
     return {r[0]: list(r[1:]) for r in kept.collect()}, base
 
 
@@ -169,52 +177,53 @@ def _gains(share: dict[str, list[float]], base: list[float]) -> dict[str, float]
     return {i: max((p - b) / (1 - min(b, 0.99)) for p, b in zip(ps, base)) for i, ps in share.items()}
 
 
-def _transactions(sentences: DataFrame, share: dict[str, list[float]], base: list[float]) -> DataFrame:
-    """(items): the telling items of each sentence and the subject it is taken to deal with (-1 for none)."""
-    sent = sentences.sparkSession.sparkContext.broadcast((share, base))
+def _transactions(sentences: DataFrame, gains: dict[str, float]) -> DataFrame:
+    """(items): the telling items of each sentence and the subjects of its document, as "\\t" and their number."""
+    sent = sentences.sparkSession.sparkContext.broadcast(gains)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shares, usual = sent.value
-        confidence = _gains(shares, usual)
-        usual = np.maximum(usual, 0.01)
+        gain = sent.value
         for batch in batches:
-            out = []
-            for items in batch.column(0).to_pylist():
-                told = _told(items, confidence)
-                if told:
-                    total = np.sum([np.log(np.maximum(shares[i], 0.02) / usual) for i in told], axis=0)
-                    out.append([*told, f"\t{int(total.argmax()) if total.max() > 0.8 else -1}"])
+            told = [(_told(items, gain), classes) for items, classes in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
+            out = [[*items, *(f"\t{k}" for k in sorted(set(classes)))] for items, classes in told if items]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.string()))], names=["items"])
 
-    return sentences.select("items").mapInArrow(run, "items array<string>")
+    return sentences.select("items", "classes").mapInArrow(run, "items array<string>")
 
 
-def _mined(transactions: DataFrame) -> list[tuple[list[str], int, int, int]]:
-    """(items, subject, occurrences with the subject, occurrences) of every frequent set sure enough to be a rule."""
+def _mined(transactions: DataFrame) -> tuple[list[tuple[list[str], int, int, int]], dict[int, float]]:
+    """((items, subject, occurrences with the subject, occurrences) of every frequent set sure enough to be a rule, base rates of the subjects)."""
     n = transactions.count()
     if not n:
-        return []
+        return [], {}
     least = max(3.0, n / 20_000)
     frequent = FPGrowth(itemsCol="items", minSupport=min(1.0, least / n)).fit(transactions).freqItemsets
-    split = frequent.select(F.array_sort(F.filter("items", lambda x: ~x.startswith("\t"))).alias("left"), F.filter("items", lambda x: x.startswith("\t")).alias("marks"), "freq")
-    split = checkpoint(split.where(F.size("left").between(1, RULE_ITEMS) & (F.size("marks") <= 1)))
-    heads = split.where("size(marks) = 1").select("left", F.substring(F.col("marks")[0], 2, 9).cast("int").alias("subject"), F.col("freq").alias("hits"))
-    bodies = split.where("size(marks) = 0").select("left", F.col("freq").alias("all"))
-    sure = heads.join(bodies, "left").where((F.col("subject") >= 0) & ((F.col("hits") + 0.5) / (F.col("all") + 1) >= RULE_CONFIDENCE))
-    return [(list(r[0]), r[1], r[2], r[3]) for r in sure.select("left", "subject", "hits", "all").collect()]
-
-
-def _pruned(mined: list[tuple[list[str], int, int, int]]) -> dict[frozenset[str], tuple[int, float]]:
-    """Rules with their log odds; a rule no surer than a more general one for the same subject is left out."""
-    rules: dict[frozenset[str], tuple[int, float]] = {}
-    sure: dict[frozenset[str], float] = {}
+    mark = lambda x: x.startswith("\t")
+    split = frequent.select(F.array_sort(F.filter("items", lambda x: ~mark(x))).alias("left"), F.filter("items", mark).alias("marks"), "freq")
+    split = checkpoint(split.where((F.size("left") <= RULE_ITEMS) & (F.size("marks") <= 1)))
+    subject = F.substring(F.col("marks")[0], 2, 9).cast("int").alias("subject")
+    heads = split.where("size(marks) = 1 and size(left) > 0").select("left", subject, F.col("freq").alias("hits"))
+    base = {r[0]: r[1] / n for r in split.where("size(marks) = 1 and size(left) = 0").select(subject, "freq").collect()}  # one row a subject
+    bodies = split.where("size(marks) = 0 and size(left) > 0").select("left", F.col("freq").alias("all"))
+    rate = F.coalesce(*[F.when(F.col("subject") == k, F.lit(b)) for k, b in base.items()], F.lit(0.0))
+    p = (F.col("hits") + 2 * rate) / (F.col("all") + 2)
+    sure = heads.join(bodies, "left").where((p - rate) / (1 - rate) >= RULE_GAIN)
+    return [(list(r[0]), r[1], r[2], r[3]) for r in sure.select("left", "subject", "hits", "all").collect()], base
+
+
+def _pruned(mined: list[tuple[list[str], int, int, int]], base: dict[int, float]) -> dict[frozenset[str], list[tuple[int, float]]]:
+    """Rules with their weights for each subject; a rule that tells no more than the rules within it together is left out."""
+    weight: dict[tuple[frozenset[str], int], float] = {}
     for items, subject, hits, everything in sorted(mined, key=lambda m: (len(m[0]), m[0], m[1])):
-        p = (hits + 0.5) / (everything + 1)
-        parts = [frozenset(part) for size in range(1, len(items)) for part in combinations(items, size)]
-        if any(part in rules and rules[part][0] == subject and sure[part] >= p - 1e-9 for part in parts):
-            continue
-        sure[frozenset(items)] = p
-        rules[frozenset(items)] = (subject, math.log(p / (1 - p)))
+        b = min(max(base[subject], 1e-6), 0.99)
+        p = min((hits + 2 * b) / (everything + 2), 1 - 1e-6)
+        within = sum(weight.get((frozenset(part), subject), 0.0) for size in range(1, len(items)) for part in combinations(items, size))
+        more = math.log(p / (1 - p)) - math.log(b / (1 - b)) - within
+        if more > 1e-9:
+            weight[frozenset(items), subject] = more
+    rules: dict[frozenset[str], list[tuple[int, float]]] = {}
+    for (items_of_rule, subject), w in weight.items():
+        rules.setdefault(items_of_rule, []).append((subject, w))
     return rules
 
 
@@ -236,22 +245,31 @@ def _amounts(sentences: DataFrame, rules: Rules) -> tuple[np.ndarray, np.ndarray
 def fit(sample: DataFrame, subjects: list[str]) -> Rules:
     """Rules from a sample (doc_id, content, classes), classes being numbers of subjects."""
     sentences = checkpoint(_sentence_items(sample.select("doc_id", "content", "classes")))
-    share, base = _item_shares(sentences, len(subjects))
-    mined = _mined(checkpoint(_transactions(sentences, share, base))) if share else []
-    made = Rules(subjects, _gains(share, base), _pruned(mined), [1e-9], [0.0, 1.0])
+    held = F.pmod(F.xxhash64("doc_id", F.lit(11)), F.lit(HELD)) == 0
+    seen = sentences.where(~held)
+    share, base = _item_shares(seen, len(subjects))
+    mined, rates = _mined(checkpoint(_transactions(seen, _gains(share, base)))) if share else ([], {})
+    made = Rules(subjects, _pruned(mined, rates), [1e-9], [0.0, 1.0])
     if made.rules:
-        made.edges, made.chance = _calibrated(*_amounts(sentences, made))
+        made.edges, made.chance = _calibrated(*_amounts(sentences.where(held), made))
     return made
 
 
-def _calibrated(amounts: np.ndarray, hits: np.ndarray, bins: int = 12) -> tuple[list[float], list[float]]:
-    """Steps from evidence to probability: shares of hits in equal bins, made monotone, against those of the surest bin."""
-    if len(amounts) < 2 * bins:
+def _calibrated(amounts: np.ndarray, hits: np.ndarray, per_bin: int = BIN) -> tuple[list[float], list[float]]:
+    """Steps from evidence to probability: shares of hits in equal bins of held-out sentences, neighbours that fall joined (isotonic
+    regression), against the surest bin's."""
+    bins = min(100, len(amounts) // per_bin)
+    if bins < 2:
         return [1e-9], [0.0, 1.0]
     edges = np.unique(np.quantile(amounts, np.arange(1, bins) / bins))
     where = np.searchsorted(edges, amounts, side="right")
-    share = np.array([hits[where == b].mean() if (where == b).any() else 0.0 for b in range(len(edges) + 1)])
-    share = np.maximum.accumulate(share)
+    blocks: list[list[float]] = []  # hits, sentences, bins
+    for k in range(len(edges) + 1):
+        blocks.append([float(hits[where == k].sum()), float((where == k).sum()), 1])
+        while len(blocks) > 1 and blocks[-2][0] * blocks[-1][1] >= blocks[-1][0] * blocks[-2][1]:
+            last = blocks.pop()
+            blocks[-1] = [x + y for x, y in zip(blocks[-1], last)]
+    share = np.concatenate([np.full(int(n), h / max(m, 1.0)) for h, m, n in blocks])
     return [1e-9, *edges.tolist()], [0.0, *(share / max(share[-1], 1e-9)).tolist()]
 
 
@@ -273,7 +291,7 @@ def _sentence_items(rows: DataFrame) -> DataFrame:
 
 def labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int) -> tuple[DataFrame, list[str]]:
     """((doc_id, content, classes) of about `sample` labelled documents, names of the subjects)."""
-    rows = sorted(tuple(r) for r in subjects.where("subject is not null").select("subject", "title", "title_ru").distinct().limit(1000).collect())
+    rows = sorted(tuple(r) for r in subjects.where("subject is not null").select("subject", "title", "title_ru").distinct().collect())  # the subject areas to use
     names = [r[0] for r in rows]
     number = {s: i for i, s in enumerate(names)}
     by_name = domain_names(rows)
@@ -281,13 +299,13 @@ def labelled(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sampl
     given = F.create_map(*[x for s, i in number.items() for x in (F.lit(s), F.lit(i))])
     annotated = labels.where("doc_id is not null and subject is not null").groupBy("doc_id").agg(F.array_compact(F.collect_set(given[F.col("subject")])).alias("said"))
     docs = documents.where("doc_id is not null and content is not null").select(F.col("doc_id").cast("long"), "content", known[F.lower(F.trim("domain"))].alias("named"))
-    either = docs.where("named is not null").select("doc_id", "content", "named")
-    weak = either.select("doc_id", F.lit(1).alias("one"))
-    n = weak.count()
-    share = min(1.0, sample / max(n, 1))
-    drawn = docs.where((F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) < int(share * 1_000_003) + 1))
-    joined = drawn.join(annotated, "doc_id", "left").select("doc_id", "content", F.coalesce("said", F.array_compact(F.array("named"))).alias("classes"))
-    return joined.where("size(classes) > 0"), names
+    told = docs.join(annotated, "doc_id", "left")
+    size = told.agg(F.sum(F.col("said").isNotNull().cast("int")).alias("said"), F.sum((F.col("said").isNull() & F.col("named").isNotNull()).cast("int")).alias("named")).first()
+    first = min(1.0, sample / max(size["said"] or 0, 1))
+    then = min(1.0, max(0, sample - (size["said"] or 0)) / max(size["named"] or 0, 1))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / 1_000_003
+    drawn = told.where(place <= F.when(F.col("said").isNotNull(), first).when(F.col("named").isNotNull(), then).otherwise(-1.0))
+    return drawn.select("doc_id", "content", F.coalesce("said", F.array("named")).alias("classes")), names
 
 
 def train(documents: DataFrame, labels: DataFrame, subjects: DataFrame, sample: int = SAMPLE) -> Rules:
