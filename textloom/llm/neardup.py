@@ -32,8 +32,12 @@ from textloom.llm.hashing import mix
 from textloom.session import checkpoint
 
 WORD = re.compile(r"[^\W_]+")
-ROWS = 4
+#: Registers of a band. Records of one language share a few per cent of their shingles; with six a band, pairs of such a
+#: similarity J become candidates about 145 J**6 of the time.
+ROWS = 6
 MISS = 0.001
+#: Registers kept for the likelihood; of the others only the bands' hashes are, KEY bytes each.
+KEPT, KEY = 96, 5
 #: Standard errors by which an estimate may stay below the threshold and still be verified.
 MARGIN = 4.5
 _MEMO = 1_000_000
@@ -96,42 +100,44 @@ def shingle_sets(texts: list[str | None], size: int, min_words: int) -> Iterator
         yield flush()
 
 
-def sketches(documents: DataFrame, size: int, min_words: int, m: int) -> DataFrame:
-    """(doc_id, n, s1, s2, sketch): number of distinct shingles, 128-bit hash of their set, and the registers."""
+def sketches(documents: DataFrame, size: int, min_words: int, rows: int, bands: int) -> DataFrame:
+    """(doc_id, n, s1, s2, sketch, keys): number of distinct shingles, 128-bit hash of their set, the first registers, and a hash of
+    the registers of each band."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            for rows, starts, s in shingle_sets(batch.column(1).to_pylist(), size, min_words):
+            for texts, starts, s in shingle_sets(batch.column(1).to_pylist(), size, min_words):
                 heads = starts[:-1]
-                registers = setsketch.sketch(s, heads, m)
+                registers = setsketch.sketch(s, heads, max(rows * bands, KEPT))
+                keys = np.zeros((len(heads), bands), dtype=np.uint64)
+                for i in range(rows):
+                    keys = mix(keys * np.uint64(0x100000001B3) + registers[:, i : rows * bands : rows] + np.uint64(1))
+                packed = np.ascontiguousarray(keys.view(np.uint8).reshape(len(heads), bands, 8)[:, :, :KEY])
                 s1 = np.add.reduceat(mix(s ^ np.uint64(0xA5A5A5A5A5A5A5A5)), heads).view(np.int64)
                 s2 = np.add.reduceat(mix(s + np.uint64(0x5851F42D4C957F2D)), heads).view(np.int64)
-                out = pa.array([r.tobytes() for r in registers], pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array(ids[rows].astype(np.int64)), pa.array(np.diff(starts).astype(np.int32)), pa.array(s1), pa.array(s2), out], names=["doc_id", "n", "s1", "s2", "sketch"])
+                binary = [pa.array([r.tobytes() for r in rows_of], pa.binary()) for rows_of in (registers[:, :KEPT], packed)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[texts].astype(np.int64)), pa.array(np.diff(starts).astype(np.int32)), pa.array(s1), pa.array(s2), *binary], names=["doc_id", "n", "s1", "s2", "sketch", "keys"])
 
-    return documents.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, sketch binary")
+    return documents.mapInArrow(run, "doc_id long, n int, s1 long, s2 long, sketch binary, keys binary")
 
 
-def _bands(reps: DataFrame, rows: int, bands: int) -> DataFrame:
-    """(band, rep, n): a hash of each band's number and registers."""
+def _bands(reps: DataFrame, bands: int) -> DataFrame:
+    """(band, rep, n): the number of each band with the hash of its registers."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.arange(bands, dtype=np.int64) << (8 * KEY)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            registers = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint16).reshape(batch.num_rows, -1)
-            keys = np.empty((batch.num_rows, bands), dtype=np.uint64)
-            for k in range(bands):
-                packed = np.full(batch.num_rows, k + 1, dtype=np.uint64)
-                for i in range(k * rows, (k + 1) * rows):
-                    packed = mix(packed * np.uint64(0x100000001B3) + registers[:, i])
-                keys[:, k] = packed
+            wide = np.zeros((batch.num_rows, bands, 8), dtype=np.uint8)
+            wide[:, :, :KEY] = np.frombuffer(b"".join(batch.column(2).to_pylist()), dtype=np.uint8).reshape(batch.num_rows, bands, KEY)
+            keys = wide.view(np.int64).reshape(batch.num_rows, bands) | number
             ids = np.repeat(batch.column(0).to_numpy(), bands)
             sizes = np.repeat(batch.column(1).to_numpy(), bands)
-            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1).view(np.int64)), pa.array(ids), pa.array(sizes)], names=["band", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys.reshape(-1)), pa.array(ids), pa.array(sizes)], names=["band", "rep", "n"])
 
-    return reps.select("rep", "n", "sketch").mapInArrow(run, "band long, rep long, n int")
+    return reps.select("rep", "n", "keys").mapInArrow(run, "band long, rep long, n int")
 
 
 def _likely(pairs: DataFrame, least: float) -> DataFrame:
@@ -175,23 +181,21 @@ def links(documents: DataFrame, size: int = 5, threshold: float = 0.8, min_words
     """(members, links): members has (doc_id, rep) of every record with shingles, links has (a, b, similarity) with
     a < b of every two representatives that reach the threshold."""
     bands = setsketch.bands_for(threshold, rows, miss)
-    m = bands * rows
     docs = documents.where(F.col("doc_id").isNotNull() & F.col("text").isNotNull()).select(F.col("doc_id").cast("long"), "text")
-    sets = checkpoint(sketches(docs, size, min_words, m))
+    sets = checkpoint(sketches(docs, size, min_words, rows, bands))
+    if not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
+        sets = checkpoint(sets.dropDuplicates(["doc_id"]))
+    # Sketches stay where they are: classes are found by the hashes of the sets alone, and only the ids of copies are joined back.
     classes = sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"))
-    members = checkpoint(
-        sets.join(classes, ["s1", "s2", "n"])
-        .select("doc_id", "rep", "n", F.when(F.col("doc_id") == F.col("rep"), F.col("sketch")).alias("sketch"))
-        .dropDuplicates(["doc_id"])
-    )
-    reps = members.where("sketch is not null").select("rep", "n", "sketch")
-    band = _bands(reps, rows, bands)
+    members = checkpoint(sets.select("doc_id", "s1", "s2", "n").join(classes, ["s1", "s2", "n"]).select("doc_id", "rep"))
+    reps = sets.join(members.where("doc_id <> rep").select("doc_id"), "doc_id", "left_anti").withColumnRenamed("doc_id", "rep")
+    band = _bands(reps, bands)
     left, right = band.toDF("band", "a", "na"), band.toDF("band", "b", "nb")
     near = (F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.lit(threshold - 1e-9) * F.greatest("na", "nb"))
     pairs = left.join(right, "band").where(near).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     keys = reps.select(F.col("rep"), F.col("sketch"))
     pairs = pairs.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
-    likely = checkpoint(_likely(pairs, threshold - MARGIN * (threshold * (1 - threshold) / m) ** 0.5))
+    likely = checkpoint(_likely(pairs, threshold - MARGIN * (threshold * (1 - threshold) / KEPT) ** 0.5))
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = checkpoint(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     found = _verified(likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b"), size, threshold)

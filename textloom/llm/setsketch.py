@@ -5,8 +5,8 @@ with rate a: minima on an exponentially spaced scale. The sketch of a union is t
 1 two registers are equal about as often as the sets' Jaccard similarity, so equal runs of registers (bands) find
 similar sets, and the counts of greater, less and equal registers give the similarity by maximum likelihood. How often
 registers of sets without a common element are equal, about (b - 1) / 4, decides how many candidates are false: with
-b = 1.001 a band of four is equal by chance once in about 10**14, so candidates grow with the true pairs and not with
-the square of the collection.
+b = 1.001 that is once in about 4,000, and a band of registers hardly ever agrees by chance; what candidates are false
+come from sets that do share elements.
 """
 
 from __future__ import annotations
