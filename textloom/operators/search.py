@@ -32,12 +32,14 @@ def scores(documents: DataFrame, weighted: DataFrame, queries: DataFrame, all_wo
     if "bucket" in weighted.columns:
         asked = asked.withColumn("bucket", bucket_of(F.col("term"), F.lit(weighted.select("buckets").first()[0] if weighted.take(1) else 1)))
         keys = ["bucket", "term"]
-    asked = small(asked, BROADCAST_ROWS)
+    few = asked.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    sent = F.broadcast if few else (lambda df: df)
+    asked = sent(asked)
     hits = weighted.select("doc_id", "term", "weight", *keys[:-1]).join(asked, keys)
     found = hits.groupBy("query_id", "doc_id").agg(F.sum("weight").alias("dot"), F.first("n_terms").alias("n_terms"), F.array_sort(F.collect_set("term")).alias("matched")).where("n_terms > 0")
     # Which terms of a query some document has: sets of matched terms, as many as a query has subsets. All columns are read, so both readers share one shuffle.
     sets = found.groupBy("query_id").agg(F.collect_set("matched").alias("sets"), F.max("dot").alias("d"), F.max("n_terms").alias("t")).where("d is not null and t > 0")
-    vocabulary = sets.select("query_id", F.size(F.array_distinct(F.flatten("sets"))).alias("known"))
+    vocabulary = sent(sets.select("query_id", F.size(F.array_distinct(F.flatten("sets"))).alias("known")))  # fewer rows than the queries have terms
     if all_words:
         found = found.where(F.size("matched") >= F.col("n_terms"))
     dates = documents.select("doc_id", "doc_date")

@@ -250,6 +250,12 @@ def langid_mlp(spark: SparkSession, d: str, texts: int = langid_ml.TEXTS) -> Dat
     return langid_ml.predict(_docs(spark, d), model, labels)
 
 
+def langid_mlp_accuracy(spark: SparkSession, d: str) -> DataFrame:
+    """How often the perceptron agrees with the labels set by hand, over the documents labelled with one of its languages."""
+    truth = _docs(spark, d).where(F.col("true_language").isin(*langid.LANGUAGES)).select("doc_id", "true_language")
+    return langid.accuracy(langid_mlp(spark, d).withColumn("method", F.lit("neural")), truth)
+
+
 def char_windows(spark: SparkSession, d: str) -> DataFrame:
     return _docs(spark, d).select("doc_id", F.posexplode(fx.char_windows(F.col("text"))).alias("i", "window"))
 
@@ -432,7 +438,7 @@ def queries() -> dict[str, Query]:
     made = [
         vector_search_top50, tokens_en, postings_tf, doc_frequency_idf, tfidf_weights, search_all_words, search_filtered, top_terms_per_doc, suggest,
         search_everything, index_reindexed, snippet_window, snippets, rank_metrics, pr_curve_11pt, rank_metrics_summary, pr_curve_mean, index_after_delete, freq_profile, short_profile,
-        langid_scores, langid_freq, langid_short, langid_summary, langid_mlp, char_windows, char_ngrams, sentences_offsets, summary_sentence, keywords, summary_lsa,
+        langid_scores, langid_freq, langid_short, langid_summary, langid_mlp, langid_mlp_accuracy, char_windows, char_ngrams, sentences_offsets, summary_sentence, keywords, summary_lsa,
         summary_evaluation, dictionary_overlay, lookup_words, frequency_dictionary, unknown_words, dictionary_seeded, dictionary_inserted, dictionary_page, translate_direct,
         translate_transfer, translation_report, tagged_words, tagged_frequency, tagged_unknown, phrase_hits, chunk_trees, essay_indicators, essay_top_words, speech_chunks, translation_spans, command_log, dictated_essays,
         crawl_changes, crawl_tally, nested_correct_update, upsert_latest, summary_keywords, recent_documents, file_facts, escaped_titles,
