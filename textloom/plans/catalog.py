@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 
+from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +49,7 @@ def _judgements(spark: SparkSession, d: str) -> DataFrame:
 
 
 _indexes: dict[tuple[str, str, str], str] = {}
+_models: dict[tuple[str, str, int, str], tuple[PipelineModel, list[str]]] = {}
 
 
 def _index(spark: SparkSession, d: str) -> str:
@@ -246,8 +248,11 @@ def langid_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def langid_mlp(spark: SparkSession, d: str, texts: int = langid_ml.TEXTS) -> DataFrame:
-    model, labels = langid_ml.train(_training(spark, d).orderBy(F.xxhash64("doc_id")).limit(texts))
-    return langid_ml.predict(_docs(spark, d), model, labels)
+    docs = _docs(spark, d)
+    key = (spark.sparkContext.applicationId, d, texts, _state(spark, f"{d}/documents.parquet") if docs.inputFiles() else "")
+    if key not in _models:  # trained once in an application, and again if the file has changed
+        _models[key] = langid_ml.train(_training(spark, d).orderBy(F.xxhash64("doc_id")).limit(texts))
+    return langid_ml.predict(docs, *_models[key])
 
 
 def langid_mlp_accuracy(spark: SparkSession, d: str) -> DataFrame:
