@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -72,6 +74,18 @@ def _remove(spark: SparkSession, folder: str) -> None:
             shutil.rmtree(folder[folder.index("/") :].replace("//", "/", 1), ignore_errors=True)
 
 
+@contextmanager
+def partitions(spark: SparkSession, least: int) -> Iterator[None]:
+    """Shuffles of actions inside have at least so many partitions; adaptive execution still joins small ones and splits skewed ones."""
+    name = "spark.sql.shuffle.partitions"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(max(int(before), least)))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def small(df: DataFrame, rows: int) -> DataFrame:
     """`df` with a broadcast hint if it has at most `rows` rows, as it is otherwise; counting stops beyond that."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
