@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import setsketch
 from textloom.llm.hashing import mix
-from textloom.session import checkpoint
+from textloom.session import checkpoint, partitions
 
 WORD = re.compile(r"[^\W_]+")
 #: Registers of a band. Records of one language share a few per cent of their shingles; with six a band, pairs of such a
@@ -38,6 +38,8 @@ ROWS = 6
 MISS = 0.001
 #: Registers kept for the likelihood; of the others only the bands' hashes are, KEY bytes each.
 KEPT, KEY = 96, 5
+#: Rows of bands in a partition of the join that finds candidates.
+BAND_ROWS = 250_000
 #: Standard errors by which an estimate may stay below the threshold and still be verified.
 MARGIN = 4.5
 _MEMO = 1_000_000
@@ -195,7 +197,9 @@ def links(documents: DataFrame, size: int = 5, threshold: float = 0.8, min_words
     pairs = left.join(right, "band").where(near).groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"))
     keys = reps.select(F.col("rep"), F.col("sketch"))
     pairs = pairs.join(keys.toDF("a", "ka"), "a").join(keys.toDF("b", "kb"), "b")
-    likely = checkpoint(_likely(pairs, threshold - MARGIN * (threshold * (1 - threshold) / KEPT) ** 0.5))
+    likely = _likely(pairs, threshold - MARGIN * (threshold * (1 - threshold) / KEPT) ** 0.5)
+    with partitions(documents.sparkSession, members.count() * bands // BAND_ROWS):
+        likely = checkpoint(likely)
     ids = likely.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     texts = checkpoint(docs.join(ids, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
     found = _verified(likely.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b"), size, threshold)
