@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from textloom.functions import words
 from textloom.functions.text import SPACE, WORD_RX, let, meaning, strip, translation_spans, word_forms
-from textloom.session import small
+from textloom.session import checkpoint, small
 
 #: Rows of phrases up to which they are broadcast.
 BROADCAST_ROWS = 100_000
@@ -74,31 +74,20 @@ _CLOSED = {
 
 
 def tokens(texts: DataFrame) -> DataFrame:
-    """(id, span, j, gap, word, grams) of texts (id, text): the tokens of every span in order. Outside sentences `word` is null;
-    grams are the word with the 1 to 3 next ones, in lower case, as far as only white space lies between."""
+    """(id, span, j, gap, word) of texts (id, text): the tokens of every span in order. Outside sentences `word` is null."""
 
     def cut(parts: Column) -> Column:
         """parts: gap, word, gap, word, ..., gap; null is past the end."""
-        word = lambda i: F.get(parts, 2 * i + 1)
-
-        def grams(i: Column) -> Column:
-            out, joined = [], F.lower(word(i))
-            for n in PHRASE_WORDS:
-                between = F.get(parts, 2 * (i + n - 1))
-                joined = F.when(between.rlike(f"^{SPACE}+$"), F.concat(joined, F.lit(" "), F.lower(word(i + n - 1))))
-                out.append(joined)
-            return F.array_compact(F.array(*out))
-
         places = F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / 2).cast("int"))
-        return F.transform(places, lambda i: F.struct(F.get(parts, 2 * i).alias("gap"), word(i).alias("word"), grams(i).alias("grams")))
+        return F.transform(places, lambda i: F.struct(F.get(parts, 2 * i).alias("gap"), F.get(parts, 2 * i + 1).alias("word")))
 
     every = lambda c, rx: F.regexp_extract_all(c, F.lit(rx), F.lit(0))
     spans = texts.where("text is not null").select(F.col("id").cast("long"), F.posexplode(every("text", _TILE)).alias("span", "s"))
     sentence = F.col("s").rlike(r"^[^.!?\n]") & ~F.col("s").endswith("\n") & F.col("s").rlike("[A-Za-z]")
     inner = every(F.col("s"), f"{WORD_RX}|[^A-Za-z]+")
     parts = F.when(~sentence, F.array("s")).when(F.col("s").rlike("^[A-Za-z]"), F.concat(F.array(F.lit("")), inner)).otherwise(inner)
-    parts = F.when(F.size(parts) % 2 == 0, F.concat(parts, F.array(F.lit("")))).otherwise(parts)
-    return spans.select("id", "span", F.posexplode(let(parts, cut)).alias("j", "t")).select("id", "span", "j", "t.gap", "t.word", "t.grams")
+    closed = let(parts, lambda p: F.when(F.size(p) % 2 == 0, F.concat(p, F.array(F.lit("")))).otherwise(p))
+    return spans.select("id", "span", F.posexplode(let(closed, cut)).alias("j", "t")).select("id", "span", "j", "t.gap", "t.word")
 
 
 def known_tags(dictionary: DataFrame) -> DataFrame:
@@ -153,7 +142,16 @@ def phrases(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
 
     Overlapping finds form islands, and only inside an island does the order of choosing matter; most hold one find."""
     known = small(dictionary.where("pos = '*' and german <> '' and contains(english, ' ')").select(F.col("english").alias("gram"), F.col("german").alias("phrase")), BROADCAST_ROWS)
-    at = toks.where("size(grams) > 0").select("id", "span", "j", F.explode("grams").alias("gram"))
+    firsts = small(known.select(F.substring_index("gram", " ", 1).alias("low")).distinct(), BROADCAST_ROWS)
+    low = toks.select("id", "span", "j", "gap", F.lower("word").alias("low"))
+    # Only spans with the first word of a phrase are looked at further.
+    near = low.join(low.join(firsts, "low").select("id", "span").distinct(), ["id", "span"], "left_semi")
+    following = W.partitionBy("id", "span").orderBy("j")
+    grams, joined = [], F.col("low")
+    for n in range(1, PHRASE_WORDS[-1]):
+        joined = F.when(F.lead("gap", n).over(following).rlike(f"^{SPACE}+$"), F.concat(joined, F.lit(" "), F.lead("low", n).over(following)))
+        grams.append(joined)
+    at = near.select("id", "span", "j", F.array_compact(F.array(*grams)).alias("grams")).select("id", "span", "j", F.explode("grams").alias("gram"))
     found = at.join(known, "gram").select("id", "span", "j", (F.size(F.split("gram", " "))).alias("size"), "phrase")
     longest = found.groupBy("id", "span", "j").agg(F.max(F.struct("size", "phrase")).alias("m")).select("id", "span", "j", "m.size", "m.phrase")
     order = W.partitionBy("id", "span").orderBy("j")
@@ -173,7 +171,7 @@ def _capital(text: Column) -> Column:
 def _looked_up(toks: DataFrame, dictionary: DataFrame) -> DataFrame:
     """Tokens with `german` (empty if unknown), and with `size` and `phrase` where a phrase begins; `inner` inside one."""
     entries = lookup(words_seen(toks), dictionary).withColumnRenamed("word", "low")
-    full = toks.drop("grams").join(entries, ["low", "tag"], "left").join(phrases(toks, dictionary), ["id", "span", "j"], "left")
+    full = toks.join(entries, ["low", "tag"], "left").join(phrases(toks, dictionary), ["id", "span", "j"], "left")
     covered = F.max(F.col("j") + F.col("size")).over(W.partitionBy("id", "span").orderBy("j").rowsBetween(W.unboundedPreceding, -1))
     return full.withColumn("inner", F.col("word").isNotNull() & (F.coalesce(covered, F.lit(0)) > F.col("j")))
 
@@ -193,9 +191,9 @@ def translate(texts: DataFrame, dictionary: DataFrame, method: str = "transfer",
     Null texts and texts without words give empty results; ids are taken to be unique."""
     if method not in ("transfer", "direct"):
         raise ValueError(f"no such method: {method}")
-    toks = tokens(texts)
-    toks = tagged_by(toks, tagger) if tagger else tagged(toks, dictionary)
-    full = _looked_up(toks, dictionary)
+    toks = checkpoint(tokens(texts))  # read by tags, entries, phrases and the text itself
+    toks = checkpoint(tagged_by(toks, tagger) if tagger else tagged(toks, dictionary))
+    full = checkpoint(_looked_up(toks, dictionary))
     is_word = F.col("word").isNotNull()
     noun = F.col("tag").startswith("NN")
     capital = noun | (F.col("word").rlike("^[A-Z]") & (F.col("j") == 0)) if method == "direct" else noun

@@ -110,7 +110,7 @@ def _effective(spark: SparkSession, d: str) -> DataFrame:
 
 def _tagged(spark: SparkSession, d: str) -> DataFrame:
     """The tokens of the runs with the tags of the operator's tagger."""
-    return translate.tagged(translate.tokens(_runs(spark, d)), _effective(spark, d))
+    return translate.tagged(checkpoint(translate.tokens(_runs(spark, d))), _effective(spark, d))
 
 
 def tokens_en(spark: SparkSession, d: str) -> DataFrame:
